@@ -26,6 +26,7 @@ class Terms:
 
     names: list[str]
     matrix: np.ndarray
+    level: np.ndarray
     lags: list[str]
     order: list[int] = field(default_factory=list)
     constant: list[int] = field(default_factory=list)
@@ -77,31 +78,34 @@ class Design:
         m = self.freq.seasons
         weights = difference_weights(s.d, s.D, m)
         periods = self._cell_periods()
-        names, columns, constant, value = [], [], [], 0.0
+        names, columns, levels, constant, value = [], [], [], [], 0.0
 
-        def column(test) -> list[float]:
-            return [
-                sum(w * test(self.freq.add(c, -o)) for o, w in weights.items()) for c in periods
-            ]
+        def add(name: str, test) -> None:
+            names.append(name)
+            levels.append([test(c) for c in periods])
+            columns.append(
+                [sum(w * test(self.freq.add(c, -o)) for o, w in weights.items()) for c in periods]
+            )
 
         if s.intercept and s.d + s.D <= 1:
             # the mean of a once-differenced series is a trend of the level
             value = 1.0 if s.d + s.D == 0 or s.d else float(m)
             names.append("intercept" if s.d + s.D == 0 else "drift")
             columns.append([value] * len(periods))
+            levels.append([1.0] * len(periods))
             constant = [0]
         if s.season:
             first = 2 if s.intercept else 1
             for j in range(first, m + 1):
-                names.append(f"season_{j}")
-                columns.append(column(lambda c, j=j: float(self.freq.season(c) == j)))
+                add(f"season_{j}", lambda c, j=j: float(self.freq.season(c) == j))
             if not s.intercept and s.d + s.D == 0:
                 constant, value = list(range(m)), 1.0
         seasons = len(names)
         for pulse in s.pulses:
-            names.append(pulse.name)
-            columns.append(column(lambda c, p=pulse: float(c == p.period)))
-        matrix = np.array(columns, dtype=float).reshape(len(names), len(periods)).T
+            add(pulse.name, lambda c, p=pulse: float(c == p.period))
+        matrix, level = (
+            np.array(v, dtype=float).reshape(len(names), len(periods)).T for v in (columns, levels)
+        )
         lags = [lag.name for lag in s.lags]
         # aliased columns are the later ones in the order seasons, lags, pulses
         order = [
@@ -109,36 +113,41 @@ class Design:
             *range(len(names), len(names) + len(lags)),
             *range(seasons, len(names)),
         ]
-        return Terms(names, matrix, lags, order, constant, value)
-
-    def dense(self, keys: Sequence[str]) -> dict[tuple[str, int, int, int], Column]:
-        """Every distinct (column, lag, d, D) as one window expression."""
-        m = self.freq.seasons
-        wanted = {}
-        for s in self.models:
-            for lag in (Lag(s.target), *s.lags):
-                wanted[(lag.column, lag.k, s.d, s.D)] = None
-        return {c: differenced(*c, m, keys) for c in wanted}
-
-    def rows(self, frame: DataFrame, keys: Sequence[str], only: DataFrame | None = None):
-        """``(keys, period, cell, model, v0 .. v<width-1>)``; v0 is the target.
+        return Terms(names, matrix, level, lags, order, constant, value)
+
+    def rows(
+        self,
+        frame: DataFrame,
+        keys: Sequence[str],
+        only: DataFrame | None = None,
+        level: bool = False,
+        carry: Sequence[str] = (),
+    ) -> DataFrame:
+        """``(keys, period, carry, cell, model, v0 .. v<width-1>)``; v0 is the target.
 
         ``only`` holds ``(keys, models)``: per key, the model names to keep. Unused
         columns are 0. One window pass serves all models; rows are copied per model
-        inside the same stage.
+        inside the same stage. ``level`` ignores the differencing of the models.
         """
-        dense = self.dense(keys)
+
+        def columns_of(s: Regression) -> list[tuple[str, int, int, int]]:
+            d, D = (0, 0) if level else (s.d, s.D)
+            return [(g.column, g.k, d, D) for g in (Lag(s.target), *s.lags)]
+
+        # every distinct (column, lag, d, D) is one window expression
+        wanted = dict.fromkeys(c for s in self.models for c in columns_of(s))
+        dense = {c: differenced(*c, self.freq.seasons, keys) for c in wanted}
         ids = {c: f"x{i}" for i, c in enumerate(dense)}
+        kept = ["period", *carry]
         wide = frame.select(
             *keys,
-            "period",
+            *kept,
             self.cell(F.col("period")).alias("cell"),
             *[expr.alias(ids[c]) for c, expr in dense.items()],
         )
         structs = []
         for s in self.models:
-            columns = [ids[(g.column, g.k, s.d, s.D)] for g in (Lag(s.target), *s.lags)]
-            values = [F.col(c) for c in columns]
+            values = [F.col(ids[c]) for c in columns_of(s)]
             values += [F.lit(0.0)] * (self.width - len(values))
             structs.append(
                 F.struct(
@@ -148,8 +157,8 @@ class Design:
             )
         if only is not None:
             wide = wide.join(only, list(keys))
-        extra = ["models"] if only is not None else []
-        long = wide.select(*keys, "period", "cell", *extra, F.inline(F.array(*structs)))
+            kept = [*kept, "models"]
+        long = wide.select(*keys, *kept, "cell", F.inline(F.array(*structs)))
         if only is not None:
             long = long.filter(F.array_contains("models", F.col("model"))).drop("models")
         return long
@@ -163,7 +172,8 @@ class Design:
         choice = None
         for s in self.models:
             t = self.terms[s.name]
-            cells = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in t.matrix])
+            matrix = t.level if level else t.matrix
+            cells = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
             base = F.element_at(cells, F.col("cell") + 1) if t.names else F.array().cast("array<double>")
             if level and "drift" in t.names:
                 now = period_index(F.col("period"), self.freq.name).cast("double")

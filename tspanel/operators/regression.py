@@ -261,21 +261,23 @@ def predict(
     models: Sequence[Regression],
     freq: str,
     level: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(keys, model, period, actual, mean, leverage, sigma2)`` for every row and model.
+    """``(keys, model, period, carry, actual, mean, leverage, sigma2)`` for every row and model.
 
     Lags are built over the whole frame; filter by period afterwards. Rows with a
     null regressor keep a null mean.
     """
     design = Design(models, freq)
     nested = nest_fits(fits, keys, ["beta", "inverse", "sigma2"])
-    rows = design.rows(frame, keys).join(nested, list(keys))
+    rows = design.rows(frame, keys, level=level, carry=carry).join(nested, list(keys))
     rows = rows.withColumn("fit", F.col("fits")[F.col("model")]).filter("fit is not null")
     rows = rows.withColumn("x", design.regressors(level))
     return rows.select(
         *keys,
         "model",
         "period",
+        *carry,
         F.col("v0").alias("actual"),
         dot(F.col("x"), F.col("fit.beta")).alias("mean"),
         quadratic(F.col("x"), F.col("fit.inverse")).alias("leverage"),
