@@ -128,7 +128,7 @@ def _chosen_means(
     entries = []
     for s in specs:
         if s.d is None or s.D is None:
-            test = F.col("fits")[bases[_structure(s, 0, 0)]]
+            test = F.col("_fits")[bases[_structure(s, 0, 0)]]
             D = F.lit(s.D) if s.D is not None else F.coalesce(test["sd"], F.lit(0))
             found = F.when(D > 0, test["d1"]).otherwise(test["d0"])
             d = F.lit(s.d) if s.d is not None else F.coalesce(found, F.lit(0))
@@ -227,7 +227,7 @@ def _with_shocks(rows: DataFrame, keys: Sequence[str], top: int, choose: bool) -
         return pd.Series(list(arma.levinson(table, top, choose, n.to_numpy(float))))
 
     long = nest_fits(sums.withColumn("pi", autoregression("n", "cov")), keys, ["pi"])
-    pi = F.col("fits")[F.col("model")]["pi"]
+    pi = F.col("_fits")[F.col("model")]["pi"]
     joined = lagged.join(long, list(keys)).withColumn("pi", pi)
     e = F.col("u")
     for i in range(1, top + 1):
@@ -309,16 +309,16 @@ def fit_arima(
     table = candidates(u, keys, means.users, freq, long_ar)
 
     picks = nest_fits(
-        chosen.withColumnRenamed("spec", "model"), keys, ["mean", "d", "sd"]
-    ).withColumnRenamed("fits", "picks")
+        chosen.withColumnRenamed("spec", "model"), keys, ["mean", "d", "sd"], "_picks"
+    )
     mean_columns = ["terms", "beta", "inverse", "rank"]
-    nested = nest_fits(mean_fits, keys, mean_columns).withColumnRenamed("fits", "means")
+    nested = nest_fits(mean_fits, keys, mean_columns, "_means")
     table = table.join(picks, list(keys)).join(nested, list(keys))
-    table = table.withColumn("mean_rank", F.col("means")[F.col("model")]["rank"])
+    table = table.withColumn("mean_rank", F.col("_means")[F.col("model")]["rank"])
     table = with_candidate_aicc(table)
     uses = [
         F.when(
-            (F.col("picks")[s.name]["mean"] == F.col("model")) & _order_choice(s, F.col),
+            (F.col("_picks")[s.name]["mean"] == F.col("model")) & _order_choice(s, F.col),
             F.lit(s.name),
         )
         for s in specs
@@ -339,8 +339,8 @@ def fit_arima(
         .select(*keys, F.col("spec").alias("model"), "best.*")
     )
     series = as_series(u, [*keys, "model"], ["residual"]).withColumnRenamed("residual", "u")
-    series = nest_fits(series, keys, ["u"]).withColumnRenamed("fits", "series")
-    final = best.join(series, list(keys)).withColumn("u", F.col("series")[F.col("mean")]["u"])
+    series = nest_fits(series, keys, ["u"], "_series")
+    final = best.join(series, list(keys)).withColumn("u", F.col("_series")[F.col("mean")]["u"])
     fitted = final.withColumn("s", _final_fit(m, refine)("u", "ar", "ma", *ORDER_COLUMNS))
     k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
     families = {s.name: F.lit(s.family) for s in specs}
@@ -355,13 +355,13 @@ def fit_arima(
             "model",
             family.alias("family"),
             "mean",
-            F.col("picks")[F.col("model")]["d"].alias("d"),
-            F.col("picks")[F.col("model")]["sd"].alias("sd"),
+            F.col("_picks")[F.col("model")]["d"].alias("d"),
+            F.col("_picks")[F.col("model")]["sd"].alias("sd"),
             *ORDER_COLUMNS, "stable",
             "s.n",
             k.cast("int").alias("rank"),
             "s.sse",
-            *[F.col("means")[F.col("mean")][c].alias(c) for c in mean_columns if c != "rank"],
+            *[F.col("_means")[F.col("mean")][c].alias(c) for c in mean_columns if c != "rank"],
             "s.ar",
             "s.ma",
         )
@@ -477,7 +477,7 @@ def forecast_arima(
     )
     series = level.groupBy(*by).agg(past.alias("past"), coming.alias("coming"))
     nested = nest_fits(renamed, keys, ["d", "sd", "ar", "ma", "sigma2"])
-    series = series.join(nested, list(keys)).withColumn("fit", F.col("fits")[F.col("model")])
+    series = series.join(nested, list(keys)).withColumn("_fit", F.col("_fits")[F.col("model")])
 
     @F.pandas_udf("struct<mean: array<double>, weight: array<double>>")
     def project(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -498,12 +498,12 @@ def forecast_arima(
 
     projected = series.filter(F.size("coming") > 0).withColumn(
         "ahead",
-        project("past.v", F.size("coming"), "fit.d", "fit.sd", "fit.ar", "fit.ma"),
+        project("past.v", F.size("coming"), "_fit.d", "_fit.sd", "_fit.ar", "_fit.ma"),
     )
     rows = projected.select(
         *keys,
         F.substring_index("model", "|", 1).alias("model"),
-        F.col("fit.sigma2").alias("sigma2"),
+        F.col("_fit.sigma2").alias("sigma2"),
         F.inline(
             F.arrays_zip(
                 F.col("coming"), F.col("ahead.mean").alias("error"), F.col("ahead.weight").alias("weight")
@@ -526,7 +526,7 @@ def arima_residuals(
     u = residuals(frame, renamed, keys, models, freq)
     series = as_series(u, by, ["actual", "residual"])
     nested = nest_fits(renamed, keys, ["d", "sd", "ar", "ma"])
-    series = series.join(nested, list(keys)).withColumn("fit", F.col("fits")[F.col("model")])
+    series = series.join(nested, list(keys)).withColumn("_fit", F.col("_fits")[F.col("model")])
 
     @F.pandas_udf("array<double>")
     def errors(u: pd.Series, ar: pd.Series, ma: pd.Series) -> pd.Series:
@@ -535,7 +535,7 @@ def arima_residuals(
         return pd.Series([row[keep] for row, keep in zip(e, live)])
 
     return (
-        series.withColumn("e", errors("residual", "fit.ar", "fit.ma"))
+        series.withColumn("e", errors("residual", "_fit.ar", "_fit.ma"))
         .select(
             *keys,
             F.substring_index("model", "|", 1).alias("model"),

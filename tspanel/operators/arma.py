@@ -39,8 +39,9 @@ def is_stable(coef: np.ndarray) -> np.ndarray:
     for k in range(c.shape[1], 0, -1):
         r = c[:, k - 1]
         ok &= np.abs(r) < 1
-        scale = np.where(np.abs(r) < 1, 1 - r**2, 1.0)
-        c = (c[:, : k - 1] + r[:, None] * c[:, : k - 1][:, ::-1]) / scale[:, None]
+        r = np.where(ok, r, 0.0)
+        c = np.where(ok[:, None], c, 0.0)
+        c = (c[:, : k - 1] + r[:, None] * c[:, : k - 1][:, ::-1]) / (1 - r**2)[:, None]
     return ok
 
 

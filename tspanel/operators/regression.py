@@ -248,10 +248,16 @@ def quadratic(x: Column, inverse: Column) -> Column:
     return F.aggregate(rows, F.lit(0.0), lambda s, v: s + v)
 
 
-def nest_fits(fits: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per key with a map from model to its fit, for a join on the key alone."""
+def nest_fits(
+    fits: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "_fits"
+) -> DataFrame:
+    """One row per key with a map from model to its fit, for a join on the key alone.
+
+    Joining on the key keeps the partitioning of the panel, where a join on (key,
+    model) would shuffle it. The map has one entry per model of the job.
+    """
     entry = F.struct(F.col("model"), F.struct(*columns).alias("fit"))
-    return fits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("fits"))
+    return fits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
 
 
 def predict(
@@ -271,17 +277,17 @@ def predict(
     design = Design(models, freq)
     nested = nest_fits(fits, keys, ["beta", "inverse", "sigma2"])
     rows = design.rows(frame, keys, level=level, carry=carry).join(nested, list(keys))
-    rows = rows.withColumn("fit", F.col("fits")[F.col("model")]).filter("fit is not null")
-    rows = rows.withColumn("x", design.regressors(level))
+    rows = rows.withColumn("_fit", F.col("_fits")[F.col("model")]).filter("_fit is not null")
+    rows = rows.withColumn("_x", design.regressors(level))
     return rows.select(
         *keys,
         "model",
         "period",
         *carry,
         F.col("v0").alias("actual"),
-        dot(F.col("x"), F.col("fit.beta")).alias("mean"),
-        quadratic(F.col("x"), F.col("fit.inverse")).alias("leverage"),
-        F.col("fit.sigma2").alias("sigma2"),
+        dot(F.col("_x"), F.col("_fit.beta")).alias("mean"),
+        quadratic(F.col("_x"), F.col("_fit.inverse")).alias("leverage"),
+        F.col("_fit.sigma2").alias("sigma2"),
     )
 
 
