@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tspanel.operators.arima import arima_residuals, candidates, fit_arima, with_candidate_aicc
+from tspanel.operators.arima import arima_residuals, candidate_table, candidates, fit_arima
 from tspanel.operators.regression import (
     coefficient_table,
     fit_regressions,
@@ -335,9 +335,9 @@ def arima_grid(spark, folder):
     mean = spec.mean_model(0, 0)
     fits = stage(fit_regressions(data, KEYS, [mean], "month"))
     u = residuals(data, fits, KEYS, [mean], "month")
-    table = candidates(u, KEYS, {"grid": [spec]}, "month").withColumn("mean_rank", F.lit(1))
+    found = candidates(u, KEYS, {"grid": [spec]}, "month").withColumn("mean_rank", F.lit(1))
     order = Window.partitionBy("key").orderBy("aicc", "p")
-    out = with_candidate_aicc(table).withColumn("rank", F.row_number().over(order))
+    out = candidate_table(found, KEYS).withColumn("rank", F.row_number().over(order))
     return rounded(out.select("key", "n", "p", "aicc", "rank"), ["aicc"], 5)
 
 

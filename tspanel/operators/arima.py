@@ -8,7 +8,7 @@ and seasonal lags add to the ordinary ones instead of multiplying.
 2. A long autoregression of u, from lagged products, gives shocks e.
 3. One set of products of lags of u and e serves every candidate order as a
    sub-system; the best AICc per key and specification wins.
-4. The one-step errors of the winner over the whole series give variance and AICc.
+4. The winner is estimated jointly with its regression over the whole series.
 
 All steps are clustered by key, and per-key results are joined back on the key. The
 residuals and each set of fits are stored once (``stage``), so no step recomputes the
@@ -28,6 +28,7 @@ from tspanel.functions import FREQUENCIES
 from tspanel.functions.criteria import likelihood_criteria
 from tspanel.operators import arma
 from tspanel.operators.algebra import unpack
+from tspanel.operators.design import Design
 from tspanel.operators.describe import as_series, kpss, seasonal_strength, stl
 from tspanel.operators.forecast import extended, with_intervals
 from tspanel.operators.panel import by_period, melt
@@ -149,6 +150,10 @@ def _sums(values: list[Column]) -> Column:
     return F.array(*[F.sum(a * b) for i, a in enumerate(values) for b in values[i:]])
 
 
+def _grids(users: dict[str, Sequence[Arima]]) -> dict[str, list[tuple[int, int, int, int]]]:
+    return {mean: sorted({o for s in specs for o in s.orders()}) for mean, specs in users.items()}
+
+
 def candidates(
     u: DataFrame,
     keys: Sequence[str],
@@ -159,13 +164,14 @@ def candidates(
     """Every order of every mean structure, solved from common products.
 
     ``u`` is ``(keys, model, period, residual)`` with the mean structure in ``model``;
-    ``users`` lists the specifications per structure. Returns ``(keys, model, n, p, q,
-    sp, sq, sse, stable, ar, ma)``. All orders of a structure share one sample, so their
-    criteria compare.
+    ``users`` lists the specifications per structure. Returns one row per (key,
+    structure): ``n``, the array ``found`` of ``(p, q, sp, sq, sse, stable)`` and the
+    coefficients of all orders in one flat array ``coefs``, ``ar_size + ma_size`` values
+    each. All orders of a structure share one sample, so their criteria compare.
     """
     m = FREQUENCIES[freq].seasons
     by = [*keys, "model"]
-    grids = {k: sorted({o for s in v for o in s.orders()}) for k, v in users.items()}
+    grids = _grids(users)
     every = [o for g in grids.values() for o in g]
     ar_lags = sorted({i for p, _, P, _ in every for i in arma.lag_positions(p, P, m)})
     ma_lags = sorted({i for _, q, _, Q in every for i in arma.lag_positions(q, Q, m)})
@@ -185,30 +191,80 @@ def candidates(
         F.count(F.lit(1)).alias("n"), _sums([F.col(c) for c in names]).alias("gram")
     )
 
-    @F.pandas_udf(
-        "array<struct<p: int, q: int, sp: int, sq: int, sse: double, stable: boolean,"
-        " ar: array<double>, ma: array<double>>>"
-    )
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<sse: array<double>, stable: array<boolean>, coefs: array<double>>")
+    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for model, flat in batches:
-            out = [[] for _ in range(len(model))]
+            sse, stable, coefs = ([None] * len(model) for _ in range(3))
             for name, where in model.groupby(model).indices.items():
                 gram = unpack(np.stack(flat.iloc[where].to_numpy()), len(names))
-                for (p, q, P, Q), sse, ar, ma in arma.solve_orders(
+                sums, oks, values = [], [], []
+                for total, ar, ma in arma.solve_orders(
                     gram, grids[name], ar_lags, ma_lags, m, ar_size, ma_size
                 ):
-                    stable = arma.is_stable(ar) & arma.is_stable(-ma)
-                    for i, row in enumerate(where):
-                        out[row].append(
-                            {
-                                "p": p, "q": q, "sp": P, "sq": Q, "sse": sse[i],
-                                "stable": bool(stable[i]), "ar": ar[i], "ma": ma[i],
-                            }
-                        )
-            yield pd.Series(out)
+                    sums.append(total)
+                    oks.append(arma.is_stable(ar) & arma.is_stable(-ma))
+                    values += [ar, ma]
+                for out, table in zip(
+                    (sse, stable, coefs),
+                    (np.stack(sums, 1), np.stack(oks, 1), np.concatenate(values, 1)),
+                ):
+                    for row, w in enumerate(where):
+                        out[w] = table[row]
+            yield pd.DataFrame({"sse": sse, "stable": stable, "coefs": coefs})
+
+    orders = None
+    for name, grid in grids.items():
+        listed = F.array(
+            *[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, ORDER_COLUMNS)]) for o in grid]
+        )
+        is_mean = F.col("model") == name
+        orders = F.when(is_mean, listed) if orders is None else orders.when(is_mean, listed)
+    found = F.transform(
+        F.arrays_zip(orders.alias("o"), F.col("s.sse").alias("sse"), F.col("s.stable").alias("ok")),
+        lambda x: F.struct(
+            *[x["o"][c].alias(c) for c in ORDER_COLUMNS],
+            x["sse"].alias("sse"),
+            x["ok"].alias("stable"),
+        ),
+    )
+    return grams.withColumn("s", solve("model", "gram")).select(
+        *by, "n", found.alias("found"), F.col("s.coefs").alias("coefs"),
+        F.lit(ar_size).alias("ar_size"), F.lit(ma_size).alias("ma_size"),
+    )
+
+
+def candidate_table(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per candidate: ``(keys, model, n, p, q, sp, sq, sse, stable, k, aicc)``.
+
+    ``mean_rank``, the number of regression terms, has to be a column of ``found``.
+    """
+    rows = found.select(*keys, "model", "n", "mean_rank", F.inline("found"))
+    k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
+    criteria = likelihood_criteria(F.col("n"), k, F.col("sse"))
+    aicc = F.when(F.col("stable"), criteria["aicc"])
+    return rows.withColumn("k", k).withColumn("aicc", aicc).drop("mean_rank")
+
+
+def _best(spec: Arima, x: str = "found") -> Column:
+    """The candidate with the least AICc among the orders of one specification.
 
-    solved = grams.withColumn("all", solve("model", "gram"))
-    return solved.select(*by, "n", F.inline("all"))
+    A struct whose leading fields are the ranking; unstable candidates come last.
+    """
+
+    def ranked(c: Column, i: Column) -> Column:
+        k = sum(c[o] for o in ORDER_COLUMNS) + F.col("mean_rank") + 1
+        aicc = likelihood_criteria(F.col("n"), k, c["sse"])["aicc"]
+        return F.struct(
+            (~c["stable"]).alias("unstable"),
+            aicc.isNull().alias("unknown"),
+            aicc.alias("score"),
+            k.alias("k"),
+            *[c[o].alias(o) for o in ORDER_COLUMNS],
+            i.alias("at"),
+        )
+
+    allowed = F.filter(F.transform(x, ranked), lambda c: _order_choice(spec, lambda o: c[o]))
+    return F.array_min(allowed)
 
 
 def _with_shocks(rows: DataFrame, keys: Sequence[str], top: int, choose: bool) -> DataFrame:
@@ -249,15 +305,6 @@ def _order_choice(spec: Arima, column) -> Column:
     return inside
 
 
-def with_candidate_aicc(table: DataFrame) -> DataFrame:
-    """Add ``k`` and the criteria of a candidate; ``mean_rank`` counts regression terms."""
-    k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
-    criteria = likelihood_criteria(F.col("n"), k, F.col("sse"))
-    return table.withColumn("k", k).withColumn(
-        "aicc", F.when(F.col("stable"), criteria["aicc"])
-    )
-
-
 def fit_arima(
     train: DataFrame,
     keys: Sequence[str],
@@ -270,9 +317,10 @@ def fit_arima(
     """Fit every specification for every key; one row per (key, model).
 
     Columns: ``family, mean, d, sd, p, q, sp, sq, orders, stable, n, rank, sse, sigma2,
-    loglik, aic, aicc, bic, terms, beta, inverse, coef, ar, ma``. Orders given as ranges
-    are searched exhaustively by AICc on a common sample. ``refine`` is the number of
-    Gauss-Newton steps for the winner. ``only`` holds ``(keys, models)``: per key, the
+    loglik, aic, aicc, bic, terms, beta, ar, ma``, and the coefficients with their normal
+    matrix in ``coef_terms, coef_values, inverse, coef``. Orders given as ranges are
+    searched exhaustively by AICc on a common sample. ``refine`` is the number of joint
+    Gauss-Newton steps for the winner; 0 keeps the two-step estimates. ``only`` holds ``(keys, models)``: per key, the
     specifications to fit.
     """
     m = FREQUENCIES[freq].seasons
@@ -306,92 +354,103 @@ def fit_arima(
             *keys, "model", "period", "residual"
         )
     )
-    table = candidates(u, keys, means.users, freq, long_ar)
-
+    found = candidates(u, keys, means.users, freq, long_ar)
     picks = nest_fits(
         chosen.withColumnRenamed("spec", "model"), keys, ["mean", "d", "sd"], "_picks"
     )
-    mean_columns = ["terms", "beta", "inverse", "rank"]
-    nested = nest_fits(mean_fits, keys, mean_columns, "_means")
-    table = table.join(picks, list(keys)).join(nested, list(keys))
-    table = table.withColumn("mean_rank", F.col("_means")[F.col("model")]["rank"])
-    table = with_candidate_aicc(table)
-    uses = [
+    nested = nest_fits(mean_fits, keys, ["terms", "beta", "rank"], "_means")
+    found = found.join(picks, list(keys)).join(nested, list(keys))
+    found = found.withColumn("mean_rank", F.col("_means")[F.col("model")]["rank"])
+    families = F.create_map(*[F.lit(v) for s in specs for v in (s.name, s.family)])
+    wins = [
         F.when(
-            (F.col("_picks")[s.name]["mean"] == F.col("model")) & _order_choice(s, F.col),
-            F.lit(s.name),
+            F.col("_picks")[s.name]["mean"] == F.col("model"),
+            F.struct(F.lit(s.name).alias("spec"), _best(s).alias("best")),
         )
         for s in specs
     ]
-    listed = F.filter(F.array(*uses), lambda x: x.isNotNull())
-    row = F.struct(
-        *ORDER_COLUMNS, "stable", "ar", "ma", F.col("model").alias("mean"), "mean_rank"
-    )
-    # nulls sort first in a comparison of structs, so flags lead
-    order = F.struct(
-        ~F.col("stable"), F.col("aicc").isNull(), F.col("aicc"),
-        F.col("k"), *[F.col(c) for c in ORDER_COLUMNS],
-    )
+    size = F.col("ar_size") + F.col("ma_size")
+    start = F.col("best.at") * size + 1
     best = (
-        table.withColumn("spec", F.explode(listed))
-        .groupBy(*keys, "spec")
-        .agg(F.min_by(row, order).alias("best"))
-        .select(*keys, F.col("spec").alias("model"), "best.*")
-    )
-    series = as_series(u, [*keys, "model"], ["residual"]).withColumnRenamed("residual", "u")
-    series = nest_fits(series, keys, ["u"], "_series")
-    final = best.join(series, list(keys)).withColumn("u", F.col("_series")[F.col("mean")]["u"])
-    fitted = final.withColumn("s", _final_fit(m, refine)("u", "ar", "ma", *ORDER_COLUMNS))
-    k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
-    families = {s.name: F.lit(s.family) for s in specs}
-    family = F.lit(None).cast("string")
-    for name, value in families.items():
-        family = F.when(F.col("model") == name, value).otherwise(family)
-    out = (
-        fitted.join(picks, list(keys))
-        .join(nested, list(keys))
+        found.withColumn("win", F.explode(F.filter(F.array(*wins), lambda x: x.isNotNull())))
+        .select("*", "win.spec", "win.best")
         .select(
             *keys,
-            "model",
-            family.alias("family"),
-            "mean",
-            F.col("_picks")[F.col("model")]["d"].alias("d"),
-            F.col("_picks")[F.col("model")]["sd"].alias("sd"),
-            *ORDER_COLUMNS, "stable",
-            "s.n",
-            k.cast("int").alias("rank"),
-            "s.sse",
-            *[F.col("_means")[F.col("mean")][c].alias(c) for c in mean_columns if c != "rank"],
-            "s.ar",
-            "s.ma",
+            F.col("spec").alias("model"),
+            F.col("model").alias("mean"),
+            F.col("_picks")[F.col("spec")]["d"].alias("d"),
+            F.col("_picks")[F.col("spec")]["sd"].alias("sd"),
+            *[F.col("best")[c].alias(c) for c in ORDER_COLUMNS],
+            (~F.col("best.unstable")).alias("stable"),
+            "mean_rank",
+            F.col("_means")[F.col("model")]["terms"].alias("terms"),
+            F.col("_means")[F.col("model")]["beta"].alias("beta0"),
+            F.slice("coefs", start, F.col("ar_size")).alias("ar0"),
+            F.slice("coefs", start + F.col("ar_size"), F.col("ma_size")).alias("ma0"),
         )
     )
+    design = Design(shapes, freq)
+    dense = [f"v{i}" for i in range(design.width)]
+    series = as_series(
+        design.rows(train, keys, needed).filter(design.complete()), [*keys, "model"], ["cell", *dense]
+    ).withColumn("dense", F.flatten(F.array(*dense)))
+    series = nest_fits(series, keys, ["cell", "dense"], "_series")
+    final = best.join(series, list(keys)).withColumn("_s", F.col("_series")[F.col("mean")])
+    fitted = final.withColumn(
+        "s",
+        _final_fit(design, m, refine)(
+            "mean", "_s.cell", "_s.dense", "beta0", "ar0", "ma0", *ORDER_COLUMNS
+        ),
+    )
+    k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
+    known = F.zip_with("beta0", "s.beta", lambda old, new: F.when(old.isNotNull(), new))
     # ``rank`` counts the free parameters with the variance, as the criteria do
+    out = fitted.select(
+        *keys, "model", families[F.col("model")].alias("family"), "mean", "d", "sd",
+        *ORDER_COLUMNS, "stable", "s.n", k.cast("int").alias("rank"), "s.sse", "terms",
+        known.alias("beta"), "s.ar", "s.ma", F.col("s.inverse").alias("inverse"),
+    )
+    names = F.concat("terms", _lag_names("ar", "p", "sp", m), _lag_names("ma", "q", "sq", m))
+    values = F.concat("beta", _lag_values("ar", "p", "sp", m), _lag_values("ma", "q", "sq", m))
     criteria = likelihood_criteria(F.col("n"), F.col("rank"), F.col("sse"))
     out = out.withColumns(
         {
             "orders": order_label(m),
-            "sigma2": F.when(F.col("n") > F.col("rank") - 1, F.col("sse") / (F.col("n") - F.col("rank") + 1)),
-            "coef": F.map_concat(F.map_from_arrays("terms", "beta"), _arma_map("ar", "ar"), _arma_map("ma", "ma")),
+            "sigma2": F.when(
+                F.col("n") > F.col("rank") - 1, F.col("sse") / (F.col("n") - F.col("rank") + 1)
+            ),
+            "coef_terms": names,
+            "coef_values": values,
+            "coef": F.map_from_arrays(names, values),
             **criteria,
         }
     )
     return stage(out)
 
 
-def order_label(m: int) -> Column:
-    return F.format_string(
-        f"ARIMA(%d,%d,%d)(%d,%d,%d)[{m}]", *[F.col(c) for c in ("p", "d", "q", "sp", "sd", "sq")]
+def _lags(order: str, seasonal: str, m: int) -> Column:
+    """The lags of a part of the model, as an array; repeats are counted once."""
+    plain = F.filter(F.sequence(F.lit(0), F.col(order)), lambda i: i > 0)
+    by_season = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col(seasonal)), lambda i: i > 0), lambda i: i * m
+    )
+    return F.array_union(plain, by_season)
+
+
+def _lag_names(part: str, order: str, seasonal: str, m: int) -> Column:
+    return F.transform(
+        _lags(order, seasonal, m), lambda i: F.concat(F.lit(part), i.cast("string"))
     )
 
 
-def _arma_map(column: str, prefix: str) -> Column:
-    """The non-zero coefficients of a dense array as a map ``prefix<lag> -> value``."""
-    pairs = F.transform(
-        F.col(column),
-        lambda v, i: F.struct(F.concat(F.lit(prefix), (i + 1).cast("string")).alias("k"), v.alias("v")),
+def _lag_values(part: str, order: str, seasonal: str, m: int) -> Column:
+    return F.transform(_lags(order, seasonal, m), lambda i: F.element_at(F.col(part), i))
+
+
+def order_label(m: int) -> Column:
+    return F.format_string(
+        f"ARIMA(%d,%d,%d)(%d,%d,%d)[{m}]", *[F.col(c) for c in ("p", "d", "q", "sp", "sd", "sq")]
     )
-    return F.map_from_entries(F.filter(pairs, lambda x: x["v"] != 0))
 
 
 def _padded(arrays: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -403,28 +462,52 @@ def _padded(arrays: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, live
 
 
-def _final_fit(m: int, steps: int):
-    @F.pandas_udf("struct<n: bigint, sse: double, ar: array<double>, ma: array<double>>")
-    def final(
-        batches: Iterator[tuple[pd.Series, ...]],
-    ) -> Iterator[pd.DataFrame]:
-        for u, ar, ma, p, q, P, Q in batches:
-            sse = np.zeros(len(u))
-            ar_out, ma_out = [None] * len(u), [None] * len(u)
-            orders = pd.Series(list(zip(p, q, P, Q)))
-            for (p_, q_, P_, Q_), where in orders.groupby(orders).indices.items():
-                values, live = _padded(u.iloc[where].to_numpy())
-                start = [np.stack(c.iloc[where].to_numpy()) for c in (ar, ma)]
-                new_ar, new_ma, _, total = arma.refine(
-                    values, live, *start, arma.lag_positions(p_, P_, m),
-                    arma.lag_positions(q_, Q_, m), steps,
-                )
-                sse[where] = total
-                for i, w in enumerate(where):
-                    ar_out[w], ma_out[w] = new_ar[i], new_ma[i]
-            yield pd.DataFrame(
-                {"n": u.str.len().astype("int64").to_numpy(), "sse": sse, "ar": ar_out, "ma": ma_out}
-            )
+# Doubles a final fit may hold for one slice of a batch, about 64 MB.
+SLICE_VALUES = 8_000_000
+
+
+def _final_fit(design: Design, m: int, steps: int):
+    terms, width = design.terms, design.width
+
+    @F.pandas_udf(
+        "struct<n: bigint, sse: double, beta: array<double>, ar: array<double>,"
+        " ma: array<double>, inverse: array<double>>"
+    )
+    def final(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for mean, cell, dense, beta, ar, ma, p, q, P, Q in batches:
+            size = len(mean)
+            n = cell.str.len().to_numpy("int64")
+            sse = np.zeros(size)
+            parts = {c: [None] * size for c in ("beta", "ar", "ma", "inverse")}
+            shape = pd.Series(list(zip(mean, p, q, P, Q)))
+            for (name, p_, q_, P_, Q_), members in shape.groupby(shape).indices.items():
+                t = terms[name]
+                a, b = arma.lag_positions(p_, P_, m), arma.lag_positions(q_, Q_, m)
+                columns = len(t.all) + len(a) + len(b) + 1
+                step = max(1, SLICE_VALUES // (columns * int(n[members].max())))
+                for i in range(0, len(members), step):
+                    where = members[i : i + step]
+                    live = np.arange(n[where].max()) < n[where][:, None]
+                    cells = np.zeros(live.shape, dtype=int)
+                    cells[live] = np.concatenate(cell.iloc[where].to_numpy())
+                    table = [v.reshape(width, -1) for v in dense.iloc[where]]
+                    values = np.zeros((*live.shape, width))
+                    values[live] = np.concatenate([v.T for v in table])
+                    start = np.stack(beta.iloc[where].to_numpy()).astype(float)
+                    start = start.reshape(len(where), len(t.all))
+                    x = np.concatenate([t.matrix[cells], values[:, :, 1 : len(t.lags) + 1]], axis=2)
+                    # aliased regressors stay out
+                    x = np.where(np.isnan(start)[:, None, :], 0.0, x * live[:, :, None])
+                    first = [np.stack(c.iloc[where].to_numpy()) for c in (ar, ma)]
+                    *coefs, total, inverse = arma.estimate(
+                        values[:, :, 0] * live, x, live, np.nan_to_num(start), *first, a, b, steps
+                    )
+                    sse[where] = total
+                    flat = inverse.reshape(len(where), -1)
+                    for c, rows in zip(("beta", "ar", "ma", "inverse"), (*coefs, flat)):
+                        for row, w in zip(rows, where):
+                            parts[c][w] = row
+            yield pd.DataFrame({"n": n, "sse": sse, **parts})
 
     return final
 

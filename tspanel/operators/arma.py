@@ -61,7 +61,7 @@ def solve_orders(gram, grid, ar_lags, ma_lags, m, ar_size, ma_size):
     """Least squares of every order in ``grid`` as a sub-system of common products.
 
     ``gram`` covers the columns [lags of the series, lags of the shocks, series].
-    Yields ``(order, sse, ar, ma)`` per order.
+    Yields ``(sse, ar, ma)`` per order.
     """
     at_ar = {lag: i for i, lag in enumerate(ar_lags)}
     at_ma = {lag: len(ar_lags) + i for i, lag in enumerate(ma_lags)}
@@ -71,7 +71,7 @@ def solve_orders(gram, grid, ar_lags, ma_lags, m, ar_size, ma_size):
         use = [*(at_ar[i] for i in a), *(at_ma[i] for i in b), last]
         swept, kept = sweep(gram[:, use][:, :, use], range(len(use) - 1))
         coef = np.where(kept[:, :-1], swept[:, :-1, -1], 0.0)
-        yield (p, q, P, Q), np.maximum(swept[:, -1, -1], 0.0), spread(
+        yield np.maximum(swept[:, -1, -1], 0.0), spread(
             coef[:, : len(a)], a, ar_size
         ), spread(coef[:, len(a) :], b, ma_size)
 
@@ -103,34 +103,51 @@ def shocks(u: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     return recurse(v, ma, list(np.flatnonzero(ma.any(axis=0)) + 1))
 
 
-def refine(u, live, ar, ma, ar_lags, ma_lags, steps):
-    """Gauss-Newton steps on the sum of squared one-step errors.
+def estimate(y, x, live, beta, ar, ma, ar_lags, ma_lags, steps):
+    """Gauss-Newton steps on the sum of squared one-step errors of a regression with
+    ARMA errors, jointly in all coefficients.
 
-    The derivatives are the series and the shocks filtered by the moving average, so
-    each step is one regression of the shocks on their lags. A step is kept where it
-    lowers the error and the process stays stable. ``live`` masks the padding.
+    The derivatives are the regressors filtered like the series, and the series and
+    shocks filtered by the moving average, so each step is one regression of the
+    shocks. A step is kept where it lowers the error and the process stays stable.
+    ``live`` masks the padding. Returns coefficients, error sum and the inverse
+    normal matrix in the order regressors, AR lags, MA lags.
     """
-    ar, ma = ar.copy(), ma.copy()
-    e = shocks(u, ar, ma) * live
-    sse = (e**2).sum(axis=1)
-    size = len(ar_lags) + len(ma_lags)
-    for _ in range(steps if size else 0):
+    beta, ar, ma = beta.copy(), ar.copy(), ma.copy()
+    k, na, nb = x.shape[2], len(ar_lags), len(ma_lags)
+
+    def errors(beta, ar, ma):
+        u = (y - np.einsum("btk,bk->bt", x, beta)) * live
+        return u, shocks(u, ar, ma) * live
+
+    def normal(u, e, ar, ma):
+        columns = [shocks(x[:, :, j], ar, ma) for j in range(k)]
         v, z = recurse(u, ma, ma_lags), recurse(e, ma, ma_lags)
-        columns = [shifted(v, i) for i in ar_lags] + [shifted(z, j) for j in ma_lags]
-        x = np.stack([*(c * live for c in columns), e], axis=2)
-        swept, kept = sweep(np.einsum("bti,btj->bij", x, x, optimize=True), range(size))
-        move = np.where(kept[:, :size], swept[:, :size, size], 0.0)
-        for scale in (1.0, 0.5, 0.1):
-            new_ar = ar + scale * spread(move[:, : len(ar_lags)], ar_lags, ar.shape[1])
-            new_ma = ma + scale * spread(move[:, len(ar_lags) :], ma_lags, ma.shape[1])
-            with np.errstate(over="ignore", invalid="ignore"):
-                new_e = shocks(u, new_ar, new_ma) * live
+        columns += [shifted(v, i) for i in ar_lags] + [shifted(z, j) for j in ma_lags]
+        design = np.stack([*(c * live for c in columns), e], axis=2)
+        gram = np.einsum("bti,btj->bij", design, design, optimize=True)
+        swept, kept = sweep(gram, range(k + na + nb))
+        kept = kept[:, :-1]
+        move = np.where(kept, swept[:, :-1, -1], 0.0)
+        inverse = np.where(kept[:, :, None] & kept[:, None, :], swept[:, :-1, :-1], 0.0)
+        return move, inverse
+
+    u, e = errors(beta, ar, ma)
+    sse = (e**2).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(steps if na + nb else 0):
+            move, _ = normal(u, e, ar, ma)
+            for scale in (1.0, 0.5, 0.1):
+                new_beta = beta + scale * move[:, :k]
+                new_ar = ar + scale * spread(move[:, k : k + na], ar_lags, ar.shape[1])
+                new_ma = ma + scale * spread(move[:, k + na :], ma_lags, ma.shape[1])
+                new_u, new_e = errors(new_beta, new_ar, new_ma)
                 new_sse = (new_e**2).sum(axis=1)
-            good = (new_sse < sse) & is_stable(new_ar) & is_stable(-new_ma)
-            ar[good], ma[good], e[good], sse[good] = (
-                new_ar[good], new_ma[good], new_e[good], new_sse[good],
-            )
-    return ar, ma, e, sse
+                good = (new_sse < sse) & is_stable(new_ar) & is_stable(-new_ma)
+                beta[good], ar[good], ma[good] = new_beta[good], new_ar[good], new_ma[good]
+                u[good], e[good], sse[good] = new_u[good], new_e[good], new_sse[good]
+        _, inverse = normal(u, e, ar, ma)
+    return beta, ar, ma, sse, inverse
 
 
 def expand(ar: np.ndarray, d: int, D: int, m: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tspanel.functions import FREQUENCIES, period_index, season_of
 from tspanel.operators.panel import by_period, widen
-from tspanel.operators.stl import operators
+from tspanel.operators.stl import Plan
 
 # Critical values of the level-stationarity test and their p-values.
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
@@ -215,15 +215,15 @@ def stl(df: DataFrame, keys: Sequence[str], freq: str, value: str = "value") ->
 
     @F.pandas_udf("struct<trend: array<double>, season: array<double>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matrices = {}
+        plans = {}
         for values in batches:
             trend, season = ([None] * len(values) for _ in range(2))
             for n, where in values.groupby(values.str.len()).indices.items():
-                if n not in matrices:
-                    matrices[n] = operators(n, m)
-                y = np.stack(values.iloc[where].to_numpy())
-                for out, matrix in zip((trend, season), matrices[n]):
-                    for w, row in zip(where, y @ matrix.T):
+                if n not in plans:
+                    plans[n] = Plan(n, m)
+                parts = plans[n].decompose(np.stack(values.iloc[where].to_numpy()))
+                for out, part in zip((trend, season), parts):
+                    for w, row in zip(where, part):
                         out[w] = row
             yield pd.DataFrame({"trend": trend, "season": season})
 

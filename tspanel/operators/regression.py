@@ -116,16 +116,8 @@ def solver(design: Design):
                     flat = value.reshape(len(where), -1) if k in ("beta", "inverse") else value
                     for i, w in enumerate(where):
                         out[k][w] = flat[i]
-            yield pd.DataFrame(
-                {
-                    "n": out["n"].astype("int64"),
-                    "rank": out["rank"].astype("int32"),
-                    "sse": out["sse"].astype(float),
-                    "tss": out["tss"].astype(float),
-                    "beta": [[None if np.isnan(b) else b for b in v] for v in out["beta"]],
-                    "inverse": list(out["inverse"]),
-                }
-            )
+            kinds = {"n": "int64", "rank": "int32", "sse": "float64", "tss": "float64"}
+            yield pd.DataFrame({k: v.astype(kinds.get(k, object)) for k, v in out.items()})
 
     return solve
 
@@ -153,7 +145,9 @@ def solve_statistics(design: Design, stats: DataFrame, keys: Sequence[str]) -> D
         "model",
         design.by_model(families).alias("family"),
         design.by_model(names).alias("terms"),
-        "s.*",
+        *[f"s.{c}" for c in ("n", "rank", "sse", "tss")],
+        F.transform("s.beta", lambda b: F.when(~F.isnan(b), b)).alias("beta"),
+        "s.inverse",
     )
 
 
@@ -202,7 +196,11 @@ def t_test(t: pd.Series, df: pd.Series) -> pd.Series:
 
 def coefficient_table(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys, model, term, estimate, std_error, statistic, p_value)``."""
-    size = F.size("terms")
+    with_errors = "coef_terms" in fits.columns
+    terms, beta = ("coef_terms", "coef_values") if with_errors else ("terms", "beta")
+    # the rank of a model with ARIMA errors includes the variance
+    df = F.col("n") - F.col("rank") + (1 if with_errors else 0)
+    size = F.size(terms)
     variances = F.transform(
         F.sequence(F.lit(0), size - 1),
         lambda i: F.element_at("inverse", i * size + i + 1) * F.col("sigma2"),
@@ -210,8 +208,12 @@ def coefficient_table(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = fits.filter(size > 0).select(
         *keys,
         "model",
-        (F.col("n") - F.col("rank")).cast("double").alias("df"),
-        F.inline(F.arrays_zip("terms", "beta", variances.alias("variance"))),
+        df.cast("double").alias("df"),
+        F.inline(
+            F.arrays_zip(
+                F.col(terms).alias("terms"), F.col(beta).alias("beta"), variances.alias("variance")
+            )
+        ),
     )
     se = F.when(F.col("beta").isNotNull() & (F.col("variance") >= 0), F.sqrt("variance"))
     return (

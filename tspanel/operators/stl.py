@@ -1,4 +1,4 @@
-"""The loess step of the seasonal-trend decomposition, for one short array."""
+"""The loess steps of the seasonal-trend decomposition, for a batch of equally long series."""
 
 from __future__ import annotations
 
@@ -17,52 +17,66 @@ def next_odd(x: float) -> int:
     return n if n % 2 else n + 1
 
 
-def loess_weights(n: int, at: np.ndarray, window: int, degree: int) -> np.ndarray:
-    """Rows of weights that turn values at 0..n-1 into loess fits at positions ``at``."""
-    x = np.arange(n, dtype=float)
+def loess_weights(n: int, at: np.ndarray, window: int, degree: int):
+    """First index and weights of the local fit at each position of ``at``.
+
+    A fit uses ``min(window, n)`` neighbours, so the weights are a narrow band and
+    memory grows with n, not with its square.
+    """
     q = min(window, n)
-    left = np.clip(np.ceil(at - q / 2), 0, n - q)
+    left = np.clip(np.ceil(at - q / 2), 0, n - q).astype(int)
+    x = left[:, None] + np.arange(q)
     reach = np.maximum(at - left, left + q - 1 - at) + max(0, (window - n) // 2)
-    inside = (x >= left[:, None]) & (x < left[:, None] + q)
     ratio = np.abs(x - at[:, None]) / np.maximum(reach, 1e-12)[:, None]
-    w = np.where(inside & (ratio < 0.999), (1 - np.minimum(ratio, 1) ** 3) ** 3, 0.0)
-    w = np.where(inside & (ratio <= 0.001), 1.0, w)
+    w = np.where(ratio < 0.999, (1 - np.minimum(ratio, 1) ** 3) ** 3, 0.0)
+    w = np.where(ratio <= 0.001, 1.0, w)
     w /= w.sum(axis=1, keepdims=True)
     if degree:
-        centre = w @ x
+        centre = (w * x).sum(axis=1)
         off = x - centre[:, None]
         spread = (w * off**2).sum(axis=1)
         usable = np.sqrt(spread) > 0.001 * max(n - 1, 1)
         slope = np.where(usable, (at - centre) / np.where(usable, spread, 1), 0)
         w = w * (1 + slope[:, None] * off)
-    return w
+    return left, w
 
 
-def operators(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrices that map a series of length ``n`` to its trend and its season.
+def smooth(y: np.ndarray, weights) -> np.ndarray:
+    left, w = weights
+    return sum(w[:, j] * y[:, left + j] for j in range(w.shape[1]))
 
-    Without robustness weights the decomposition is linear in the data, so series
-    of one length share the matrices.
-    """
-    trend_window = next_odd(1.5 * m / (1 - 1.5 / SEASON_WINDOW))
-    cycles = np.zeros((n + 2 * m, n))
-    for phase in range(m):
-        index = np.arange(phase, n, m)
-        at = np.arange(-1, len(index) + 1, dtype=float)
-        rows = phase + m * np.arange(len(at))
-        weights = loess_weights(len(index), at, SEASON_WINDOW, SEASON_DEGREE)
-        cycles[np.ix_(rows, index)] = weights
-    average = np.eye(n + 2 * m)
-    for width in (m, m, 3):
-        size = average.shape[0] - width + 1
-        average = sum(average[i : i + size] for i in range(width)) / width
-    points = np.arange(n, dtype=float)
-    lowpass = loess_weights(n, points, next_odd(m), LOWPASS_DEGREE) @ average
-    smooth_season = cycles[m : m + n] - lowpass @ cycles
-    smooth_trend = loess_weights(n, points, trend_window, TREND_DEGREE)
-    trend, season, same = np.zeros((n, n)), np.zeros((n, n)), np.eye(n)
-    for _ in range(PASSES):
-        season = smooth_season @ (same - trend)
-        trend = smooth_trend @ (same - season)
-    return trend, season
 
+def moving_average(y: np.ndarray, width: int) -> np.ndarray:
+    size = y.shape[1] - width + 1
+    return sum(y[:, i : i + size] for i in range(width)) / width
+
+
+class Plan:
+    """The weights for series of length ``n`` with ``m`` seasons."""
+
+    def __init__(self, n: int, m: int):
+        self.n, self.m = n, m
+        points = np.arange(n, dtype=float)
+        trend_window = next_odd(1.5 * m / (1 - 1.5 / SEASON_WINDOW))
+        self.trend = loess_weights(n, points, trend_window, TREND_DEGREE)
+        self.lowpass = loess_weights(n, points, next_odd(m), LOWPASS_DEGREE)
+        sizes = {len(range(phase, n, m)) for phase in range(m)}
+        self.cycle = {
+            k: loess_weights(k, np.arange(-1, k + 1, dtype=float), SEASON_WINDOW, SEASON_DEGREE)
+            for k in sizes
+        }
+
+    def decompose(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Trend and season of the rows of ``y``."""
+        n, m = self.n, self.m
+        trend = season = np.zeros_like(y)
+        for _ in range(PASSES):
+            detrended = y - trend
+            cycles = np.zeros((len(y), n + 2 * m))
+            for phase in range(m):
+                part = detrended[:, phase::m]
+                cycles[:, phase::m] = smooth(part, self.cycle[part.shape[1]])
+            low = moving_average(moving_average(moving_average(cycles, m), m), 3)
+            season = cycles[:, m : m + n] - smooth(low, self.lowpass)
+            trend = smooth(y - season, self.trend)
+        return trend, season
