@@ -154,6 +154,15 @@ def _grids(users: dict[str, Sequence[Arima]]) -> dict[str, list[tuple[int, int,
     return {mean: sorted({o for s in specs for o in s.orders()}) for mean, specs in users.items()}
 
 
+def _listed(grid: list[tuple[int, int, int, int]]) -> Column:
+    """The orders as one constant array of structs."""
+    items = (
+        "named_struct(" + ", ".join(f"'{c}', {v}" for c, v in zip(ORDER_COLUMNS, o)) + ")"
+        for o in grid
+    )
+    return F.expr(f"array({', '.join(items)})")
+
+
 def candidates(
     u: DataFrame,
     keys: Sequence[str],
@@ -212,13 +221,10 @@ def candidates(
                         out[w] = table[row]
             yield pd.DataFrame({"sse": sse, "stable": stable, "coefs": coefs})
 
-    orders = None
-    for name, grid in grids.items():
-        listed = F.array(
-            *[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, ORDER_COLUMNS)]) for o in grid]
-        )
-        is_mean = F.col("model") == name
-        orders = F.when(is_mean, listed) if orders is None else orders.when(is_mean, listed)
+    orders = _listed(next(iter(grids.values())))
+    for name, grid in list(grids.items())[1:]:
+        if grid != grids[next(iter(grids))]:
+            orders = F.when(F.col("model") == name, _listed(grid)).otherwise(orders)
     found = F.transform(
         F.arrays_zip(orders.alias("o"), F.col("s.sse").alias("sse"), F.col("s.stable").alias("ok")),
         lambda x: F.struct(

@@ -37,6 +37,12 @@ class Terms:
         return [*self.names, *self.lags]
 
 
+def constant_matrix(matrix: np.ndarray) -> Column:
+    """A matrix as a constant array of rows."""
+    rows = ("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in matrix)
+    return F.expr(f"array({', '.join(rows)})")
+
+
 class Design:
     """The calendar cells, dense columns and terms shared by a list of models."""
 
@@ -173,7 +179,7 @@ class Design:
         for s in self.models:
             t = self.terms[s.name]
             matrix = t.level if level else t.matrix
-            cells = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
+            cells = constant_matrix(matrix)
             base = F.element_at(cells, F.col("cell") + 1) if t.names else F.array().cast("array<double>")
             if level and "drift" in t.names:
                 now = period_index(F.col("period"), self.freq.name).cast("double")

@@ -17,6 +17,8 @@ def build_session(app: str = "tspanel", master: str | None = None, **conf: str)
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # a panel is small next to the work each of its rows causes: keep all cores busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if master:
         builder = builder.master(master)
