@@ -264,34 +264,143 @@ def select_and_refit(spark, folder):
     return rounded(out, ["b1", "aicc"], 5)
 
 
-FAMILIES = [LM_1, LM_AR_1, Arima("arima", "revenue", (0, 1), 0, (0, 1), 0, 0, 0)]
+# -- families: a regression, the same with autoregressive errors, an autoregression ---
 
+FAMILIES = [LM_1, LM_AR_1, AR_1]
 
-@query()
-def compare_families(spark, folder):
-    """One model per family on the hold-out: regression, ARIMA errors, ARIMA."""
-    data = stage(supply_growth(spark, folder))
-    out = holdout_scores(data, KEYS, FAMILIES, "month", CUT)
-    return rounded(out, MEASURES, 4)
 
+def families_sql(name: str, where: str) -> str:
+    """CTEs ``<name>_e`` and ``<name>_u``: first-order error processes per key.
 
-@query()
-def select_among_families(spark, folder):
-    """Choose per key among the families, refit on all data, forecast a year."""
-    data = stage(supply_growth(spark, folder))
-    _, fits = choose(data, KEYS, FAMILIES, "month", CUT, best_per_family=True)
-    future = future_frame(data, KEYS, "month", 1).select("key", "period")
-    out = forecast_models(data, future, fits, KEYS, FAMILIES, "month")
-    return rounded(out.select("key", "model", "period", "h", *INTERVALS), INTERVALS, 4)
+    ``_e`` belongs to the residuals of the regression ``<name>``, ``_u`` to the centred
+    target.
+    """
+
+    def process(out: str, rows: str, params: str) -> str:
+        return f"""
+{out}_l AS (SELECT key, period, u, lag(u) OVER w AS u1,
+    row_number() OVER (PARTITION BY key ORDER BY period DESC) AS back FROM ({rows})
+  WINDOW w AS (PARTITION BY key ORDER BY period)),
+{out}_p AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM {out}_l
+  WHERE u1 IS NOT NULL GROUP BY 1),
+{out} AS (SELECT key, any_value(phi) AS phi, max(CASE WHEN back = 1 THEN u END) AS u_last,
+    sum(pow(u - phi * coalesce(u1, 0), 2)) / (count(*) - any_value({params})) AS sigma2
+  FROM {out}_l JOIN {out}_p USING (key) JOIN {name}_b USING (key) GROUP BY 1)"""
+
+    left = f"""SELECT r.key, r.period, r.y - s.level - b.b1 * r.x1 AS u FROM {name}_r r
+      JOIN {name}_b b USING (key) JOIN {name}_s s ON s.key = r.key AND s.s = r.s"""
+    centred = f"""SELECT key, period, y - avg(y) OVER (PARTITION BY key) AS u
+      FROM lagged WHERE {where}"""
+    return f"""
+{name}_mu AS (SELECT key, avg(y) AS mu FROM lagged WHERE {where} GROUP BY 1),
+{process(f"{name}_e", left, "rank + 1")},
+{process(f"{name}_u", centred, "2")}"""
 
 
-@query()
+def sigma_ar(sigma2: str, phi: str, h: str) -> str:
+    return f"sqrt({sigma2} * (1 - pow({phi}, 2 * {h})) / (1 - {phi} * {phi}))"
+
+
+THREE_AHEAD = f"""WITH {LAGGED}, {regression_sql('lm_1')}, {families_sql('lm_1', 'is_train')},
+t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY period) AS h
+  FROM lagged WHERE NOT is_train),
+lm AS (SELECT t.key, t.period, t.h, t.y AS actual, s.level + b.b1 * t.x1 AS mean,
+    sqrt(b.sigma2 * (1 + 1.0 / s.n_s + pow(t.x1 - s.m1, 2) / b.a)) AS sigma
+  FROM t JOIN lm_1 b USING (key) LEFT JOIN lm_1_s s ON s.key = t.key AND s.s = month(t.period)),
+fc AS (
+  SELECT 'lm_1' AS model, * FROM lm
+  UNION ALL SELECT 'lm_ar_1', lm.key, period, h, actual, mean + pow(phi, h) * u_last,
+    {sigma_ar('e.sigma2', 'phi', 'h')} FROM lm JOIN lm_1_e e USING (key)
+  UNION ALL SELECT 'ar_1', t.key, period, h, y, mu + pow(phi, h) * u_last,
+    {sigma_ar('u.sigma2', 'phi', 'h')}
+  FROM t JOIN lm_1_u u USING (key) JOIN lm_1_mu m USING (key))"""
+
+
+@query(
+    THREE_AHEAD
+    + f"""
+SELECT key, model, period, h::INTEGER AS h, {R('actual', 4)} AS actual, {bounds_sql('mean', 'sigma')}
+FROM fc WHERE model = 'lm_ar_1'"""
+)
 def arima_errors_holdout(spark, folder):
     """Hold-out forecasts of a regression with autoregressive errors."""
     data = stage(supply_growth(spark, folder))
     past, ahead = until_year(data, CUT), after_year(data, CUT)
-    fits = fit_arima(past, KEYS, [LM_AR_1], "month")
+    fits = fit_arima(past, KEYS, [LM_AR_1], "month", refine=0)
     out = forecast_arima(past, ahead, fits, KEYS, [LM_AR_1], "month")
     return rounded(out, ["actual", *INTERVALS], 4)
 
 
+FAMILY_SCORES = THREE_AHEAD + """,
+scores AS (SELECT key, model, count(*) AS n, avg(actual - mean) AS me,
+    sqrt(avg(pow(actual - mean, 2))) AS rmse, avg(abs(actual - mean)) AS mae
+  FROM fc WHERE actual - mean IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(
+    FAMILY_SCORES
+    + f""" SELECT key, model, n, {R('me', 4)} AS me, {R('rmse', 4)} AS rmse, {R('mae', 4)} AS mae
+FROM scores"""
+)
+def compare_families(spark, folder):
+    """One model per family on the hold-out."""
+    data = stage(supply_growth(spark, folder))
+    out = holdout_scores(data, KEYS, FAMILIES, "month", CUT, refine=0)
+    return rounded(out.drop("mpe", "mape", "acf1"), ["me", "rmse", "mae"], 4)
+
+
+@query(
+    FAMILY_SCORES
+    + f""",
+{regression_sql('every', where='true')}, {families_sql('every', 'true')},
+w AS (SELECT key, model, row_number() OVER (PARTITION BY key ORDER BY rmse, model) AS place
+  FROM scores),
+n AS (SELECT key, (max(period) + INTERVAL 1 MONTH)::DATE AS period,
+    arg_max(quantity, period) AS x FROM growth GROUP BY 1),
+f AS (SELECT n.key, n.period, s.level + b.b1 * n.x AS lm, e.phi AS e_phi, e.u_last AS e_last,
+    u.phi AS u_phi, u.u_last AS u_last, m.mu,
+    sqrt(b.sigma2 * (1 + 1.0 / s.n_s + pow(n.x - s.m1, 2) / b.a)) AS s_lm,
+    sqrt(e.sigma2) AS s_e, sqrt(u.sigma2) AS s_u
+  FROM n JOIN every b USING (key) JOIN every_e e USING (key) JOIN every_u u USING (key)
+  JOIN every_mu m USING (key) LEFT JOIN every_s s ON s.key = n.key AND s.s = month(n.period)),
+o AS (SELECT f.key, w.model, f.period,
+    CASE w.model WHEN 'lm_1' THEN lm WHEN 'lm_ar_1' THEN lm + e_phi * e_last
+      ELSE mu + u_phi * u_last END AS mean,
+    CASE w.model WHEN 'lm_1' THEN s_lm WHEN 'lm_ar_1' THEN s_e ELSE s_u END AS sigma
+  FROM f JOIN w ON w.key = f.key AND w.place = 1)
+SELECT key, model, period, 1::INTEGER AS h, {bounds_sql('mean', 'sigma')} FROM o"""
+)
+def select_among_families(spark, folder):
+    """Choose per key among the families, refit on all data, forecast a month."""
+    data = stage(supply_growth(spark, folder))
+    _, fits = choose(data, KEYS, FAMILIES, "month", CUT, best_per_family=True, refine=0)
+    future = future_frame(data, KEYS, "month", 1).select("key", "period")
+    out = forecast_models(data, future, fits, KEYS, FAMILIES, "month")
+    return rounded(out.select("key", "model", "period", "h", *INTERVALS), INTERVALS, 4)
+
+
+@query(
+    f"""WITH {SUPPLY_GROWTH}, {AHEAD},
+w AS (SELECT key, period, revenue AS y, revenue - lag(revenue) OVER k AS w FROM growth
+  WINDOW k AS (PARTITION BY key ORDER BY period)),
+u AS (SELECT key, period, w - avg(w) OVER (PARTITION BY key) AS u FROM w WHERE w IS NOT NULL),
+l AS (SELECT *, lag(u) OVER (PARTITION BY key ORDER BY period) AS u1 FROM u),
+b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE u1 IS NOT NULL GROUP BY 1),
+p AS (SELECT l.key, any_value(phi) AS phi, arg_max(u, period) AS u_last,
+    sum(pow(u - phi * coalesce(u1, 0), 2)) / (count(*) - 2) AS sigma2
+  FROM l JOIN b USING (key) GROUP BY 1),
+m AS (SELECT key, avg(w) AS mu, arg_max(y, period) AS y_last FROM w GROUP BY 1),
+f AS (SELECT s.key, s.period, s.h,
+    sum(mu + pow(phi, s.h) * u_last) OVER k + y_last AS mean,
+    sqrt(sigma2 * sum(pow((1 - pow(phi, s.h)) / (1 - phi), 2)) OVER k) AS sigma
+  FROM steps s JOIN p USING (key) JOIN m USING (key) WINDOW k AS (PARTITION BY s.key ORDER BY s.h))
+SELECT key, 'ari' AS model, period, h, {bounds_sql('mean', 'sigma')} FROM f"""
+)
+def forecast_differenced(spark, folder):
+    """A first-order autoregression of the differences, with drift, back in levels."""
+    spec = Arima("ari", "revenue", 1, 1, 0, 0, 0, 0)
+    data = stage(supply_growth(spark, folder).select("key", "period", "revenue"))
+    fits = fit_arima(data, KEYS, [spec], "month", refine=0)
+    future = future_frame(data, KEYS, "month", 12).select("key", "period")
+    out = forecast_arima(data, future, fits, KEYS, [spec], "month")
+    return rounded(out.select("key", "model", "period", "h", *INTERVALS), INTERVALS, 4)

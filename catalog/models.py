@@ -370,16 +370,33 @@ def orders_table(spark, folder):
     return model_orders(fits, KEYS)
 
 
-@query()
+@query(
+    f"""WITH {LAGGED}, {regression_sql('lm_1')}
+SELECT key, model, 'tslm' AS family, n, rank::INTEGER AS rank, {R('sigma2', 4)} AS sigma2,
+  {R('-n / 2.0 * (ln(2 * pi() * sse / n) + 1)', 4)} AS loglik, {R('aic', 4)} AS aic,
+  {R('aicc', 4)} AS aicc, {R('aic + (rank + 1) * (ln(n) - 2)', 4)} AS bic,
+  'quantity_lag1' AS term, {R('b1', 4)} AS estimate, {R('sqrt(sigma2 * v1)', 4)} AS std_error,
+  {R('b1 / sqrt(sigma2 * v1)', 4)} AS statistic FROM lm_1"""
+)
 def model_report(spark, folder):
     fits = stage(fit_regressions(train(spark, folder), KEYS, [LM_1], "month"))
-    out = report(fits, KEYS)
-    return rounded(out, ["sigma2", "loglik", "aic", "aicc", "bic", "estimate", "std_error", "statistic", "p_value"], 4)
+    out = report(fits, KEYS).filter("term = 'quantity_lag1'").drop("p_value")
+    numbers = ["sigma2", "loglik", "aic", "aicc", "bic", "estimate", "std_error", "statistic"]
+    return rounded(out, numbers, 4)
 
 
-@query()
+@query(
+    ONE_RESIDUALS
+    + f""",
+l AS (SELECT key, period, y, e AS u, lag(e) OVER (PARTITION BY key ORDER BY period) AS u1 FROM res),
+b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE u1 IS NOT NULL GROUP BY 1)
+SELECT key, 'lm_ar_1' AS model, period, {R('y', 4)} AS actual,
+  {R('y - u + phi * coalesce(u1, 0)', 4)} AS fitted, {R('u - phi * coalesce(u1, 0)', 4)} AS residual
+FROM l JOIN b USING (key)"""
+)
 def arima_residual_table(spark, folder):
+    """One-step errors of a regression with autoregressive errors."""
     data = stage(train(spark, folder))
-    fits = fit_arima(data, KEYS, [LM_AR_1], "month")
+    fits = fit_arima(data, KEYS, [LM_AR_1], "month", refine=0)
     out = arima_residuals(data, fits, KEYS, [LM_AR_1], "month")
     return rounded(out, ["actual", "fitted", "residual"], 4)

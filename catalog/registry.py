@@ -85,7 +85,7 @@ def supply_monthly(spark: SparkSession, folder: str) -> DataFrame:
         {
             "revenue": F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))),
             "quantity": F.sum("l_quantity"),
-            "discount": F.avg("l_discount"),
+            "discount": F.avg(F.sqrt("l_discount")),
         },
     )
 
@@ -94,7 +94,7 @@ SUPPLY_MONTHLY = """
 supply AS (
   SELECT l_suppkey AS key, date_trunc('month', l_shipdate)::DATE AS period,
          sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_quantity) AS quantity,
-         avg(l_discount) AS discount
+         avg(sqrt(l_discount)) AS discount
   FROM lineitem GROUP BY 1, 2)"""
 
 

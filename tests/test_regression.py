@@ -140,6 +140,15 @@ def test_single_row_and_repeated_names(spark):
         fit_regressions(one, KEYS, [Regression("m", "y"), Regression("m", "y")], "quarter")
 
 
+def test_equal_models_are_fitted_once(df, fits):
+    twin = Regression("twin", "y", lags=(Lag("x", 3),))
+    both = fit_regressions(df, KEYS, [*MODELS, twin], "quarter")
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(model, ") == len(MODELS)
+    rows = {(r.key, r.model): r.sse for r in both.collect()}
+    assert len(rows) == 4 * 7 and all(rows[(str(k), "twin")] == rows[(str(k), "flat")] for k in (0, 1, 2, 9))
+
+
 def test_only_restricts_models_per_key(spark, df, fits):
     only = spark.createDataFrame([("0", ["flat"]), ("1", ["full", "mean"])], "key string, models array<string>")
     some = fit_regressions(df, KEYS, MODELS, "quarter", only)

@@ -28,7 +28,7 @@ from tspanel.functions import FREQUENCIES
 from tspanel.functions.criteria import likelihood_criteria
 from tspanel.operators import arma
 from tspanel.operators.algebra import unpack
-from tspanel.operators.design import Design
+from tspanel.operators.design import Design, check_names
 from tspanel.operators.describe import as_series, kpss, seasonal_strength, stl
 from tspanel.operators.forecast import extended, with_intervals
 from tspanel.operators.panel import by_period, melt
@@ -329,6 +329,7 @@ def fit_arima(
     Gauss-Newton steps for the winner; 0 keeps the two-step estimates. ``only`` holds ``(keys, models)``: per key, the
     specifications to fit.
     """
+    check_names(specs)
     m = FREQUENCIES[freq].seasons
     means = _Means(specs)
     shapes = list(means.models.values())

@@ -37,6 +37,12 @@ class Terms:
         return [*self.names, *self.lags]
 
 
+def check_names(models: Sequence) -> None:
+    names = [s.name for s in models]
+    if len(set(names)) != len(names):
+        raise ValueError(f"model names repeat: {sorted(names)}")
+
+
 def constant_matrix(matrix: np.ndarray) -> Column:
     """A matrix as a constant array of rows."""
     rows = ("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in matrix)
@@ -47,9 +53,7 @@ class Design:
     """The calendar cells, dense columns and terms shared by a list of models."""
 
     def __init__(self, models: Sequence[Regression], freq: str):
-        names = [s.name for s in models]
-        if len(set(names)) != len(names):
-            raise ValueError(f"model names repeat: {sorted(names)}")
+        check_names(models)
         self.models = list(models)
         self.freq = FREQUENCIES[freq]
         touched = {

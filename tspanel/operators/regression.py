@@ -9,6 +9,7 @@ stable form, so large levels do not lose digits.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tspanel.functions.criteria import regression_criteria
 from tspanel.operators.algebra import student_two_sided, sweep, unpack
-from tspanel.operators.design import Design, Terms
+from tspanel.operators.design import Design, Terms, check_names
 from tspanel.operators.spec import Regression
 
 SOLUTION = "n bigint, rank int, sse double, tss double, beta array<double>, inverse array<double>"
@@ -162,11 +163,21 @@ def fit_regressions(
 
     Rows in which any column of a model is null are left out for that model alone,
     so models of one key can have different ``n``. Aliased coefficients are null and
-    do not count in ``rank``.
+    do not count in ``rank``. Models that differ in name only are fitted once.
     """
-    design = Design(models, freq)
+    check_names(models)
+    same: dict[Regression, list[str]] = {}
+    for s in models:
+        same.setdefault(replace(s, name=""), []).append(s.name)
+    if only is None and len(same) < len(models):
+        design = Design([replace(s, name=names[0]) for s, names in same.items()], freq)
+    else:
+        design, same = Design(models, freq), {}
     rows = design.rows(train, keys, only)
     fits = solve_statistics(design, statistics(design, rows, keys), keys)
+    if same:
+        copies = {n[0]: F.array(*[F.lit(v) for v in n]) for n in same.values()}
+        fits = fits.withColumn("model", F.explode(design.by_model(copies)))
     n, rank, sse, tss = (F.col(c) for c in ("n", "rank", "sse", "tss"))
     return fits.withColumns(
         {
