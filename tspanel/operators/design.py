@@ -43,12 +43,6 @@ def check_names(models: Sequence) -> None:
         raise ValueError(f"model names repeat: {sorted(names)}")
 
 
-def constant_matrix(matrix: np.ndarray) -> Column:
-    """A matrix as a constant array of rows."""
-    rows = ("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in matrix)
-    return F.expr(f"array({', '.join(rows)})")
-
-
 class Design:
     """The calendar cells, dense columns and terms shared by a list of models."""
 
@@ -173,25 +167,27 @@ class Design:
             long = long.filter(F.array_contains("models", F.col("model"))).drop("models")
         return long
 
-    def regressors(self, level: bool = False) -> Column:
-        """The regressor array of a design row, in the order of ``Terms.all``.
+    def level(self, fit: Column) -> Column:
+        """The regression mean of a design row, from the cell profile of its fit.
 
-        With ``level`` the drift column is the period number, as needed to move from
-        a differenced fit back to levels.
+        Plain sums over the dense columns: no arrays are built per row.
         """
-        choice = None
-        for s in self.models:
-            t = self.terms[s.name]
-            matrix = t.level if level else t.matrix
-            cells = constant_matrix(matrix)
-            base = F.element_at(cells, F.col("cell") + 1) if t.names else F.array().cast("array<double>")
-            if level and "drift" in t.names:
-                now = period_index(F.col("period"), self.freq.name).cast("double")
-                base = F.concat(F.array(now), F.slice(base, 2, max(len(t.names) - 1, 1)))
-            x = F.concat(base, F.array(*[F.col(f"v{i + 1}") for i in range(len(t.lags))]).cast("array<double>"))
-            is_model = F.col("model") == s.name
-            choice = F.when(is_model, x) if choice is None else choice.when(is_model, x)
-        return choice
+        index = period_index(F.col("period"), self.freq.name)
+        total = F.element_at(fit["base"], F.col("cell") + 1) + fit["trend"] * index
+        for i in range(self.width - 1):
+            total = total + F.col(f"v{i + 1}") * fit["slope"][i]
+        return total
+
+    def leverage(self, fit: Column) -> Column:
+        """``x' (X'X)^-1 x`` of a design row, from the cell profile of its fit."""
+        k = self.width - 1
+        total = F.element_at(fit["base_spread"], F.col("cell") + 1)
+        for i in range(k):
+            v = F.col(f"v{i + 1}")
+            total = total + 2 * v * F.element_at(fit["cross_spread"], F.col("cell") * k + i + 1)
+            for j in range(k):
+                total = total + v * F.col(f"v{j + 1}") * fit["slope_spread"][i * k + j]
+        return total
 
     def complete(self) -> Column:
         ok = F.lit(True)

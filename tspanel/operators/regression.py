@@ -246,19 +246,59 @@ def report(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return head.join(coefficient_table(fits, keys), by, "left")
 
 
-def dot(x: Column, beta: Column) -> Column:
-    """Inner product; an aliased (null) coefficient counts as 0, a null regressor gives null."""
-    products = F.zip_with(x, beta, lambda a, b: a * F.coalesce(b, F.lit(0.0)))
-    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+PROFILE = (
+    "base array<double>, trend double, slope array<double>, base_spread array<double>,"
+    " cross_spread array<double>, slope_spread array<double>"
+)
 
 
-def quadratic(x: Column, inverse: Column) -> Column:
-    """``x' M x`` with the matrix stored row by row."""
-    size = F.size(x)
-    rows = F.transform(
-        x, lambda a, i: a * dot(F.slice(inverse, i * size + 1, size), x)
-    )
-    return F.aggregate(rows, F.lit(0.0), lambda s, v: s + v)
+def profiles(design: Design, level: bool):
+    """Turn coefficients into one value per calendar cell and one slope per dense column.
+
+    The indicator part of a regression is constant within a cell, so predicting a row
+    takes a lookup and a few products. Aliased coefficients count as 0.
+    """
+    terms, k = design.terms, design.width - 1
+
+    @F.pandas_udf(PROFILE)
+    def profile(
+        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
+    ) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PROFILE.split(",")]
+        for model, beta, inverse in batches:
+            out = {c: [None] * len(model) for c in names}
+            for name, where in model.groupby(model).indices.items():
+                t = terms[name]
+                ind, used = len(t.names), len(t.lags)
+                cells = (t.level if level else t.matrix).copy()
+                b = np.stack(beta.iloc[where].to_numpy()).astype(float).reshape(len(where), -1)
+                b = np.nan_to_num(b)
+                trend = np.zeros(len(where))
+                if level and "drift" in t.names:
+                    trend = b[:, 0]
+                    cells[:, 0] = 0.0
+                # an ARIMA fit passes no inverse: its forecasts have their own variance
+                v = np.zeros((len(where), ind + used, ind + used))
+                for i, w in enumerate(where):
+                    if len(inverse.iloc[w]) == v[i].size:
+                        v[i] = np.reshape(inverse.iloc[w], v[i].shape)
+                slope = np.zeros((len(where), k))
+                slope[:, :used] = b[:, ind:]
+                cross = np.zeros((len(where), len(cells), k))
+                cross[:, :, :used] = cells @ v[:, :ind, ind:]
+                spread = np.zeros((len(where), k, k))
+                spread[:, :used, :used] = v[:, ind:, ind:]
+                values = (
+                    b[:, :ind] @ cells.T, trend, slope,
+                    np.einsum("ci,bij,cj->bc", cells, v[:, :ind, :ind], cells, optimize=True),
+                    cross.reshape(len(where), -1), spread.reshape(len(where), -1),
+                )
+                for c, rows in zip(names, values):
+                    for row, w in zip(rows, where):
+                        out[c][w] = row
+            yield pd.DataFrame(out)
+
+    return profile
 
 
 def nest_fits(
@@ -288,19 +328,21 @@ def predict(
     null regressor keep a null mean.
     """
     design = Design(models, freq)
-    nested = nest_fits(fits, keys, ["beta", "inverse", "sigma2"])
+    wanted = fits.filter(F.col("model").isin([s.name for s in models]))
+    shaped = wanted.withColumn("_p", profiles(design, level)("model", "beta", "inverse"))
+    nested = nest_fits(shaped, keys, ["_p.*", "sigma2"])
     rows = design.rows(frame, keys, level=level, carry=carry).join(nested, list(keys))
     rows = rows.withColumn("_fit", F.col("_fits")[F.col("model")]).filter("_fit is not null")
-    rows = rows.withColumn("_x", design.regressors(level))
+    fit = F.col("_fit")
     return rows.select(
         *keys,
         "model",
         "period",
         *carry,
         F.col("v0").alias("actual"),
-        dot(F.col("_x"), F.col("_fit.beta")).alias("mean"),
-        quadratic(F.col("_x"), F.col("_fit.inverse")).alias("leverage"),
-        F.col("_fit.sigma2").alias("sigma2"),
+        design.level(fit).alias("mean"),
+        design.leverage(fit).alias("leverage"),
+        fit["sigma2"].alias("sigma2"),
     )
 
 
