@@ -208,7 +208,7 @@ CENTRED = f"""WITH {SUPPLY_GROWTH},
 u AS (SELECT key, period, revenue - avg(revenue) OVER (PARTITION BY key) AS u,
     row_number() OVER (PARTITION BY key ORDER BY period) AS i, count(*) OVER (PARTITION BY key) AS n
   FROM growth WHERE year(period) <= {CUT}),
-l AS (SELECT *, lag(u, 1) OVER w AS u1, lag(u, 2) OVER w AS u2 FROM u
+l AS (SELECT *, coalesce(lag(u, 1) OVER w, 0) AS u1, coalesce(lag(u, 2) OVER w, 0) AS u2 FROM u
   WINDOW w AS (PARTITION BY key ORDER BY i))"""
 
 
@@ -232,7 +232,7 @@ def _ar(fits):
 @query(
     CENTRED
     + f""",
-b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE u1 IS NOT NULL GROUP BY 1),
+b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l GROUP BY 1),
 e AS (SELECT l.key, max(n) AS n, max(phi) AS phi, sum(pow(u - phi * coalesce(u1, 0), 2)) AS sse
   FROM l JOIN b USING (key) GROUP BY 1)
 SELECT key, 'ar_1' AS model, 'ARIMA(1,0,0)(0,0,0)[12]' AS orders, n, 3::INTEGER AS rank,
@@ -248,7 +248,7 @@ def arima_fixed(spark, folder):
     CENTRED
     + f""",
 m AS (SELECT key, sum(u1 * u1) AS a, sum(u1 * u2) AS b, sum(u2 * u2) AS c, sum(u * u1) AS p,
-    sum(u * u2) AS q FROM l WHERE u2 IS NOT NULL GROUP BY 1),
+    sum(u * u2) AS q FROM l GROUP BY 1),
 b AS (SELECT key, (c * p - b * q) / (a * c - b * b) AS phi,
     (a * q - b * p) / (a * c - b * b) AS phi2 FROM m),
 e AS (SELECT l.key, max(n) AS n, max(phi) AS phi,
@@ -270,8 +270,8 @@ y AS (SELECT key, sum(u * u) AS c0, sum(u * u1) AS c1, sum(u * u2) AS c2 FROM l
 f AS (SELECT key, c1 * (c0 - c2) / (c0 * c0 - c1 * c1) AS f1,
     (c0 * c2 - c1 * c1) / (c0 * c0 - c1 * c1) AS f2 FROM y),
 s AS (SELECT l.key, l.i, l.u, l.n, l.u - f1 * u1 - f2 * u2 AS e FROM l JOIN f USING (key)),
-t AS (SELECT *, lag(e) OVER (PARTITION BY key ORDER BY i) AS e1 FROM s),
-b AS (SELECT key, sum(u * e1) / sum(e1 * e1) AS theta FROM t WHERE e1 IS NOT NULL GROUP BY 1),
+t AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY key ORDER BY i), 0) AS e1 FROM s),
+b AS (SELECT key, sum(u * e1) / sum(e1 * e1) AS theta FROM t GROUP BY 1),
 e AS (SELECT x.key, x.i, max(x.n) AS n, max(theta) AS theta,
     sum(pow(-theta, x.i - z.i) * z.u) AS e
   FROM u x JOIN u z ON z.key = x.key AND z.i <= x.i JOIN b ON b.key = x.key GROUP BY 1, 2),
@@ -317,7 +317,7 @@ def arima_errors(spark, folder):
     + f""",
 m AS (SELECT key, count(*) AS n, sum(u * u) AS t, sum(u1 * u1) AS a, sum(u1 * u2) AS b,
     sum(u2 * u2) AS c, sum(u * u1) AS p, sum(u * u2) AS q
-  FROM l WHERE u2 IS NOT NULL GROUP BY 1),
+  FROM l GROUP BY 1),
 g AS (SELECT key, n, 0 AS p, t AS sse FROM m
   UNION ALL SELECT key, n, 1, t - p * p / a FROM m
   UNION ALL SELECT key, n, 2, t - ((c * p - b * q) * p + (a * q - b * p) * q) / (a * c - b * b)

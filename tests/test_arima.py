@@ -234,3 +234,15 @@ def test_winner_per_key_is_refitted(spark):
     assert got == first and len(first) == 6
     ranks = aicc_leaderboard(fits[0].unionByName(fits[1], allowMissingColumns=True), KEYS)
     assert ranks.filter("rank > 1").count() == 0
+
+
+def test_short_series_are_fitted_too(spark):
+    rng = np.random.default_rng(14)
+    data = pd.concat([table(n, {"y": rng.normal(size=n)}, key=str(n)) for n in (5, 9, 14, 40)])
+    df = frame(spark, data)
+    specs = [fixed("ar", p=1), fixed("big", p=1, q=1, P=1, Q=1), Arima("auto", "y", d=0, D=0)]
+    fits = fit_arima(df, KEYS, specs, "quarter").toPandas()
+    assert len(fits) == 12 and (fits["n"] == fits["key"].astype(int)).all()
+    future = future_frame(df, KEYS, "quarter", 2)
+    out = forecast_arima(df, future, fit_arima(df, KEYS, specs[:1], "quarter"), KEYS, specs[:1], "quarter")
+    assert out.filter("mean is not null").count() == 8

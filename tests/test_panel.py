@@ -154,3 +154,15 @@ def test_results_do_not_depend_on_partitioning_or_order(spark):
     one = pct_change(df, ["key"], ["x"], "x")
     two = pct_change(df.orderBy(F.rand(1)).repartition(7), ["key"], ["x"], "x")
     assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(spark):
+    raw = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
+        F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("id") % 700).cast("int")).alias("d"),
+        F.col("id").cast("double").alias("v"),
+    )
+    out = resample_mean(raw, ["key"], "d", "quarter", ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(key") < plan.index("partial_avg")
+    assert out.filter("key = 'hot'").count() == 8

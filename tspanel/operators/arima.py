@@ -176,7 +176,7 @@ def candidates(
     ``users`` lists the specifications per structure. Returns one row per (key,
     structure): ``n``, the array ``found`` of ``(p, q, sp, sq, sse, stable)`` and the
     coefficients of all orders in one flat array ``coefs``, ``ar_size + ma_size`` values
-    each. All orders of a structure share one sample, so their criteria compare.
+    each. All orders of a structure use all rows, so their criteria compare.
     """
     m = FREQUENCIES[freq].seasons
     by = [*keys, "model"]
@@ -190,13 +190,10 @@ def candidates(
     if ma_lags:
         top = long_ar or m + max(ar_size % m, ma_size % m, 2)
         rows = _with_shocks(rows, keys, top, choose=long_ar is None)
-        rows = rows.withColumns({f"e{j}": F.lag("e", j).over(w) for j in ma_lags})
-    rows = rows.withColumns({f"u{i}": F.lag("u", i).over(w) for i in ar_lags})
+        rows = rows.withColumns({f"e{j}": _before("e", j, w) for j in ma_lags})
+    rows = rows.withColumns({f"u{i}": _before("u", i, w) for i in ar_lags})
     names = [*(f"u{i}" for i in ar_lags), *(f"e{j}" for j in ma_lags), "u"]
-    known = F.lit(True)
-    for c in names:
-        known = known & F.col(c).isNotNull()
-    grams = rows.filter(known).groupBy(*by).agg(
+    grams = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), _sums([F.col(c) for c in names]).alias("gram")
     )
 
@@ -273,11 +270,19 @@ def _best(spec: Arima, x: str = "found") -> Column:
     return F.array_min(allowed)
 
 
+def _before(column: str, k: int, w) -> Column:
+    """The value ``k`` rows earlier; before the first row it is the mean, 0.
+
+    The final fit starts from zeros in the same way, so short series keep all rows.
+    """
+    return F.coalesce(F.lag(column, k).over(w), F.lit(0.0))
+
+
 def _with_shocks(rows: DataFrame, keys: Sequence[str], top: int, choose: bool) -> DataFrame:
-    """Add ``e``: one-step errors of a long autoregression; null for the first ``top`` rows."""
+    """Add ``e``: one-step errors of a long autoregression."""
     by = [*keys, "model"]
     w = by_period(by)
-    lagged = rows.withColumns({f"u{i}": F.lag("u", i).over(w) for i in range(1, top + 1)})
+    lagged = rows.withColumns({f"u{i}": _before("u", i, w) for i in range(1, top + 1)})
     products = F.array(
         F.sum(F.col("u") * F.col("u")), *[F.sum(F.col("u") * F.col(f"u{i}")) for i in range(1, top + 1)]
     )
@@ -330,6 +335,8 @@ def fit_arima(
     specifications to fit.
     """
     check_names(specs)
+    if any("|" in s.name for s in specs):
+        raise ValueError("names of ARIMA models may not contain |")
     m = FREQUENCIES[freq].seasons
     means = _Means(specs)
     shapes = list(means.models.values())
@@ -520,6 +527,7 @@ def _final_fit(design: Design, m: int, steps: int):
 
 
 def _variants(specs: Sequence[Arima]) -> list[Regression]:
+    """One regression per specification and possible differences, ``<name>|<d>,<D>``."""
     return [
         replace(s.mean_model(d, D), name=f"{s.name}|{d},{D}")
         for s in specs
