@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .text import byte_slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 from .work import store, work_folder
 
 BLOCK_BYTES = 4 << 20
@@ -40,7 +40,7 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, separator: int, wid
                 files.create_dir(path)
                 name = f"flat-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
                 out = files.open_output_stream(f"{path}/{name}")
-            for a, b, data, offsets in byte_slices(batch.column(1)):
+            for a, b, data, offsets in byte_slices(batch.column(1), ENCODE_BYTES):
                 tokens, lengths = code.ids(data, offsets)
                 ids = np.full(len(tokens) + b - a, separator, f"<u{width}")
                 keep = np.ones(len(ids), bool)
@@ -149,4 +149,4 @@ def token_counts(docs: DataFrame, tokenizer: str, separator: int, width: int = 2
     if listed.isEmpty():
         return listed.select("doc_id", "file", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
     found = scan_flat(file_sizes(listed, folder), folder, separator, width)
-    return found.join(listed, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
+    return found.join(listed.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .simple8b import BLOCK, pack, unpack
 from .text import byte_slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 from .work import store, work_folder
 
 MAGIC = 0x3862_5F69_6473_0001
@@ -132,7 +132,7 @@ def write_tokens(
         code, part, seq, writer, rows = encoder(tokenizer, literal), TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, offsets in byte_slices(batch.column(1)):
+            for a, b, data, offsets in byte_slices(batch.column(1), ENCODE_BYTES):
                 writer = writer or Writer(folder, part, seq)
                 tokens, lengths = code.ids(data, offsets)
                 out = np.full(len(tokens) + b - a, end_id, np.uint32)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ import pyarrow as pa
 from .text import _SPACE, ragged
 
 #: Distinct pieces of text whose ids a worker keeps.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 700_000
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -34,8 +37,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = literal
-        self.pieces: dict[bytes, bytes] = {}
+        self.literal, self.mark = literal, "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self._forget()
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(uint32 ids of all rows, number of ids of each row)."""
@@ -55,24 +59,53 @@ class Encoder:
         column = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        words = column.dictionary.to_pylist()
-        coded = [self.pieces.get(w) for w in words]
-        new = [i for i, c in enumerate(coded) if c is None]
-        if new:
-            found = self.tokenizer.encode_batch([words[i].decode() for i in new], add_special_tokens=False)
-            if len(self.pieces) + len(new) > KEPT_PIECES:
-                self.pieces.clear()
-            for i, e in zip(new, found):
-                coded[i] = np.array(e.ids, np.uint32).tobytes()
-                self.pieces[words[i]] = coded[i]
-        sizes = np.fromiter((len(c) for c in coded), np.int64, len(coded)) // 4
-        pool = np.frombuffer(b"".join(coded), np.uint32)
-        at = np.asarray(column.indices)
-        lengths = sizes[at]
-        ids = pool[ragged((np.cumsum(sizes) - sizes)[at], lengths)]
+        number = self._numbers(column.dictionary.to_pylist())[np.asarray(column.indices)]
+        lengths = self.lengths[number]
+        ids = self.pool[ragged(self.begins[number], lengths)]
         ends = np.append(0, np.cumsum(lengths))
         return ids, np.diff(ends[np.searchsorted(starts, offsets)])
 
+    def _forget(self) -> None:
+        self.pieces: dict[bytes, int] = {}
+        self.pool, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each piece among those kept; unknown ones are encoded first."""
+        if len(self.pieces) + len(words) > KEPT_PIECES:
+            self._forget()
+        number = np.fromiter(map(self.pieces.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = [words[i] for i in new]
+            ids, lengths = self._encode(fresh)
+            begins = len(self.pool) + np.cumsum(lengths) - lengths
+            number[new] = len(self.lengths) + np.arange(len(new))
+            self.pieces.update(zip(fresh, number[new].tolist()))
+            self.pool = np.concatenate([self.pool, ids])
+            self.begins = np.concatenate([self.begins, begins])
+            self.lengths = np.concatenate([self.lengths, lengths])
+        return number
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and the number of each; most go through the library as parts of one
+        text, with a special token that no other text gives between them."""
+        marked = [i for i, p in enumerate(pieces) if b"<|" in p]
+        alone = set(marked)
+        plain = [p.decode() for i, p in enumerate(pieces) if i not in alone] if alone else list(map(bytes.decode, pieces))
+        self.tokenizer.encode_special_tokens = False
+        groups = [self.mark.join(plain[i : i + 2000]) + self.mark for i in range(0, len(plain), 2000)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        lengths = np.diff(np.flatnonzero(ids == self.mark_id), prepend=-1) - 1
+        ids = ids[ids != self.mark_id]
+        if marked:
+            self.tokenizer.encode_special_tokens = self.literal
+            rest = [np.array(self.tokenizer.encode(pieces[i].decode(), add_special_tokens=False).ids, np.uint32) for i in marked]
+            where = np.array(marked) - np.arange(len(marked))
+            ids = np.insert(ids.astype(np.int64), np.repeat(np.append(0, np.cumsum(lengths))[where], [len(r) for r in rest]), np.concatenate(rest)).astype(np.uint32)
+            lengths = np.insert(lengths, where, [len(r) for r in rest])
+        return ids, lengths
+
 
 @functools.cache
 def encoder(path: str, literal: bool) -> Encoder:
