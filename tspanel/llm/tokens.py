@@ -12,18 +12,21 @@ import pyarrow as pa
 from .text import _SPACE, ragged
 
 #: Distinct pieces of text whose ids a worker keeps.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 1_000_000
 #: Bytes of text that are encoded at a time.
 ENCODE_BYTES = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[_SPACE] = 0x20
+_FOLD[65:91] += 32
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord(",")]] = True
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose tokens never span ASCII white space.
+    """Ids of texts by a tokenizer that ignores the case and whose tokens never span ASCII white space.
 
     The texts of a slice are cut in pieces, a word and the white space after it, or a full
     stop or comma that closes a word of ASCII letters. Such tokenizers (``word_bpe_49k.json``)
@@ -46,6 +49,8 @@ class Encoder:
         n = len(data)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        if b"<|" not in data.tobytes():  # else names of special tokens may be there, which have a case
+            data = _FOLD[data]
         space = _SPACE[data]
         last = np.ones(n, bool)  # before white space or the end of a row
         last[:-1] = space[1:]
