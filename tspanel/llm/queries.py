@@ -45,3 +45,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = token_output(documents(spark, sf_dir), tokenizer_path(), end_id=1)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances to the language's usual text, and the verdict on every document."""
+    from .quality import quality_rules
+
+    return quality_rules(documents(spark, sf_dir), ["doc_id"]).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance",
+    )
