@@ -56,3 +56,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "word_distance",
     )
+
+
+@query()
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 5-word shingle sets have a similarity of 0.85 or more."""
+    from .minhash import near_duplicates
+
+    out = near_duplicates(documents(spark, sf_dir), percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
