@@ -1,8 +1,8 @@
 """Near-duplicates by b-bit MinHash (operator 2).
 
 1. Every text becomes its set of 5-word shingles, and the set a signature: the two low bits
-   of each of 252 minima, packed in eight 64-bit words. Six minima at a time also give 42 band
-   hashes. Equal sets are one class from here on, however many rows they have.
+   of each of 504 minima, packed in sixteen 64-bit words. The first 252, six at a time, also give
+   42 band hashes. Equal sets are one class from here on, however many rows they have.
 2. Classes with a common band hash are candidates. Each bucket has a centre, the member with
    the largest number of such meetings; members are first compared with their centres only.
 3. Bit counts of two signatures estimate the similarity, corrected for the quarter of low
@@ -31,7 +31,7 @@ from .text import Rolling, byte_slices, lower, mix, rows_of, word_spans
 from .work import keyed, store
 
 SHINGLE, BANDS, ROWS, BITS = 5, 42, 6, 2
-MINIMA, WORDS = BANDS * ROWS, 8
+MINIMA, WORDS = 2 * BANDS * ROWS, 16
 SLACK = 4.0
 BLOCK_MEMBERS = 1024
 SIGNED = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, signature array<long>, bands array<long>"
@@ -78,8 +78,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     for i in range(MINIMA):
                         minima = np.minimum.reduceat((small ^ _XOR[i]) * _TIMES[i], begin).astype(np.uint64)
                         low[:, i // 32] |= ((minima >> np.uint64(3)) & np.uint64(3)) << np.uint64(2 * (i % 32))
-                        band = i // ROWS
-                        bands[:, band] = mix(bands[:, band] * np.uint64(0x9E3779B97F4A7C15) + minima + np.uint64(band + 1))
+    XX[:, band] = mix(bands[:, band] * np.uint64(0x9E3779B97F4A7C15) + minima + np.uint64(band + 1))
                 sizes = np.zeros(b - a, np.int64)
                 sizes[some] = 1
                 at = np.append(0, np.cumsum(sizes))
@@ -180,14 +179,15 @@ def between_components(members: DataFrame, percent: int) -> DataFrame:
         found = []
         for i in range(0, len(left), 64):
             x = left[i : i + 64]
-            ok = (label[x][:, None] != label[right]) & (100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right]))
-            p, q = np.nonzero(ok)
-            for j in range(0, len(p), 1 << 16):
-                pi, qi = x[p[j : j + (1 << 16)]], right[q[j : j + (1 << 16)]]
-                z = bits[pi] ^ bits[qi]
-                z = (z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)
-                near = np.bitwise_count(z).sum(axis=1) <= limit
-                found.append((np.minimum(node[pi[near]], node[qi[near]]), np.maximum(node[pi[near]], node[qi[near]])))
+            apart = np.zeros((len(x), len(right)), np.uint16)
+            for w in range(WORDS):
+                z = bits[x, w][:, None] ^ bits[right, w]
+                apart += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555))
+            near = (apart <= limit) & (label[x][:, None] != label[right])
+            near &= 100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])
+            p, q = np.nonzero(near)
+            p, q = node[x[p]], node[right[q]]
+            found.append((np.minimum(p, q), np.maximum(p, q)))
         if not found:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
@@ -203,7 +203,8 @@ def between_components(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("high", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
     )
-    return tiles.groupBy("bucket", "low", "high").applyInPandas(compare, schema).distinct()
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, "bucket", "low", "high").groupBy("bucket", "low", "high").applyInPandas(compare, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
