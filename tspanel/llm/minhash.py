@@ -78,7 +78,8 @@ def signed(docs: DataFrame) -> DataFrame:
                     for i in range(MINIMA):
                         minima = np.minimum.reduceat((small ^ _XOR[i]) * _TIMES[i], begin).astype(np.uint64)
                         low[:, i // 32] |= ((minima >> np.uint64(3)) & np.uint64(3)) << np.uint64(2 * (i % 32))
-    XX[:, band] = mix(bands[:, band] * np.uint64(0x9E3779B97F4A7C15) + minima + np.uint64(band + 1))
+                        if (band := i // ROWS) < BANDS:
+                            bands[:, band] = mix(bands[:, band] * np.uint64(0x9E3779B97F4A7C15) + minima + np.uint64(band + 1))
                 sizes = np.zeros(b - a, np.int64)
                 sizes[some] = 1
                 at = np.append(0, np.cumsum(sizes))
