@@ -65,3 +65,25 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(documents(spark, sf_dir), percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document after removal of the windows of 35 words that occur twice or more."""
+    from pyspark.sql import functions as F
+
+    from .fm_index import drop_repeated_words
+
+    out = drop_repeated_words(documents(spark, sf_dir), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document after removal of the strings of 400 bytes that occur twice or more."""
+    from pyspark.sql import functions as F
+
+    from .suffix_array import drop_repeated_bytes
+
+    out = drop_repeated_bytes(documents(spark, sf_dir), window=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
