@@ -15,8 +15,8 @@ The steps, all exact:
 4. Anchors with few different segments go to shards with the segments' content, where the
    operator's index tells which windows occur in several segments.
 5. Anchors with many different segments, as around a passage that a large part of all
-   documents hold, are split further: their windows are counted by the hash of the whole
-   window, combined before the shuffle, so no task gets the anchor as a whole.
+   documents hold, are split further by anchors at the windows' edges, and what is left by the
+   hash of the whole window, so no task gets the anchor as a whole.
 6. Windows found are merged to intervals per document.
 """
 
@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Rolling, byte_slices, ragged
+from .text import Rolling, byte_slices, mix, ragged
 from .work import store
 
 #: Anchors with more different segments than this are split by whole windows.
-HOT_SEGMENTS = 512
+HOT_SEGMENTS = 64
 #: Segments that share an index, on average at most.
 SHARD_SEGMENTS = 4000
 RUN = "doc_id long, text_key long, begin long, windows long, anchor long, segment long"
@@ -157,29 +157,72 @@ def spans_column(segment: np.ndarray, begin: np.ndarray, window: int, n: int) ->
 SPANS = "anchor long, segment long, spans array<struct<b: long, e: long>>"
 
 
-def split_anchors(found: DataFrame, window: int) -> DataFrame:
-    """``SPANS`` of the segments of split anchors, by the hash of each whole window."""
+def edge_runs(items: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, first item, number of windows, key, window hashes) of runs with equal anchors at both edges.
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The key hashes the smallest grams among the first and among the last third of a window, so
+    windows that reach out of a common passage by more than a gram rarely share it.
+    """
+    row, at = window_starts(bounds, window)
+    if not len(at):
+        return row, at, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rolling = Rolling(items)
+    edge = max(window // 3, 1)
+    small = min(max(gram // 2, 1), edge)
+    grams = rolling.grams(small)
+    ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    least = (sliding_minimum(ranked, edge - small + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    left, right = least[at], least[at + window - edge]
+    new = np.ones(len(at), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    key = grams[left[first]] * np.uint64(0x9E3779B97F4A7C15) ^ grams[right[first]]
+    return row[first], at[first], np.diff(np.append(first, len(at))), key, rolling.grams(window)[at]
+
+
+PART = "anchor long, segment long, copies long, place long, edges long, part long, windows array<long>"
+
+
+def split_anchors(found: DataFrame, window: int, gram: int) -> DataFrame:
+    """``SPANS`` of the segments of anchors with many segments.
+
+    Segments are cut where an anchor at a window's edge changes. Parts whose edges occur once are
+    dropped, equal parts are counted; only different parts with equal edges are compared
+    window by window, by hashes of the whole windows, in one more count.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors, segments, copies = (np.asarray(batch.column(i)) for i in range(3))
             values, ends = flat_content(batch.column(3))
             for lo in range(0, len(anchors), 2000):
                 hi = min(lo + 2000, len(anchors))
-                bounds = ends[lo : hi + 1] - ends[lo]
-                row, at = window_starts(bounds, window)
-                h = Rolling(values[ends[lo] : ends[hi]]).grams(window)[at]
+                part_values, bounds = values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+                row, begin, n, key, whole = edge_runs(part_values, bounds, window, gram)
+                part = Rolling(part_values).spans(begin, begin + n + window - 1)
+                edges = mix(key + anchors[lo:hi][row].view(np.uint64))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(whole.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchors[lo:hi][row], segments[lo:hi][row], at - bounds[row], h.view(np.int64), copies[lo:hi][row])],
-                    names=["anchor", "segment", "place", "whole", "copies"],
+                    [pa.array(x) for x in (anchors[lo:hi][row], segments[lo:hi][row], copies[lo:hi][row], begin - bounds[row])]
+                    + [pa.array(edges.view(np.int64)), pa.array(part.view(np.int64)), lists],
+                    names=[c.split()[0] for c in PART.split(", ")],
                 )
 
-    one = found.select("anchor", "segment", "copies", "content").mapInArrow(hashes, "anchor long, segment long, place long, whole long, copies long")
-    twice = one.groupBy("anchor", "whole").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "whole")
-    places = one.join(twice.hint("merge"), ["anchor", "whole"], "left_semi")
-    span = F.struct(F.col("place").alias("b"), (F.col("place") + window).alias("e"))
+    cuts = store(found.select("anchor", "segment", "copies", "content").mapInArrow(cut, PART))
+    parts = cuts.groupBy("edges", "part").agg(F.sum("copies").alias("copies"), F.first("windows").alias("windows"))
+    often = store(parts.groupBy("edges").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("different")).filter("n > 1").drop("n"))
+    parts = store(parts.join(often.hint("merge"), "edges"))
+    one = parts.filter("different > 1").select("edges", "part", "copies", F.posexplode("windows").alias("i", "whole"))
+    twice = store(one.groupBy("edges", "whole").agg(F.sum("copies").alias("n")).filter("n > 1").select("edges", "whole"))
     # a segment has at most as many windows as a window has items
-    return places.groupBy("anchor", "segment").agg(F.collect_list(span).alias("spans"))
+    some = one.filter("copies = 1").join(twice.hint("merge"), ["edges", "whole"], "left_semi").groupBy("edges", "part").agg(F.collect_list("i").alias("at"))
+    every = parts.filter("copies > 1").select("edges", "part", F.sequence(F.lit(0), F.size("windows") - 1).alias("at"))
+    hits = cuts.select("anchor", "segment", "place", "edges", "part").join(store(some.unionByName(every)).hint("merge"), ["edges", "part"])
+
+    def span(i):
+        return F.struct((F.col("place") + i).alias("b"), (F.col("place") + i + window).alias("e"))
+
+    return hits.select("anchor", "segment", F.transform("at", span).alias("s")).groupBy("anchor", "segment").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def repeated(docs: DataFrame, items: Items, window: int, gram: int, index: Callable[[pa.Table], pa.Table]) -> DataFrame:
@@ -192,21 +235,22 @@ def repeated(docs: DataFrame, items: Items, window: int, gram: int, index: Calla
     """
     spark = docs.sparkSession
     every = store(runs(docs, items, window, gram))
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # stored counts keep the joins open to skew handling
+    anchors = store(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     open_runs = store(every.join(anchors.hint("merge"), "anchor"))
     segments = store(
         open_runs.groupBy("anchor", "segment").agg(
             F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "begin")).alias("at"), F.first("windows").alias("windows")
         )
     )
-    several = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
+    several = store(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter("different > 1"))
     undecided = segments.join(several.hint("merge"), "anchor").withColumn("hot", F.col("different") > HOT_SEGMENTS)
     found = store(contents(undecided, docs, items, window))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(4 * parts, found.count() // SHARD_SEGMENTS)
     by_shard = found.filter("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(parts, "shard")
     indexed = by_shard.groupBy("shard").applyInArrow(index, SPANS)
-    part = indexed.unionByName(split_anchors(found.filter("hot"), window)).filter(F.size("spans") > 0)
+    part = indexed.unionByName(split_anchors(found.filter("hot"), window, gram)).filter(F.size("spans") > 0)
     marked = store(part)
     whole = segments.filter("copies > 1").select("anchor", "segment")
     all_of = F.array(F.struct(F.col("begin").alias("b"), (F.col("begin") + F.col("windows") + (window - 1)).alias("e")))
