@@ -87,3 +87,61 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = drop_repeated_bytes(documents(spark, sf_dir), window=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+# domains of the test tables' sources, and weights of domains and languages
+WEIGHTS = {"domain": {"web": 5, "books": 3, "reference": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
+
+
+def domain_of_source():
+    from pyspark.sql import functions as F
+
+    number = F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(0))
+    return F.when(number % 3 == 0, "web").when(number % 3 == 1, "books").otherwise("reference")
+
+
+@query()
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, substitutions allowed."""
+    from .decontaminate import contaminated
+
+    out = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "item_id", "start", "matched", "length", "n_places")
+
+
+@query()
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used, and how much of it, when all tokens are mixed to the weights."""
+    from .mixing import mix
+
+    out = mix(documents(spark, sf_dir), ["doc_id"], WEIGHTS, domain_of_source(), percent=100, epochs=2, seed=7)
+    return out.select("row.doc_id", "domain", "lang", "source", "n_tokens", "full_epochs", "prefix_tokens", "used_tokens")
+
+
+@query(
+    """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+boilerplate AS (
+  SELECT line FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+  GROUP BY line HAVING count(DISTINCT source) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
+       coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '') AS kept_text
+FROM lines l LEFT JOIN boilerplate b ON l.line = b.line
+GROUP BY doc_id"""
+)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents without the lines that ten or more sources share."""
+    from .lines import drop_boilerplate
+
+    return drop_boilerplate(documents(spark, sf_dir), "source", min_sites=10).drop("text_key")
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    from .licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir)).drop("text_key")
