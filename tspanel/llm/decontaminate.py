@@ -25,21 +25,16 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(lowered(text)), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: str) -> Column:
-    """All seeds, mask by mask; the place of seed k is k modulo (words - 11)."""
-    at = F.sequence(F.lit(0), F.size(hashes) - SPAN)
-
-    def masked(number: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(number), *(F.col(hashes)[i + o] for o in mask)))
-
-    each = [masked(number, mask) for number, mask in enumerate(MASKS)]
-    return F.when(F.size(hashes) >= SPAN, F.concat(*each)).otherwise(F.array().cast("array<bigint>"))
-
-
 def placed(table: DataFrame, keys: list[str], hashes: str, place: str) -> DataFrame:
-    """One row per seed: keys, seed, place."""
-    out = table.select(*keys, (F.size(hashes) - (SPAN - 1)).alias("room"), F.posexplode(seeds(hashes)).alias("k", "seed"))
-    return out.select(*keys, "seed", (F.col("k") % F.col("room")).alias(place))
+    """One row per seed: keys, seed, place.
+
+    Twelve shifted copies of the hashes, zipped and exploded, give rows that generated code hashes;
+    a function of an array index would be interpreted for each word.
+    """
+    shifted = [F.slice(hashes, o + 1, F.greatest(F.size(hashes), F.lit(1))).alias(f"c{o}") for o in range(SPAN)]
+    rows = table.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias(place, "z")).filter(F.col(f"z.c{SPAN - 1}").isNotNull())
+    each = [F.xxhash64(F.lit(number), *(F.col(f"z.c{o}") for o in mask)) for number, mask in enumerate(MASKS)]
+    return rows.select(*keys, place, F.explode(F.array(*each)).alias("seed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, local: int = 13) -> DataFrame:

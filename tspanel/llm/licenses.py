@@ -34,20 +34,24 @@ def needed(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
-def places(text: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase starts; only texts that hold it are cut in words."""
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+
+
+def holds(text: Column, phrase: str) -> Column:
+    return text.rlike(rf"(?<!{WORD}){SEPARATORS.join(phrase.split())}(?!{WORD})")
+
+
+def places(held: Column, phrase: str) -> Column:
+    """Word numbers at which the phrase starts, in the words of column ``w``."""
     parts = phrase.split()
-    pattern = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + SEPARATORS.join(parts) + r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    w = words(text, SEPARATORS)
 
     def at(i: Column) -> Column:
         same = F.lit(True)
         for k, part in enumerate(parts):
-            same = same & F.coalesce(F.get(w, i + k) == part, F.lit(False))
+            same = same & F.coalesce(F.get(F.col("w"), i + k) == part, F.lit(False))
         return same
 
-    found = F.filter(F.sequence(F.lit(0), F.size(w)), at)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<int>"))
+    return F.when(held, F.filter(F.sequence(F.lit(0), F.size("w")), at)).otherwise(F.array().cast("array<int>"))
 
 
 def template_labels(table: DataFrame, templates: Mapping[str, str], percent: int) -> DataFrame:
@@ -97,8 +101,14 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
     empty text has no words and no labels; label lists are then empty strings.
     """
     table = keyed(docs).select("doc_id", "text_key", lowered(F.col("text")).alias("low"))
-    spots = [places(F.col("low"), p).alias(f"p{i}") for i, p in enumerate(phrases)]
-    base = table.select("doc_id", "text_key", F.regexp_count("low", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), *spots)
+    held = table.select(
+        "doc_id", "text_key", F.regexp_count("low", F.lit(f"{WORD}+")).cast("long").alias("n_words"), "low",
+        *(holds(F.col("low"), p).alias(f"h{i}") for i, p in enumerate(phrases)),
+    )
+    # only texts with a phrase are cut in words
+    some = F.greatest(*(F.col(f"h{i}") for i in range(len(phrases))), F.lit(False))
+    held = held.withColumn("w", F.when(some, words(F.col("low"), SEPARATORS)).otherwise(F.array().cast("array<string>")))
+    base = held.select("doc_id", "text_key", "n_words", *(places(F.col(f"h{i}"), p).alias(f"p{i}") for i, p in enumerate(phrases)))
     all_of = F.concat(*(F.col(f"p{i}") for i in range(len(phrases))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
     base = base.select("doc_id", "text_key", "n_words", all_of.alias("at"), labels.alias("own"))
