@@ -209,13 +209,14 @@ def between_components(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, text_key, n_shingles, component_id, group and kept for every row of ``docs`` (doc_id, text).
 
     Rows are linked when 100 * intersection >= percent * union of their shingle sets;
     ``component_id`` is the smallest doc_id that links lead to, ``kept`` says that it is the
     row's own. A missing or empty text has no shingles and stays alone. Missing doc_ids take
     part but never name a component, unless no row of it has one: then component_id is
-    null and the rows are kept. Repeated rows are copies of each other.
+    null and the rows are kept. Repeated rows are copies of each other. ``group`` is a number for
+    each component, null without shingles.
     """
     rows = store(signed(docs))
     classes = store(
@@ -255,11 +256,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     named = classes.join(first.hint("merge"), "node", "left").select("k1", "k2", "n_shingles", "node", "least_doc", label)
     smallest = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of_class = store(named.join(smallest.hint("merge"), "label").select("k1", "k2", "n_shingles", "component_id"))
+    of_class = store(named.join(smallest.hint("merge"), "label").select("k1", "k2", "n_shingles", "component_id", F.col("label").alias("group")))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         rows.select("doc_id", "text_key", "n_shingles", "k1", "k2")
         .join(of_class.hint("merge"), ["k1", "k2", "n_shingles"], "left")
-        .select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "group")
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )

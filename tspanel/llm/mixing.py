@@ -57,15 +57,13 @@ def share_out(children: DataFrame, parent: list[str], level: str, weights: Mappi
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping, percent: int, epochs: int) -> DataFrame:
     """(levels, tokens, docs, given) for (levels, tokens, docs)."""
     leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all")).select(
-        F.least(F.expr(f"all * {percent} div 100"), F.col("all") * epochs).alias("budget"), F.lit(1).alias("root")
-    )
     given = None
     for depth, level in enumerate(levels):
         parent = levels[:depth]
         nodes = leaves.groupBy(*parent, level).agg(F.sum("capacity").alias("capacity"))
         if given is None:
-            nodes = nodes.withColumn("root", F.lit(1)).join(whole, "root").drop("root")
+            every = F.sum("capacity").over(Window.partitionBy(F.lit(0)))  # the top level's nodes
+            nodes = nodes.withColumn("all", every).withColumn("budget", F.least("all", F.expr(f"all div {epochs} * {percent} div 100"))).drop("all")
         else:
             nodes = nodes.join(given.select(*parent, F.col("given").alias("budget")), parent)
         given = share_out(nodes, parent, level, weights)
