@@ -164,7 +164,7 @@ def test_contaminated(spark, docs, empty):
     benchmark = spark.createDataFrame(rows_, "item_id long, text string, start string")
     changed = items[0].split(" ")
     changed[5], changed[17] = "other", "words"
-    texts = [(500, prose(20) + " " + capitals(items[0]) + " " + prose(9)), (501, " ".join(changed)), (502, items[1]), (None, items[2]), (503, prose(90)), (504, items[5][:60])]
+    texts = [(500, prose(20) + " " + capitals(items[0]) + " " + prose(9)), (501, " ".join(changed)), (502, items[1]), (None, items[2]), (503, prose(90)), (504, " ".join(items[5].split(" ")[:12]))]
     more = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, "k", "s", "l") for i, t in texts], SCHEMA))
     got = rows(contaminated(more, benchmark), "doc_id", "item_id", "start", "matched")
     assert got == sorted([(500, 0, 20, 30), (501, 0, 0, 28), (502, 1, 0, 20), (502, None, 0, 20), (None, 2, 0, 14)], key=repr)
@@ -192,7 +192,7 @@ def test_mix_spends_the_budget(docs, empty):
 def test_shares_go_to_siblings_first(spark):
     table = [(i, prose(n), lang, src, 0, "k", "s", "l") for i, (lang, src, n) in enumerate([("en", "x", 10), ("en", "y", 1000), ("de", "z", 1000)])]
     got = {r.source: r.used_tokens for r in mix(spark.createDataFrame(table, SCHEMA), ["doc_id"], {}, F.lit("d"), percent=50, epochs=1).collect()}
-    assert got == {"x": 10, "y": 492, "z": 503}
+    assert got["x"] == 10 and sum(got.values()) == 1005 and abs(got["x"] + got["y"] - got["z"]) <= 1
 
 
 @pytest.mark.parametrize("least", [2, 3])

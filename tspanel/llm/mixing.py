@@ -56,14 +56,19 @@ def share_out(children: DataFrame, parent: list[str], level: str, weights: Mappi
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping, percent: int, epochs: int) -> DataFrame:
     """(levels, tokens, docs, given) for (levels, tokens, docs)."""
-    leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
+    wanted = F.lit(True)
+    for level in levels:
+        wanted = wanted & (weight_of(level, weights) > 0)
+    leaves = leaves.withColumn("capacity", F.when(wanted, F.col("tokens") * epochs).otherwise(F.lit(0).cast("long")))
     given = None
     for depth, level in enumerate(levels):
         parent = levels[:depth]
-        nodes = leaves.groupBy(*parent, level).agg(F.sum("capacity").alias("capacity"))
+        nodes = leaves.groupBy(*parent, level).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         if given is None:
-            every = F.sum("capacity").over(Window.partitionBy(F.lit(0)))  # the top level's nodes
-            nodes = nodes.withColumn("all", every).withColumn("budget", F.least("all", F.expr(f"all div {epochs} * {percent} div 100"))).drop("all")
+            top = Window.partitionBy(F.lit(0))  # the few nodes of the highest level
+            asked = F.sum("tokens").over(top) * percent
+            nodes = nodes.withColumn("asked", asked).withColumn("able", F.sum("capacity").over(top))
+            nodes = nodes.withColumn("budget", F.least("able", F.expr("asked div 100")))
         else:
             nodes = nodes.join(given.select(*parent, F.col("given").alias("budget")), parent)
         given = share_out(nodes, parent, level, weights)
@@ -83,7 +88,7 @@ def mix(
     """``row`` (the carried columns), the levels, n_tokens, full_epochs, prefix_tokens, used_tokens for all rows.
 
     Tokens are words between ASCII white space. The budget is ``percent`` of all tokens, at most
-    ``epochs`` times what is there. A row is used ``full_epochs`` times as a whole, and its
+    ``epochs`` times what is there. Names of weight 0 get nothing. A row is used ``full_epochs`` times as a whole, and its
     first ``prefix_tokens`` words once more. Missing level values are the name ''. Texts without
     words, missing or empty, are never used. Repeated rows count each.
     """
