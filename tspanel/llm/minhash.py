@@ -164,7 +164,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 def between_components(members: DataFrame, percent: int) -> DataFrame:
     """Likely pairs (a, b) of different components within the buckets.
 
-    ``members``: bucket, size, node, label, n_shingles, signature. A bucket of many members is
+    ``members``: bucket, size, node, label, n_shingles, signature, bands. A bucket of many members is
     cut in blocks by a hash of the node; each pair of blocks is a group of its own, of
     at most about 2 * BLOCK_MEMBERS members.
     """
@@ -175,6 +175,7 @@ def between_components(members: DataFrame, percent: int) -> DataFrame:
         node, label, n = group["node"].to_numpy(), group["label"].to_numpy(), group["n_shingles"].to_numpy()
         side = group["side"].to_numpy()
         bits = np.stack(group["signature"].to_numpy()).astype(np.int64).view(np.uint64)
+        bands, bucket = np.stack(group["bands"].to_numpy()).astype(np.int64), group["bucket"].iloc[0]
         left = np.flatnonzero(side <= 1)
         right = np.flatnonzero(side != 1)
         found = []
@@ -187,7 +188,11 @@ def between_components(members: DataFrame, percent: int) -> DataFrame:
             near = (apart <= limit) & (label[x][:, None] != label[right])
             near &= 100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])
             p, q = np.nonzero(near)
-            p, q = node[x[p]], node[right[q]]
+            p, q = x[p], right[q]
+            # a pair that meets in several buckets is reported in the first of its common bands
+            first = np.argmax(bands[p] == bands[q], axis=1)
+            own = bands[p, first] == bucket
+            p, q = node[p[own]], node[q[own]]
             found.append((np.minimum(p, q), np.maximum(p, q)))
         if not found:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -244,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     label = F.coalesce("label", "node").alias("label")
     labelled = meetings.join(first.hint("merge"), "node", "left").select("bucket", "size", "node", label)
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    members = labelled.join(mixed.hint("merge"), "bucket").join(classes.select("node", "n_shingles", "signature").hint("merge"), "node")
+    members = labelled.join(mixed.hint("merge"), "bucket").join(classes.select("node", "n_shingles", "signature", "bands").hint("merge"), "node")
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = store(between_components(members, percent).join(known.hint("merge"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
