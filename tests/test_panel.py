@@ -166,3 +166,16 @@ def test_a_hot_key_is_combined_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange hashpartitioning(key") < plan.index("partial_avg")
     assert out.filter("key = 'hot'").count() == 8
+
+
+def test_fill_gaps_keeps_repeated_periods(spark):
+    days = [dt.date(2000, 1, 1), dt.date(2000, 2, 1), dt.date(2000, 2, 1), dt.date(2000, 4, 1)]
+    df = spark.createDataFrame([("a", d, float(i)) for i, d in enumerate(days)], "key string, period date, value double")
+    got = sorted((r.period.month, r.value) for r in fill_gaps(df, ["key"], "month").collect() if r.value is not None)
+    assert got == [(1, 0.0), (2, 1.0), (2, 2.0), (4, 3.0)] and fill_gaps(df, ["key"], "month").count() == 5
+
+
+def test_only_plain_numbers_are_read(spark):
+    texts = ["1", " -2.5 ", ".5", "3e2", ".", "NaN", "Infinity", "1d", "2f", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(coerce_numeric(F.col("t")).alias("v"))
+    assert [r.v for r in df.collect()] == [1.0, -2.5, 0.5, 300.0] + [None] * 7

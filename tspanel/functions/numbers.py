@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def coerce_numeric(text: Column) -> Column:
-    """Text to double; markers such as ``.`` become null instead of an error."""
-    return text.try_cast("double")
+    """Text to double; anything but a plain number (``.``, ``NaN``, ``Infinity``, ``1d``) is null."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def percent_change(now: Column, before: Column) -> Column:

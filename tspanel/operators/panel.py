@@ -123,6 +123,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], freq: str) -> DataFrame:
     steps = F.coalesce(
         period_index(following, freq) - period_index(F.col("period"), freq), F.lit(1)
     )
+    steps = F.greatest(steps, F.lit(1))  # repeated periods stay as they are
     spread = df.withColumn("step", steps).select(
         *df.columns, F.explode(F.sequence(F.lit(0), F.col("step") - 1)).alias("ahead")
     )

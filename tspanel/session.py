@@ -31,8 +31,8 @@ def stage(df: DataFrame) -> DataFrame:
     """Store a reduced table once so that later steps do not rescan the raw data.
 
     Uses a reliable checkpoint, which survives the loss of executors, in the folder
-    the session names. A local session without a folder gets a scratch one; a
-    cluster without a folder keeps the lineage and recomputes.
+    the session names. A local session without a folder gets a scratch one; on a
+    cluster the folder has to be set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -40,6 +40,6 @@ def stage(df: DataFrame) -> DataFrame:
         if folder is None and sc.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="tspanel-")
         if folder is None:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
