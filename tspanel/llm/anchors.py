@@ -184,7 +184,7 @@ PART = "anchor long, segment long, copies long, place long, edges long, part lon
 
 
 def split_anchors(found: DataFrame, window: int, gram: int) -> DataFrame:
-    """``SPANS`` of the segments of anchors with many segments.
+    """``SPANS`` of the segments with one copy, of anchors with many segments.
 
     Segments are cut where an anchor at a window's edge changes. Parts whose edges occur once are
     dropped, equal parts are counted; only different parts with equal edges are compared
@@ -217,7 +217,8 @@ def split_anchors(found: DataFrame, window: int, gram: int) -> DataFrame:
     # a segment has at most as many windows as a window has items
     some = one.filter("copies = 1").join(twice.hint("merge"), ["edges", "whole"], "left_semi").groupBy("edges", "part").agg(F.collect_list("i").alias("at"))
     every = parts.filter("copies > 1").select("edges", "part", F.sequence(F.lit(0), F.size("windows") - 1).alias("at"))
-    hits = cuts.select("anchor", "segment", "place", "edges", "part").join(store(some.unionByName(every)).hint("merge"), ["edges", "part"])
+    # segments with more copies are covered as a whole
+    hits = cuts.filter("copies = 1").select("anchor", "segment", "place", "edges", "part").join(store(some.unionByName(every)).hint("merge"), ["edges", "part"])
 
     def span(i):
         return F.struct((F.col("place") + i).alias("b"), (F.col("place") + i + window).alias("e"))
