@@ -137,7 +137,8 @@ def ccf_table(spark, folder):
     growth = lines_growth(spark, folder)
     names = ["quantity", "lines"]
     long = cross_correlation(growth, ["key"], "revenue", names, 12, both_sides=False)
-    return rounded(correlation_table(long, ["key"], names, 12), names)
+    table = rounded(correlation_table(long, ["key"], names, 12), names)
+    return table.orderBy("key", F.desc("lag"))
 
 
 @query(

@@ -246,3 +246,13 @@ def test_short_series_are_fitted_too(spark):
     future = future_frame(df, KEYS, "quarter", 2)
     out = forecast_arima(df, future, fit_arima(df, KEYS, specs[:1], "quarter"), KEYS, specs[:1], "quarter")
     assert out.filter("mean is not null").count() == 8
+
+
+def test_coinciding_lags_count_once(spark):
+    """Quarterly, lag 4 of p = 4 and lag 4 of P = 1 are one coefficient."""
+    values = np.random.default_rng(4).normal(size=80)
+    data = frame(spark, table(80, {"y": values}))
+    specs = [Arima("plain", "y", 4, 0, 0, 0, 0, 0), Arima("both", "y", 4, 0, 0, 1, 0, 0)]
+    plain, both = fit_arima(data, ["key"], specs, "quarter").orderBy(F.desc("model")).collect()
+    assert plain["rank"] == both["rank"] == 6
+    assert plain["aicc"] == pytest.approx(both["aicc"]) and plain["sigma2"] == pytest.approx(both["sigma2"])

@@ -17,7 +17,7 @@ ones before it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -176,7 +176,8 @@ def candidates(
     ``users`` lists the specifications per structure. Returns one row per (key,
     structure): ``n``, the array ``found`` of ``(p, q, sp, sq, sse, stable)`` and the
     coefficients of all orders in one flat array ``coefs``, ``ar_size + ma_size`` values
-    each. All orders of a structure use all rows, so their criteria compare.
+    each. All orders of a structure use all rows, so their criteria compare. ``seasons`` is
+    the number of periods in a year.
     """
     m = FREQUENCIES[freq].seasons
     by = [*keys, "model"]
@@ -188,7 +189,8 @@ def candidates(
     w = by_period(by)
     rows = u.select(*by, "period", F.col("residual").alias("u"))
     if ma_lags:
-        top = long_ar or m + max(ar_size % m, ma_size % m, 2)
+        # one season at least, and as far back as the longest candidate reaches
+        top = long_ar or m * max(1, *(max(o[2:]) for o in every)) + max(2, *(max(o[:2]) for o in every))
         rows = _with_shocks(rows, keys, top, choose=long_ar is None)
         rows = rows.withColumns({f"e{j}": _before("e", j, w) for j in ma_lags})
     rows = rows.withColumns({f"u{i}": _before("u", i, w) for i in ar_lags})
@@ -232,20 +234,29 @@ def candidates(
     )
     return grams.withColumn("s", solve("model", "gram")).select(
         *by, "n", found.alias("found"), F.col("s.coefs").alias("coefs"),
-        F.lit(ar_size).alias("ar_size"), F.lit(ma_size).alias("ma_size"),
+        F.lit(ar_size).alias("ar_size"), F.lit(ma_size).alias("ma_size"), F.lit(m).alias("seasons"),
     )
 
 
+def _n_lags(order: Callable[[str], Column], m: Column) -> Column:
+    """Number of different lags of both polynomials: one coefficient where they coincide."""
+    total = F.lit(0)
+    for plain, seasonal in (("p", "sp"), ("q", "sq")):
+        shared = F.least(F.floor(order(plain) / m).cast("int"), order(seasonal))
+        total = total + order(plain) + order(seasonal) - shared
+    return total
+
+
 def candidate_table(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per candidate: ``(keys, model, n, p, q, sp, sq, sse, stable, k, aicc)``.
 
     ``mean_rank``, the number of regression terms, has to be a column of ``found``.
     """
-    rows = found.select(*keys, "model", "n", "mean_rank", F.inline("found"))
-    k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
+    rows = found.select(*keys, "model", "n", "mean_rank", "seasons", F.inline("found"))
+    k = _n_lags(F.col, F.col("seasons")) + F.col("mean_rank") + 1
     criteria = likelihood_criteria(F.col("n"), k, F.col("sse"))
     aicc = F.when(F.col("stable"), criteria["aicc"])
-    return rows.withColumn("k", k).withColumn("aicc", aicc).drop("mean_rank")
+    return rows.withColumn("k", k).withColumn("aicc", aicc).drop("mean_rank", "seasons")
 
 
 def _best(spec: Arima, x: str = "found") -> Column:
@@ -255,7 +266,7 @@ def _best(spec: Arima, x: str = "found") -> Column:
     """
 
     def ranked(c: Column, i: Column) -> Column:
-        k = sum(c[o] for o in ORDER_COLUMNS) + F.col("mean_rank") + 1
+        k = _n_lags(lambda o: c[o], F.col("seasons")) + F.col("mean_rank") + 1
         aicc = likelihood_criteria(F.col("n"), k, c["sse"])["aicc"]
         return F.struct(
             (~c["stable"]).alias("unstable"),
@@ -416,7 +427,7 @@ def fit_arima(
             "mean", "_s.cell", "_s.dense", "beta0", "ar0", "ma0", *ORDER_COLUMNS
         ),
     )
-    k = sum(F.col(c) for c in ORDER_COLUMNS) + F.col("mean_rank") + 1
+    k = _n_lags(F.col, F.lit(m)) + F.col("mean_rank") + 1
     known = F.zip_with("beta0", "s.beta", lambda old, new: F.when(old.isNotNull(), new))
     # ``rank`` counts the free parameters with the variance, as the criteria do
     out = fitted.select(

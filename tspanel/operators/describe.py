@@ -16,8 +16,9 @@ from tspanel.operators.stl import Plan
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 
 # The test window is trunc(4 (n/100)^(1/4)). 23 covers n < 129600 rows, more than
-# the months between the years 1 and 9999, the widest range of a DATE.
+# the months between the years 1 and 9999, the widest range of a DATE; more are an error.
 KPSS_MAX_WINDOW = 23
+KPSS_MAX_ROWS = 129_600
 
 
 def _interpolated_p(stat: Column) -> Column:
@@ -60,6 +61,9 @@ def kpss(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
         F.sum(F.col("e") * F.col("e")).alias("ee"),
         F.sum(F.col("e") * weighted).alias("ew"),
     )
+    # a longer series than the calendar has months would lose its outer lags
+    too_long = F.raise_error(F.concat(F.lit("kpss: too many rows for one key: "), F.col("n")))
+    sums = sums.withColumn("ew", F.when(F.col("n") < KPSS_MAX_ROWS, F.col("ew")).otherwise(too_long.cast("double")))
     variance = (F.col("ee") + 2 * F.col("ew")) / F.col("n")
     stat = F.try_divide(F.col("ss"), F.col("n") * F.col("n") * variance)
     # a constant series has no scale to compare with
