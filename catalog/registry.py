@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -75,10 +76,18 @@ orders_all AS (
 growth AS (SELECT * FROM orders_all WHERE price IS NOT NULL)"""
 
 
-def supply_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """One key per supplier, per month: the number of keys grows with the data."""
+def supply_monthly(
+    spark: SparkSession, folder: str, before: dt.date | None = None
+) -> DataFrame:
+    """One key per supplier, per month: the number of keys grows with the data.
+
+    ``before`` bounds the raw dates, at the scan.
+    """
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "key")
+    if before is not None:
+        lines = lines.filter(F.col("l_shipdate") < F.lit(before))
     return resample(
-        table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "key"),
+        lines,
         ["key"],
         "l_shipdate",
         "month",
@@ -98,9 +107,11 @@ supply AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
-def supply_growth(spark: SparkSession, folder: str) -> DataFrame:
+def supply_growth(
+    spark: SparkSession, folder: str, before: dt.date | None = None
+) -> DataFrame:
     columns = ["revenue", "quantity", "discount"]
-    return pct_change(supply_monthly(spark, folder), ["key"], columns, "revenue")
+    return pct_change(supply_monthly(spark, folder, before), ["key"], columns, "revenue")
 
 
 SUPPLY_GROWTH = SUPPLY_MONTHLY + """,

@@ -333,17 +333,18 @@ def fit_arima(
     specs: Sequence[Arima],
     freq: str,
     long_ar: int | None = None,
-    refine: int = 4,
+    refine: int = 50,
     only: DataFrame | None = None,
 ) -> DataFrame:
     """Fit every specification for every key; one row per (key, model).
 
-    Columns: ``family, mean, d, sd, p, q, sp, sq, orders, stable, n, rank, sse, sigma2,
+    Columns: ``family, mean, d, sd, p, q, sp, sq, orders, stable, converged, n, rank, sse, sigma2,
     loglik, aic, aicc, bic, terms, beta, ar, ma``, and the coefficients with their normal
     matrix in ``coef_terms, coef_values, inverse, coef``. Orders given as ranges are
-    searched exhaustively by AICc on a common sample. ``refine`` is the number of joint
-    Gauss-Newton steps for the winner; 0 keeps the two-step estimates. ``only`` holds ``(keys, models)``: per key, the
-    specifications to fit.
+    searched exhaustively by AICc on a common sample. The winner is estimated by joint
+    Gauss-Newton steps until they gain nothing, ``refine`` at most; ``converged`` says whether
+    that was reached. With 0 the two-step estimates stay. ``only`` holds ``(keys, models)``:
+    per key, the specifications to fit.
     """
     check_names(specs)
     if any("|" in s.name for s in specs):
@@ -432,7 +433,7 @@ def fit_arima(
     # ``rank`` counts the free parameters with the variance, as the criteria do
     out = fitted.select(
         *keys, "model", families[F.col("model")].alias("family"), "mean", "d", "sd",
-        *ORDER_COLUMNS, "stable", "s.n", k.cast("int").alias("rank"), "s.sse", "terms",
+        *ORDER_COLUMNS, "stable", "s.converged", "s.n", k.cast("int").alias("rank"), "s.sse", "terms",
         known.alias("beta"), "s.ar", "s.ma", F.col("s.inverse").alias("inverse"),
     )
     names = F.concat("terms", _lag_names("ar", "p", "sp", m), _lag_names("ma", "q", "sq", m))
@@ -496,13 +497,13 @@ def _final_fit(design: Design, m: int, steps: int):
 
     @F.pandas_udf(
         "struct<n: bigint, sse: double, beta: array<double>, ar: array<double>,"
-        " ma: array<double>, inverse: array<double>>"
+        " ma: array<double>, inverse: array<double>, converged: boolean>"
     )
     def final(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for mean, cell, dense, beta, ar, ma, p, q, P, Q in batches:
             size = len(mean)
             n = cell.str.len().to_numpy("int64")
-            sse = np.zeros(size)
+            sse, converged = np.zeros(size), np.zeros(size, dtype=bool)
             parts = {c: [None] * size for c in ("beta", "ar", "ma", "inverse")}
             shape = pd.Series(list(zip(mean, p, q, P, Q)))
             for (name, p_, q_, P_, Q_), members in shape.groupby(shape).indices.items():
@@ -524,15 +525,15 @@ def _final_fit(design: Design, m: int, steps: int):
                     # aliased regressors stay out
                     x = np.where(np.isnan(start)[:, None, :], 0.0, x * live[:, :, None])
                     first = [np.stack(c.iloc[where].to_numpy()) for c in (ar, ma)]
-                    *coefs, total, inverse = arma.estimate(
+                    *coefs, total, inverse, done = arma.estimate(
                         values[:, :, 0] * live, x, live, np.nan_to_num(start), *first, a, b, steps
                     )
-                    sse[where] = total
+                    sse[where], converged[where] = total, done
                     flat = inverse.reshape(len(where), -1)
                     for c, rows in zip(("beta", "ar", "ma", "inverse"), (*coefs, flat)):
                         for row, w in zip(rows, where):
                             parts[c][w] = row
-            yield pd.DataFrame({"n": n, "sse": sse, **parts})
+            yield pd.DataFrame({"n": n, "sse": sse, **parts, "converged": converged})
 
     return final
 

@@ -10,6 +10,10 @@ import numpy as np
 
 from tspanel.operators.algebra import sweep
 
+# Shares of the error sum that a further step promises to take off.
+TOLERANCE = 1e-12
+CONVERGED = 1e-8
+
 
 def levinson(cov: np.ndarray, top: int, choose: bool, n: np.ndarray) -> np.ndarray:
     """Autoregressions from autocovariances ``cov[:, 0..top]`` by the Levinson recursion.
@@ -110,44 +114,55 @@ def estimate(y, x, live, beta, ar, ma, ar_lags, ma_lags, steps):
     The derivatives are the regressors filtered like the series, and the series and
     shocks filtered by the moving average, so each step is one regression of the
     shocks. A step is kept where it lowers the error and the process stays stable.
-    ``live`` masks the padding. Returns coefficients, error sum and the inverse
-    normal matrix in the order regressors, AR lags, MA lags.
+    A series is done when the next step promises less than ``TOLERANCE`` of its error, or when
+    no part of it is kept; ``steps`` bounds the steps of the others.
+    ``live`` masks the padding. Returns coefficients, error sum, the inverse
+    normal matrix in the order regressors, AR lags, MA lags, and whether the promise of a
+    further step is below ``CONVERGED``.
     """
     beta, ar, ma = beta.copy(), ar.copy(), ma.copy()
     k, na, nb = x.shape[2], len(ar_lags), len(ma_lags)
 
-    def errors(beta, ar, ma):
-        u = (y - np.einsum("btk,bk->bt", x, beta)) * live
-        return u, shocks(u, ar, ma) * live
+    def errors(i, beta, ar, ma):
+        u = (y[i] - np.einsum("btk,bk->bt", x[i], beta)) * live[i]
+        return u, shocks(u, ar, ma) * live[i]
 
-    def normal(u, e, ar, ma):
-        columns = [shocks(x[:, :, j], ar, ma) for j in range(k)]
+    def normal(i, u, e, ar, ma):
+        columns = [shocks(x[i, :, j], ar, ma) for j in range(k)]
         v, z = recurse(u, ma, ma_lags), recurse(e, ma, ma_lags)
-        columns += [shifted(v, i) for i in ar_lags] + [shifted(z, j) for j in ma_lags]
-        design = np.stack([*(c * live for c in columns), e], axis=2)
+        columns += [shifted(v, lag) for lag in ar_lags] + [shifted(z, lag) for lag in ma_lags]
+        design = np.stack([*(c * live[i] for c in columns), e], axis=2)
         gram = np.einsum("bti,btj->bij", design, design, optimize=True)
         swept, kept = sweep(gram, range(k + na + nb))
         kept = kept[:, :-1]
         move = np.where(kept, swept[:, :-1, -1], 0.0)
         inverse = np.where(kept[:, :, None] & kept[:, None, :], swept[:, :-1, :-1], 0.0)
-        return move, inverse
+        return move, inverse, gram[:, -1, -1] - swept[:, -1, -1]
 
-    u, e = errors(beta, ar, ma)
+    every = np.arange(len(y))
+    u, e = errors(every, beta, ar, ma)
     sse = (e**2).sum(axis=1)
     with np.errstate(over="ignore", invalid="ignore"):
+        i = every
         for _ in range(steps if na + nb else 0):
-            move, _ = normal(u, e, ar, ma)
+            if not len(i):
+                break
+            move, _, gain = normal(i, u[i], e[i], ar[i], ma[i])
+            kept = np.zeros(len(i), dtype=bool)
             for scale in (1.0, 0.5, 0.1):
-                new_beta = beta + scale * move[:, :k]
-                new_ar = ar + scale * spread(move[:, k : k + na], ar_lags, ar.shape[1])
-                new_ma = ma + scale * spread(move[:, k + na :], ma_lags, ma.shape[1])
-                new_u, new_e = errors(new_beta, new_ar, new_ma)
+                new_beta = beta[i] + scale * move[:, :k]
+                new_ar = ar[i] + scale * spread(move[:, k : k + na], ar_lags, ar.shape[1])
+                new_ma = ma[i] + scale * spread(move[:, k + na :], ma_lags, ma.shape[1])
+                new_u, new_e = errors(i, new_beta, new_ar, new_ma)
                 new_sse = (new_e**2).sum(axis=1)
-                good = (new_sse < sse) & is_stable(new_ar) & is_stable(-new_ma)
-                beta[good], ar[good], ma[good] = new_beta[good], new_ar[good], new_ma[good]
-                u[good], e[good], sse[good] = new_u[good], new_e[good], new_sse[good]
-        _, inverse = normal(u, e, ar, ma)
-    return beta, ar, ma, sse, inverse
+                good = (new_sse < sse[i]) & is_stable(new_ar) & is_stable(-new_ma)
+                g = i[good]
+                beta[g], ar[g], ma[g] = new_beta[good], new_ar[good], new_ma[good]
+                u[g], e[g], sse[g] = new_u[good], new_e[good], new_sse[good]
+                kept |= good
+            i = i[kept & (gain > TOLERANCE * sse[i])]
+        _, inverse, gain = normal(every, u, e, ar, ma)
+    return beta, ar, ma, sse, inverse, gain <= CONVERGED * sse
 
 
 def expand(ar: np.ndarray, d: int, D: int, m: int) -> np.ndarray:
