@@ -145,3 +145,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     return license_scan(documents(spark, sf_dir)).drop("text_key")
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent word, one code point away, that each stands for."""
+    from .spelling import damaged_words, spelling_groups
+
+    return spelling_groups(damaged_words(documents(spark, sf_dir)))
