@@ -153,3 +153,110 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import damaged_words, spelling_groups
 
     return spelling_groups(damaged_words(documents(spark, sf_dir)))
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+       s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3"""
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For anchors and their nearest rows of the label, the hardest rows of other labels below them."""
+    from pyspark.sql import functions as F
+
+    from .negatives import hard_negatives
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table.select("vec_id", "embedding", moved.alias("label")))
+
+
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+BAD_LIMIT, CERTAINTY = 0.25, 0.95
+
+
+def shrinkage_sql(name: str, children: str, above: str) -> str:
+    """CTE ``<name>``: children ``(n, bad, parent)`` with the level's concentration k and the shrunken rate."""
+    return f"""
+{name}_p AS ({children} {above}),
+{name}_k AS (SELECT CASE WHEN coalesce(e / nullif(w, 0), 0) > 0 THEN least(greatest(w / e - 1, 1.0), 1e6) ELSE 1e6 END AS k FROM (
+  SELECT sum(pow(bad - n * parent, 2) - n * parent * (1 - parent)) AS e,
+         sum(n * parent * (1 - parent) * (n - 1)) AS w FROM {name}_p WHERE n > 0)),
+{name} AS (SELECT *, (k * parent + bad) / (k + n) AS rate FROM {name}_p, {name}_k)"""
+
+
+@query(
+    f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+l AS (SELECT doc_id AS page_id, (coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT AS bad FROM labels
+  WHERE toxic IS NOT NULL OR quality IS NOT NULL),
+hosts AS (
+  SELECT host, any_value(regexp_extract(host, '[^.]*\\.?[^.]*$')) AS domain, any_value(regexp_extract(host, '[^.]*$')) AS suffix,
+         count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+ends AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+{shrinkage_sql('s', 'SELECT *, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM ends) AS parent', 'FROM ends')},
+{shrinkage_sql('d', 'SELECT d.*, s.rate AS parent', 'FROM domains d JOIN s USING (suffix)')},
+{shrinkage_sql('h', 'SELECT h.*, d.rate AS parent', 'FROM hosts h JOIN d USING (domain, suffix)')},
+ab AS (SELECT *, k * parent + bad AS a, k * (1 - parent) + n - bad AS b FROM h),
+-- Simpson's rule over the density, from the limit to 1
+density AS (
+  SELECT host, g.i, {BAD_LIMIT} + (1 - {BAD_LIMIT}) * g.i / 20000 AS x, a, b,
+         CASE WHEN g.i IN (0, 20000) THEN 1 WHEN g.i % 2 = 1 THEN 4 ELSE 2 END AS w
+  FROM ab, generate_series(0, 20000) AS g(i)),
+over AS (
+  SELECT host, sum(CASE WHEN x < 1 THEN w * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(x) + (b - 1) * ln(1 - x)) ELSE 0 END)
+         * (1 - {BAD_LIMIT}) / 60000 AS p_over
+  FROM density GROUP BY host),
+rules(verdict, r_host, r_path) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+fit AS (
+  SELECT page_id, r_host || r_path AS rule, verdict FROM p JOIN rules
+    ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC) = 1)
+SELECT page_id, p.host, p.path, rule, coalesce(fit.verdict, CASE WHEN p_over >= {CERTAINTY} THEN 'block' ELSE 'allow' END) AS verdict,
+       ab.n::BIGINT AS host_labelled, ab.bad::BIGINT AS host_bad, round(ab.rate, 6) + 0.0 AS posterior, round(p_over, 4) + 0.0 AS p_over
+FROM p LEFT JOIN fit USING (page_id) JOIN ab ON ab.host = p.host JOIN over ON over.host = p.host"""
+)
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by rules and by their hosts' reputation.
+
+    A page's outcome is the label of the same number: bad where it is toxic or of low quality.
+    """
+    from pyspark.sql import functions as F
+
+    from .urls import judge_urls
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    outcomes = labels.filter("toxic IS NOT NULL OR quality IS NOT NULL").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    out = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), outcomes, rules, limit=BAD_LIMIT, certainty=CERTAINTY)
+    return out.select(
+        "row.page_id", "host", "path", "rule", "verdict", "host_labelled", "host_bad", F.round("posterior", 6).alias("posterior"),
+        F.round("p_over", 4).alias("p_over"),
+    )
