@@ -286,7 +286,8 @@ def test_no_vectors_or_anchors(spark):
 def test_ranges_lose_nothing_and_exclude_much():
     """Every row that reaches theta is a candidate; on clustered vectors few others are."""
     r = np.random.default_rng(6)
-    v = np.concatenate([r.normal(size=8) * 400 + r.normal(size=(100, 8)) * 40 for _ in range(10)]).astype(np.int64)
+    v = np.concatenate([r.normal(size=8) * 400 + r.normal(size=(100, 8)) * 40 for _ in range(10)])
+    v = (v / np.linalg.norm(v, axis=1)[:, None] * r.uniform(1000, 1200, (1000, 1))).astype(np.int64)
     length = np.sqrt((v**2).sum(axis=1))
     b = Bucket(np.arange(1000), np.arange(1000), np.zeros(1000, int), length, v)
     score = v @ v.T

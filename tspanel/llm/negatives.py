@@ -6,8 +6,9 @@ that coordinate. For an anchor that asks for scores of ``theta`` or more:
 
 - a length class whose longest row cannot reach theta is left out before anything is sent;
 - with c = theta / (length of the anchor times the bucket's longest), a row qualifies only if each of its
-  coordinates x lies within a*c -+ sqrt((1 - c^2)(1 - a^2)), a being the anchor's coordinate: the ranges of
-  a few *focus* coordinates, where the anchor is largest, are cut out of the sorted lists and intersected;
+  coordinates x lies within a*c -+ sqrt((1 - c^2)(1 - a^2)), a being the anchor's coordinate (above is open
+  where a >= c, below where -a >= c): the ranges of a few *focus* coordinates, where the anchor is
+  largest, are cut out of the sorted lists and intersected;
 - what is left is scored exactly, whole buckets at once where the ranges exclude little.
 
 Positives take two passes: an anchor's own bucket gives a first theta, all buckets the result. The
@@ -93,11 +94,14 @@ class Bucket:
         a = np.take_along_axis(unit, focus, axis=1)
         inside = np.clip(c, 0.0, 1.0)[:, None]
         spread = np.sqrt((1 - inside**2) * np.maximum(1 - a**2, 0.0)) + 1e-9
+        # within the angle that c allows, the axis itself or its opposite may lie
+        low = np.where(inside <= -a, -2.0, a * inside - spread)
+        high = np.where(inside <= a, 2.0, a * inside + spread)
         first, end = np.zeros(focus.shape, np.int64), np.full(focus.shape, len(self.v))
         for f in np.unique(focus):
             i, j = np.nonzero(focus == f)
-            first[i, j] = np.searchsorted(self.sorted[:, f], (a * inside - spread)[i, j], "left")
-            end[i, j] = np.searchsorted(self.sorted[:, f], (a * inside + spread)[i, j], "right")
+            first[i, j] = np.searchsorted(self.sorted[:, f], low[i, j], "left")
+            end[i, j] = np.searchsorted(self.sorted[:, f], high[i, j], "right")
         open_, shut = c <= 0, c > 1 + 1e-9
         first[open_], end[open_], end[shut] = 0, len(self.v), first[shut]
         return focus, first, end
@@ -151,7 +155,10 @@ def found(bucket: Bucket, rows: np.ndarray, label: int, part: dict, wanted: int,
     for item in range(part["scores"].shape[1]):
         # -1 marks a missing positive; a negative positive score leaves no room between the percentages
         own = part["scores"][:, item : item + 1]
-        within = (100 * score >= low * own) & (100 * score <= high * own) & (own >= 0)
+        # the percentages in whole numbers, without products beyond 64 bits
+        hundreds, rest = np.divmod(own, 100)
+        least, most = low * hundreds - (-low * rest) // 100, high * hundreds + high * rest // 100
+        within = (score >= least) & (score <= most) & (own >= 0)
         i, j = first_of(score, within, ids, wanted)
         out.append((i, np.full(len(i), item, np.int32), score[i, j], bucket.row[rows][j], ids[j]))
     return out
