@@ -100,3 +100,33 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
             want.append((name, len(ends), starts[-1], len(ids) - starts[-1], False))
     sizes = spark.createDataFrame([(n, 2 * len(v) + 1) for n, v in files.items()], "file string, length long")
     assert sorted(tuple(r) for r in scan_flat(sizes, str(tmp_path), 0, 2, block).collect()) == sorted(want)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer that keeps the case and white space is told apart and encodes whole texts."""
+    import json
+
+    spec = json.loads(Tokenizer.from_file(PATH).to_str())
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    code, other = Encoder(str(tmp_path / "other.json"), False), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert CODE.by_pieces and not code.by_pieces
+    got = []
+    for _, _, data, offsets in byte_slices(pa.array(TEXTS), 40):
+        ids, lengths = code.ids(data, offsets)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert got == [other.encode(x or "", add_special_tokens=False).ids for x in TEXTS] != expected(TEXTS, False)
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    from tspanel.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
+    monkeypatch.setattr(tokens, "GROUP", 2)
+    code = Encoder(PATH, False)
+    for _ in range(2):
+        for _, _, data, offsets in byte_slices(pa.array(TEXTS), 60):
+            ids, lengths = code.ids(data, offsets)
+            assert len(ids) == lengths.sum()
+    ids, lengths = code.ids(*next(byte_slices(pa.array(TEXTS)))[2:])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected(TEXTS, False)
