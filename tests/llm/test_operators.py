@@ -233,3 +233,52 @@ def test_license_scan(spark, docs, empty):
     assert [labels[i][0] for i in range(700, 707)] == ["cc-by", "gpl,reserved", "", "mit", "mit", "", "apache-2.0"]
     assert labels[703][1] == 1.0 and 0.8 <= labels[704][1] < 1 and labels[705][1] == 0
     assert license_scan(empty).count() == 0
+
+
+def js(p, q):
+    """Jensen-Shannon distance, base 2, of two tables of counts."""
+    import math
+
+    p, q = ({k: v / (sum(x.values()) or 1) for k, v in x.items()} for x in (p, q))
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    part = lambda a: sum(v * math.log2(v / m[k]) for k, v in a.items() if v)
+    return math.sqrt(min(max((part(p) + part(q)) / 2, 0), 1))
+
+
+@pytest.mark.parametrize("languages", [500, 0])
+def test_quality_distances_equal_brute_force(spark, monkeypatch, languages):
+    from tspanel.llm import quality
+
+    monkeypatch.setattr(quality, "KEPT_LANGUAGES", languages)
+    r = random.Random(11)
+    usual = ["und", "die", "The", "house", "river", "Mond"]
+    rows = []
+    for i in range(60):
+        words = r.choices(usual, [30, 20, 10, 5, 3, 2], k=r.randint(5, 120)) + r.choices(["x1", "ÄÖ", "#|$", "Zz."], k=r.randint(0, 90))
+        r.shuffle(words)
+        rows.append((i, " ".join(words) if i % 9 else None, r.choice(["de", "en", None]), "s", 1, "k", "s", "l"))
+    rows += [rows[1], (90, "und die " * 200000, "en", "s", 1, "k", "s", "l"), (91, "7 $ " * 100, "de", "s", 1, "k", "s", "l")]
+    limits = quality.Limits(top_words=3, word_min_words=20, class_min_bytes=50)
+    classes, words = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang, *_ in rows:
+        data = (t or "").encode()
+        classes[lang] += Counter(quality._CLASS[list(data)].tolist())
+        words[lang] += Counter(WS.findall(small(t)))
+    top = {lang: dict(c.most_common(3)) for lang, c in words.items()}
+    want = []
+    for d, t, lang, *_ in rows:
+        data, found = (t or "").encode(), WS.findall(small(t))
+        near = lambda c, lang=lang: Counter({**{w: c[w] for w in top[lang]}, "": sum(n for w, n in c.items() if w not in top[lang])})
+        c = js(Counter(quality._CLASS[list(data)].tolist()), classes[lang]) if len(data) >= 50 else None
+        w = js(near(Counter(found)), near(words[lang])) if len(found) >= 20 else None
+        want.append((d, c, w, (c or 0) <= limits.class_distance and (w or 0) <= limits.word_distance))
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = quality_rules(table, ["doc_id", "text"], limits).select("row.doc_id", "row.text", "class_distance", "word_distance", "kept", "base_failed").collect()
+    assert Counter((x.doc_id, x.text) for x in got) == Counter((x[0], x[1]) for x in rows)
+    by_id = {x.doc_id: x for x in got}
+    for d, c, w, fine in want:
+        x = by_id[d]
+        assert x.class_distance == (None if c is None else pytest.approx(c, abs=1e-9))
+        assert x.word_distance == (None if w is None else pytest.approx(w, abs=1e-9))
+        assert x.kept == (fine and not x.base_failed)
+    assert {x.kept for x in got if not x.base_failed} == {True, False} or all(x.base_failed for x in got if not x.kept)

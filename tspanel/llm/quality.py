@@ -21,6 +21,10 @@ from .work import store
 MIN_WORDS, REPEAT_PERCENT, WINDOW, SYMBOLS = 20, 30, 8, b"#*$%&|<>"
 
 
+#: Languages whose counts every task holds, about two kilobytes each.
+KEPT_LANGUAGES = 500
+
+
 @dataclass(frozen=True)
 class Limits:
     """Distances in [0, 1]; a document is only compared from so many characters or words on."""
@@ -150,17 +154,26 @@ def measured(docs: DataFrame, carry: list[str], reference: DataFrame, limits: Li
     short to compare, or without a reference; then they don't count against a text.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    table = docs.select(F.struct(*carry).alias("row"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    table = table.join(reference, "lang", "left").select("row", "lang", "text", "reference")
+    columns = [F.struct(*carry).alias("row"), lang.alias("lang")]
+    # a text that is carried goes to Python once
+    inside = "text" in carry
+    table = docs.select(*columns) if inside else docs.select(*columns, F.coalesce("text", F.lit("")).alias("text"))
     row_type = table.schema["row"].dataType.simpleString()
+    some = reference.limit(KEPT_LANGUAGES + 1).collect()
+    fixed = {r.lang: reference_of(r.reference, limits) for r in some}
+    if len(some) > KEPT_LANGUAGES:
+        # too many languages for every task to hold: rows bring the counts of theirs
+        fixed = None
+        table = table.join(reference, "lang", "left").select(*[c for c in ("row", "lang", "text") if c in table.columns], "reference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
         for batch in batches:
             langs = np.asarray(batch.column(1).to_pylist(), object)
-            for lang in set(langs) - known.keys():
-                known[lang] = reference_of(batch.column(3)[int(np.argmax(langs == lang))].as_py(), limits)
-            for a, b, data, offsets in byte_slices(batch.column(2)):
+            known = {lang: fixed.get(lang) for lang in set(langs)} if fixed is not None else {
+                lang: reference_of(batch.column("reference")[int(np.argmax(langs == lang))].as_py(), limits) for lang in set(langs)
+            }
+            texts = batch.column(0).field("text") if inside else batch.column("text")
+            for a, b, data, offsets in byte_slices(texts):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *measures(data, offsets, langs[a:b], known, limits)],
                     names=["row", *(c.split()[0] for c in MEASURES.split(","))],
