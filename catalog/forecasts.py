@@ -21,8 +21,10 @@ from tspanel.plans.compare import (
 )
 from tspanel.session import stage
 
+from .least_squares import ar1_sql
 from .models import (
     AR_1,
+    CALENDAR,
     CUT,
     KEYS,
     LAGGED,
@@ -182,19 +184,10 @@ def forecast_future(spark, folder):
 
 
 def ar_forecast_sql(value: str) -> str:
-    """CTEs ``ar`` (first-order coefficients per key) and ``ar_fc`` (12 steps ahead)."""
-    return f"""
-ar_u AS (SELECT key, period, {value} - avg({value}) OVER k AS u, avg({value}) OVER k AS mu
-  FROM growth WHERE {value} IS NOT NULL WINDOW k AS (PARTITION BY key)),
-ar_l AS (SELECT *, lag(u) OVER (PARTITION BY key ORDER BY period) AS u1,
-    row_number() OVER (PARTITION BY key ORDER BY period DESC) AS back FROM ar_u),
-ar_b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM ar_l WHERE u1 IS NOT NULL GROUP BY 1),
-ar AS (SELECT l.key, max(phi) AS phi, max(mu) AS mu, count(*) AS n,
-    sum(pow(u - phi * coalesce(u1, 0), 2)) / (count(*) - 2) AS sigma2,
-    max(CASE WHEN back = 1 THEN u END) AS u_last
-  FROM ar_l l JOIN ar_b USING (key) GROUP BY 1),
+    """CTEs ``ar`` (least squares per key) and ``ar_fc`` (12 steps ahead)."""
+    return f"""{ar1_sql('ar', f'SELECT key, period, {value} AS y FROM growth')},
 ar_fc AS (SELECT s.key, s.h, s.period, mu + pow(phi, h) * u_last AS mean,
-    sqrt(sigma2 * (1 - pow(phi, 2 * h)) / (1 - phi * phi)) AS sigma
+    sqrt(sse / (n - 2) * (1 - pow(phi, 2 * h)) / (1 - phi * phi)) AS sigma
   FROM steps s JOIN ar USING (key))"""
 
 
@@ -216,7 +209,7 @@ def forecast_intervals(spark, folder):
 
 def _ar_ahead(spark, folder):
     data = stage(supply_growth(spark, folder))
-    fits = fit_arima(data, KEYS, [AR_1], "month", refine=0)
+    fits = fit_arima(data, KEYS, [AR_1], "month")
     future = future_frame(data, KEYS, "month", 12)
     out = forecast_arima(data, future.select("key", "period"), fits, KEYS, [AR_1], "month")
     return rounded(out, INTERVALS, 4)
@@ -236,9 +229,7 @@ def forecast_two_stage(spark, folder):
     data = stage(supply_growth(spark, folder))
     fits = fit_models(data, KEYS, [LM_1], "month")
     spec = Arima("predictor", "value", 1, 0, 0, 0, 0, 0)
-    out = two_stage(
-        data, KEYS, [LM_1], fits, "month", 12, ["quantity"], predictor_spec=spec, refine=0
-    )
+    out = two_stage(data, KEYS, [LM_1], fits, "month", 12, ["quantity"], predictor_spec=spec)
     return rounded(out.select("key", "model", "period", "h", "mean"), ["mean"], 4)
 
 
@@ -270,22 +261,23 @@ FAMILIES = [LM_1, LM_AR_1, AR_1]
 
 
 def families_sql(name: str, where: str) -> str:
-    """CTEs ``<name>_e`` and ``<name>_u``: first-order error processes per key.
+    """CTEs ``<name>_e`` and ``<name>_u``: two-step first-order error processes per key.
 
-    ``_e`` belongs to the residuals of the regression ``<name>``, ``_u`` to the centred
-    target.
+    ``_e`` belongs to the residuals of the regression ``<name>`` (lags on the calendar), ``_u`` to the
+    centred target; ``<name>_o`` has the last month of the history.
     """
 
     def process(out: str, rows: str, params: str) -> str:
         return f"""
-{out}_l AS (SELECT key, period, u, lag(u) OVER w AS u1,
+{out}_l AS (SELECT key, period, u, lag(u) OVER w AS u1, datediff('month', lag(period) OVER w, period) AS g,
     row_number() OVER (PARTITION BY key ORDER BY period DESC) AS back FROM ({rows})
   WINDOW w AS (PARTITION BY key ORDER BY period)),
-{out}_p AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM {out}_l
-  WHERE u1 IS NOT NULL GROUP BY 1),
-{out} AS (SELECT key, any_value(phi) AS phi, max(CASE WHEN back = 1 THEN u END) AS u_last,
-    sum(pow(u - phi * coalesce(u1, 0), 2)) / (count(*) - any_value({params})) AS sigma2
-  FROM {out}_l JOIN {out}_p USING (key) JOIN {name}_b USING (key) GROUP BY 1)"""
+{out}_p AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM {out}_l WHERE g = 1 GROUP BY 1),
+{out} AS (SELECT key, any_value(phi) AS phi,
+    -- the last deviation, carried to the last month of the history
+    max(CASE WHEN back = 1 THEN u * pow(phi, datediff('month', period, origin)) END) AS u_last,
+    sum(pow(u - coalesce(pow(phi, g) * u1, 0), 2)) / (count(*) - any_value({params})) AS sigma2
+  FROM {out}_l JOIN {out}_p USING (key) JOIN {name}_b USING (key) JOIN {name}_o USING (key) GROUP BY 1)"""
 
     left = f"""SELECT r.key, r.period, r.y - s.level - b.b1 * r.x1 AS u FROM {name}_r r
       JOIN {name}_b b USING (key) JOIN {name}_s s ON s.key = r.key AND s.s = r.s"""
@@ -293,6 +285,7 @@ def families_sql(name: str, where: str) -> str:
       FROM lagged WHERE {where}"""
     return f"""
 {name}_mu AS (SELECT key, avg(y) AS mu FROM lagged WHERE {where} GROUP BY 1),
+{name}_o AS (SELECT key, max(period) AS origin FROM lagged WHERE {where} GROUP BY 1),
 {process(f"{name}_e", left, "rank + 1")},
 {process(f"{name}_u", centred, "2")}"""
 
@@ -301,19 +294,23 @@ def sigma_ar(sigma2: str, phi: str, h: str) -> str:
     return f"sqrt({sigma2} * (1 - pow({phi}, 2 * {h})) / (1 - {phi} * {phi}))"
 
 
-THREE_AHEAD = f"""WITH {LAGGED}, {regression_sql('lm_1')}, {families_sql('lm_1', 'is_train')},
-t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY period) AS h
-  FROM lagged WHERE NOT is_train),
-lm AS (SELECT t.key, t.period, t.h, t.y AS actual, s.level + b.b1 * t.x1 AS mean,
-    sqrt(b.sigma2 * (1 + 1.0 / s.n_s + pow(t.x1 - s.m1, 2) / b.a)) AS sigma
-  FROM t JOIN lm_1 b USING (key) LEFT JOIN lm_1_s s ON s.key = t.key AND s.s = month(t.period)),
+THREE_AHEAD = f"""WITH {LAGGED}, {CALENDAR}, {regression_sql('lm_1')}, {regression_sql('cal_1', rows='on_calendar')},
+{families_sql('cal_1', 'is_train')},
+t AS (SELECT l.key, l.period, l.y, l.x1, c.x1 AS xc, row_number() OVER (PARTITION BY l.key ORDER BY l.period) AS h,
+    datediff('month', origin, l.period) AS steps
+  FROM lagged l JOIN on_calendar c ON c.key = l.key AND c.period = l.period JOIN cal_1_o o ON o.key = l.key
+  WHERE NOT l.is_train),
 fc AS (
-  SELECT 'lm_1' AS model, * FROM lm
-  UNION ALL SELECT 'lm_ar_1', lm.key, period, h, actual, mean + pow(phi, h) * u_last,
-    {sigma_ar('e.sigma2', 'phi', 'h')} FROM lm JOIN lm_1_e e USING (key)
-  UNION ALL SELECT 'ar_1', t.key, period, h, y, mu + pow(phi, h) * u_last,
-    {sigma_ar('u.sigma2', 'phi', 'h')}
-  FROM t JOIN lm_1_u u USING (key) JOIN lm_1_mu m USING (key))"""
+  SELECT 'lm_1' AS model, t.key, t.period, t.h, t.y AS actual, s.level + b.b1 * t.x1 AS mean,
+    sqrt(b.sigma2 * (1 + 1.0 / s.n_s + pow(t.x1 - s.m1, 2) / b.a)) AS sigma
+  FROM t JOIN lm_1 b USING (key) LEFT JOIN lm_1_s s ON s.key = t.key AND s.s = month(t.period)
+  UNION ALL SELECT 'lm_ar_1', t.key, t.period, t.h, t.y, s.level + b.b1 * t.xc + pow(e.phi, steps) * e.u_last,
+    {sigma_ar('e.sigma2', 'e.phi', 'steps')}
+  FROM t JOIN cal_1 b USING (key) JOIN cal_1_e e ON e.key = t.key
+  LEFT JOIN cal_1_s s ON s.key = t.key AND s.s = month(t.period)
+  UNION ALL SELECT 'ar_1', t.key, t.period, t.h, t.y, mu + pow(phi, steps) * u_last,
+    {sigma_ar('u.sigma2', 'phi', 'steps')}
+  FROM t JOIN cal_1_u u USING (key) JOIN cal_1_mu m USING (key))"""
 
 
 @query(
@@ -352,19 +349,21 @@ def compare_families(spark, folder):
 @query(
     FAMILY_SCORES
     + f""",
-{regression_sql('every', where='true')}, {families_sql('every', 'true')},
+{regression_sql('all_1', where='true')}, {regression_sql('every', where='true', rows='on_calendar')},
+{families_sql('every', 'true')},
 w AS (SELECT key, model, row_number() OVER (PARTITION BY key ORDER BY rmse, model) AS place
   FROM scores),
 n AS (SELECT key, (max(period) + INTERVAL 1 MONTH)::DATE AS period,
     arg_max(quantity, period) AS x FROM growth GROUP BY 1),
-f AS (SELECT n.key, n.period, s.level + b.b1 * n.x AS lm, e.phi AS e_phi, e.u_last AS e_last,
-    u.phi AS u_phi, u.u_last AS u_last, m.mu,
+f AS (SELECT n.key, n.period, s.level + b.b1 * n.x AS lm, cs.level + cb.b1 * n.x AS lm_cal, e.phi AS e_phi,
+    e.u_last AS e_last, u.phi AS u_phi, u.u_last AS u_last, m.mu,
     sqrt(b.sigma2 * (1 + 1.0 / s.n_s + pow(n.x - s.m1, 2) / b.a)) AS s_lm,
     sqrt(e.sigma2) AS s_e, sqrt(u.sigma2) AS s_u
-  FROM n JOIN every b USING (key) JOIN every_e e USING (key) JOIN every_u u USING (key)
-  JOIN every_mu m USING (key) LEFT JOIN every_s s ON s.key = n.key AND s.s = month(n.period)),
+  FROM n JOIN all_1 b USING (key) JOIN every cb USING (key) JOIN every_e e USING (key) JOIN every_u u USING (key)
+  JOIN every_mu m USING (key) LEFT JOIN all_1_s s ON s.key = n.key AND s.s = month(n.period)
+  LEFT JOIN every_s cs ON cs.key = n.key AND cs.s = month(n.period)),
 o AS (SELECT f.key, w.model, f.period,
-    CASE w.model WHEN 'lm_1' THEN lm WHEN 'lm_ar_1' THEN lm + e_phi * e_last
+    CASE w.model WHEN 'lm_1' THEN lm WHEN 'lm_ar_1' THEN lm_cal + e_phi * e_last
       ELSE mu + u_phi * u_last END AS mean,
     CASE w.model WHEN 'lm_1' THEN s_lm WHEN 'lm_ar_1' THEN s_e ELSE s_u END AS sigma
   FROM f JOIN w ON w.key = f.key AND w.place = 1)
@@ -381,26 +380,22 @@ def select_among_families(spark, folder):
 
 @query(
     f"""WITH {SUPPLY_GROWTH}, {AHEAD},
-w AS (SELECT key, period, revenue AS y, revenue - lag(revenue) OVER k AS w FROM growth
+w AS (SELECT key, period, revenue AS y, CASE WHEN datediff('month', lag(period) OVER k, period) = 1
+    THEN revenue - lag(revenue) OVER k END AS w FROM growth
   WINDOW k AS (PARTITION BY key ORDER BY period)),
-u AS (SELECT key, period, w - avg(w) OVER (PARTITION BY key) AS u FROM w WHERE w IS NOT NULL),
-l AS (SELECT *, lag(u) OVER (PARTITION BY key ORDER BY period) AS u1 FROM u),
-b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE u1 IS NOT NULL GROUP BY 1),
-p AS (SELECT l.key, any_value(phi) AS phi, arg_max(u, period) AS u_last,
-    sum(pow(u - phi * coalesce(u1, 0), 2)) / (count(*) - 2) AS sigma2
-  FROM l JOIN b USING (key) GROUP BY 1),
-m AS (SELECT key, avg(w) AS mu, arg_max(y, period) AS y_last FROM w GROUP BY 1),
+{ar1_sql('p', 'SELECT key, period, w AS y FROM w')},
+m AS (SELECT key, arg_max(y, period) AS y_last FROM w GROUP BY 1),
 f AS (SELECT s.key, s.period, s.h,
     sum(mu + pow(phi, s.h) * u_last) OVER k + y_last AS mean,
-    sqrt(sigma2 * sum(pow((1 - pow(phi, s.h)) / (1 - phi), 2)) OVER k) AS sigma
+    sqrt(sse / (n - 2) * sum(pow((1 - pow(phi, s.h)) / (1 - phi), 2)) OVER k) AS sigma
   FROM steps s JOIN p USING (key) JOIN m USING (key) WINDOW k AS (PARTITION BY s.key ORDER BY s.h))
-SELECT key, 'ari' AS model, period, h, {bounds_sql('mean', 'sigma')} FROM f"""
+SELECT key, 'ari' AS model, period, h, {bounds_sql('mean', 'sigma', 3)} FROM f"""
 )
 def forecast_differenced(spark, folder):
     """A first-order autoregression of the differences, with drift, back in levels."""
     spec = Arima("ari", "revenue", 1, 1, 0, 0, 0, 0)
     data = stage(supply_growth(spark, folder).select("key", "period", "revenue"))
-    fits = fit_arima(data, KEYS, [spec], "month", refine=0)
+    fits = fit_arima(data, KEYS, [spec], "month")
     future = future_frame(data, KEYS, "month", 12).select("key", "period")
     out = forecast_arima(data, future, fits, KEYS, [spec], "month")
-    return rounded(out.select("key", "model", "period", "h", *INTERVALS), INTERVALS, 4)
+    return rounded(out.select("key", "model", "period", "h", *INTERVALS), INTERVALS, 3)

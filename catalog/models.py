@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tspanel.operators.arima import arima_residuals, candidate_table, candidates, fit_arima
+from tspanel.operators.arima import arima_residuals, candidate_table, candidates, fit_arima, forecast_arima
+from tspanel.operators.panel import future_frame, resample
 from tspanel.operators.regression import (
     coefficient_table,
     fit_regressions,
@@ -15,12 +16,13 @@ from tspanel.operators.regression import (
     residuals,
 )
 from tspanel.operators.score import aicc_leaderboard
-from tspanel.operators.spec import Arima, Lag, Pulse, Regression
+from tspanel.operators.spec import Arima, Lag, Pulse, Regression, as_arima
 from tspanel.operators.tables import model_orders, residual_acf, residual_histogram
 from tspanel.operators.transform import until_year
 from tspanel.session import stage
 
-from .registry import SUPPLY_GROWTH, R, query, rounded, supply_growth
+from .least_squares import ar1_sql, arma_sql, seasonal_ar_sql
+from .registry import SUPPLY_GROWTH, R, query, rounded, supply_growth, table
 
 KEYS = ["key"]
 CUT = 1999
@@ -43,7 +45,14 @@ lagged AS (SELECT key, period, revenue AS y, lag(quantity, 1) OVER w AS x1,
   FROM growth WINDOW w AS (PARTITION BY key ORDER BY period))"""
 
 
-def regression_sql(name: str, two: bool = False, pulses: bool = False, where: str = "is_train"):
+#: The same with lags on the calendar: empty after a missing month.
+CALENDAR = """
+on_calendar AS (SELECT * REPLACE (
+    CASE WHEN datediff('month', lag(period) OVER w, period) = 1 THEN x1 END AS x1)
+  FROM lagged WINDOW w AS (PARTITION BY key ORDER BY period))"""
+
+
+def regression_sql(name: str, two: bool = False, pulses: bool = False, where: str = "is_train", rows: str = "lagged"):
     """CTEs ``<name>`` (one row per key) and ``<name>_s`` (one row per key and season).
 
     Rows with a pulse fit exactly, so they count in n and rank and nowhere else.
@@ -55,10 +64,12 @@ def regression_sql(name: str, two: bool = False, pulses: bool = False, where: st
     b1 = "(c * p - b * q) / (a * c - b * b)" if two else "p / a"
     b2 = "(a * q - b * p) / (a * c - b * b)" if two else "0.0"
     v1 = "c / (a * c - b * b)" if two else "1 / a"
+    v2 = "a / (a * c - b * b)" if two else "0.0"
+    v12 = "-b / (a * c - b * b)" if two else "0.0"
     count = 2 if two else 1
     return f"""
 {name}_r AS (SELECT key, period, y, x1, {x2} AS x2, month(period) AS s, {keep} AS kept
-  FROM lagged WHERE {where} AND y IS NOT NULL AND {need}),
+  FROM {rows} WHERE {where} AND y IS NOT NULL AND {need}),
 {name}_c AS (SELECT key, s, y - avg(y) OVER k AS y, x1 - avg(x1) OVER k AS x1,
     x2 - avg(x2) OVER k AS x2
   FROM {name}_r WHERE kept WINDOW k AS (PARTITION BY key, s)),
@@ -67,14 +78,14 @@ def regression_sql(name: str, two: bool = False, pulses: bool = False, where: st
 {name}_n AS (SELECT key, count(*) AS n,
     count(DISTINCT CASE WHEN kept THEN s END) + {count}
       + count(CASE WHEN NOT kept THEN 1 END) AS rank FROM {name}_r GROUP BY 1),
-{name}_b AS (SELECT key, n, rank, {b1} AS b1, {b2} AS b2, {v1} AS v1, a,
+{name}_b AS (SELECT key, n, rank, {b1} AS b1, {b2} AS b2, {v1} AS v1, {v2} AS v2, {v12} AS v12, a,
     greatest(t - ({b1}) * p - ({b2}) * q, 0) AS sse FROM {name}_m JOIN {name}_n USING (key)),
 {name} AS (SELECT *, '{name}' AS model, sse / (n - rank) AS sigma2,
     n * ln(sse / n) + 2 * (rank + 1) AS aic,
     n * ln(sse / n) + 2 * (rank + 1) + 2 * (rank + 1) * (rank + 2) / (n - rank - 2) AS aicc
   FROM {name}_b),
 {name}_s AS (SELECT key, s, count(*) AS n_s, avg(y) - any_value(b1) * avg(x1)
-    - any_value(b2) * avg(x2) AS level, avg(x1) AS m1
+    - any_value(b2) * avg(x2) AS level, avg(x1) AS m1, avg(x2) AS m2
   FROM {name}_r JOIN {name}_b USING (key) WHERE kept GROUP BY 1, 2)"""
 
 
@@ -122,8 +133,48 @@ def coef_table(spark, folder):
     return rounded(table, ["estimate", "std_error", "statistic"], 5)
 
 
-@query()
+def every_term(name: str, two: bool = False, pulses: bool = False) -> str:
+    """(key, model, term, estimate, v): all coefficients of a regression, v times sigma2 their variance."""
+
+    def form(d1: str, d2: str) -> str:
+        return f"(v1 * pow({d1}, 2) + v2 * pow({d2}, 2) + 2 * v12 * ({d1}) * ({d2}))"
+
+    parts = [
+        f"""SELECT b.key, 'intercept' AS term, o.level AS estimate, 1.0 / o.n_s + {form('o.m1', 'o.m2')} AS v
+  FROM {name}_b b JOIN {name}_s o ON o.key = b.key AND o.s = 1""",
+        f"""SELECT b.key, 'season_' || j, t.level - o.level, 1.0 / t.n_s + 1.0 / o.n_s + {form('t.m1 - o.m1', 't.m2 - o.m2')}
+  FROM {name}_b b JOIN {name}_s o ON o.key = b.key AND o.s = 1, generate_series(2, 12) AS g(j)
+  LEFT JOIN {name}_s t ON t.key = b.key AND t.s = j""",
+        f"SELECT key, 'quantity_lag1', b1, v1 FROM {name}_b",
+    ]
+    if two:
+        parts.append(f"SELECT key, 'discount_lag2', b2, v2 FROM {name}_b")
+    if pulses:
+        dates = ", ".join(f"('{p.name}', DATE '{p.period}')" for p in PULSES)
+        parts.append(f"""SELECT b.key, p.name, r.y - s.level - b1 * r.x1, 1 + 1.0 / s.n_s + {form('r.x1 - s.m1', '0.0')}
+  FROM {name}_b b CROSS JOIN (VALUES {dates}) AS p(name, period) LEFT JOIN {name}_r r ON r.key = b.key AND r.period = p.period
+  LEFT JOIN {name}_s s ON s.key = b.key AND s.s = r.s""")
+    return f"SELECT '{name}' AS model, * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+# Student's distribution for whole degrees of freedom: finite sums of powers of the cosine
+P_VALUE = """CASE WHEN df % 2 = 0 THEN 1 - sin(w) * list_sum([exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow(cos(w), 2 * k)
+    FOR k IN generate_series(0, df // 2 - 1)])
+  ELSE 1 - 2 / pi() * (w + sin(w) * cos(w) * list_sum([exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(cos(w), 2 * k)
+    FOR k IN generate_series(0, (df - 3) // 2)])) END"""
+
+
+@query(
+    THREE
+    + f""",
+terms AS ({every_term('lm_1')} UNION ALL {every_term('lm_2', two=True)} UNION ALL {every_term('lm_3', pulses=True)}),
+tested AS (SELECT t.*, sqrt(sigma2 * v) AS se, (n - rank)::BIGINT AS df, atan(abs(estimate / sqrt(sigma2 * v)) / sqrt(n - rank)) AS w
+  FROM terms t JOIN lm ON lm.key = t.key AND lm.model = t.model)
+SELECT key, model, term, {R('estimate', 5)} AS estimate, {R('se', 5)} AS std_error, {R('estimate / se', 5)} AS statistic,
+  CASE WHEN w IS NOT NULL THEN {R(P_VALUE, 5)} END AS p_value FROM tested"""
+)
 def coef_p_values(spark, folder):
+    """All coefficients of three regressions with their t tests."""
     fits = fit_regressions(train(spark, folder), KEYS, [LM_1, LM_2, LM_3], "month")
     table = coefficient_table(fits, KEYS)
     return rounded(table, ["estimate", "std_error", "statistic", "p_value"], 5)
@@ -205,6 +256,8 @@ LM_AR_1 = Arima(
     family="tslm_arima",
 )
 
+TRAIN_ROWS = f"SELECT key, period, revenue AS y FROM growth WHERE year(period) <= {CUT}"
+
 CENTRED = f"""WITH {SUPPLY_GROWTH},
 u AS (SELECT key, period, revenue - avg(revenue) OVER (PARTITION BY key) AS u,
     row_number() OVER (PARTITION BY key ORDER BY period) AS i, count(*) OVER (PARTITION BY key) AS n
@@ -220,58 +273,36 @@ def likelihood(n: str, k: str, sse: str) -> str:
 AR_COLUMNS = ["phi_1", "sigma2", "aicc"]
 
 
-def _ar(fits):
+def _ar(fits, digits=5):
     return rounded(
         fits.select(
-            "key", "model", "orders", "n", "rank", F.col("ar")[0].alias("phi_1"), "sigma2", "aicc"
-        ).withColumn("sigma2", F.round("sigma2", 4)),
-        ["phi_1", "aicc"],
+            "key", "model", "orders", "n", "rank", F.round(F.col("ar")[0], digits).alias("phi_1"),
+            F.round("sigma2", 4).alias("sigma2"), "aicc",
+        ),
+        ["aicc"],
         5,
     )
 
 
 @query(
-    CENTRED
-    + f""",
-b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l GROUP BY 1),
-e AS (SELECT l.key, max(n) AS n, max(phi) AS phi, sum(pow(u - phi * coalesce(u1, 0), 2)) AS sse
-  FROM l JOIN b USING (key) GROUP BY 1)
+    f"""WITH {SUPPLY_GROWTH}, {ar1_sql('g', TRAIN_ROWS)}
 SELECT key, 'ar_1' AS model, 'ARIMA(1,0,0)(0,0,0)[12]' AS orders, n, 3::INTEGER AS rank,
   {R('phi', 5)} AS phi_1, {R('sse / (n - 2)', 4)} AS sigma2,
-  {R(likelihood('n', '3', 'sse'), 5)} AS aicc FROM e"""
+  {R(likelihood('n', '3', 'sse'), 5)} AS aicc FROM g"""
 )
 def arima_fixed(spark, folder):
     data = stage(train(spark, folder))
-    return _ar(fit_arima(data, KEYS, [AR_1], "month", refine=0))
+    return _ar(fit_arima(data, KEYS, [AR_1], "month"))
 
 
 @query(
-    CENTRED.replace("WITH ", "WITH RECURSIVE ", 1)
-    + f""",
-s AS (SELECT l.key, max(n) AS n, max(CASE WHEN i = 1 THEN u END) AS f,
-    sum(CASE WHEN i > 1 THEN u END) AS a, sum(CASE WHEN i > 1 THEN u1 END) AS b,
-    sum(CASE WHEN i > 1 THEN u * u1 END) AS c, sum(CASE WHEN i > 1 THEN u1 * u1 END) AS d,
-    sum(CASE WHEN i > 1 THEN u * u END) AS e FROM l GROUP BY 1),
-phi AS (
-  SELECT key, 0 AS step, 0.0::DOUBLE AS mu, c / d AS phi FROM s
-  UNION ALL
-  SELECT key, step + 1, mu, (c - mu * (a + b) + (n - 1) * mu * mu) / (d - 2 * mu * b + (n - 1) * mu * mu)
-  FROM (SELECT s.*, step, (f + (1 - phi) * (a - phi * b)) / (1 + (n - 1) * pow(1 - phi, 2)) AS mu
-    FROM phi JOIN s USING (key) WHERE step < 60)),
-z AS (SELECT s.key, s.n, phi, mu FROM phi JOIN s USING (key) WHERE step = 60),
-g AS (SELECT l.key, max(z.n) AS n, max(phi) AS phi, max(mu) AS mu,
-    sum(pow(u - mu - CASE WHEN i > 1 THEN phi * (u1 - mu) ELSE 0 END, 2)) AS sse
-  FROM l JOIN z ON z.key = l.key GROUP BY 1),
-h AS (SELECT key, avg(revenue) AS level FROM growth WHERE year(period) <= {CUT} GROUP BY 1)
-SELECT g.key, 'ar_1' AS model, true AS converged, n, {R('level + mu', 4)} AS intercept,
+    f"""WITH {SUPPLY_GROWTH}, {ar1_sql('g', TRAIN_ROWS)}
+SELECT key, 'ar_1' AS model, true AS converged, n, {R('mu', 4)} AS intercept,
   {R('phi', 5)} AS phi_1, {R('sse / (n - 2)', 4)} AS sigma2,
-  {R(likelihood('n', '3', 'sse'), 5)} AS aicc FROM g JOIN h ON h.key = g.key"""
+  {R(likelihood('n', '3', 'sse'), 5)} AS aicc FROM g"""
 )
 def arima_joint(spark, folder):
-    """Mean and first-order coefficient estimated jointly, as the default does.
-
-    The SQL reaches the least sum of squares by 60 exact steps in turn for mean and coefficient.
-    """
+    """Mean and first-order coefficient estimated jointly, as the default does."""
     fits = fit_arima(stage(train(spark, folder)), KEYS, [AR_1], "month")
     out = fits.select(
         "key", "model", "converged", "n", F.col("coef")["intercept"].alias("intercept"),
@@ -281,56 +312,42 @@ def arima_joint(spark, folder):
 
 
 @query(
-    CENTRED
-    + f""",
-m AS (SELECT key, sum(u1 * u1) AS a, sum(u1 * u2) AS b, sum(u2 * u2) AS c, sum(u * u1) AS p,
-    sum(u * u2) AS q FROM l GROUP BY 1),
-b AS (SELECT key, (c * p - b * q) / (a * c - b * b) AS phi,
-    (a * q - b * p) / (a * c - b * b) AS phi2 FROM m),
-e AS (SELECT l.key, max(n) AS n, max(phi) AS phi,
-    sum(pow(u - phi * coalesce(u1, 0) - phi2 * coalesce(u2, 0), 2)) AS sse
-  FROM l JOIN b USING (key) GROUP BY 1)
+    f"""WITH {SUPPLY_GROWTH}, {arma_sql('g', TRAIN_ROWS, 2, 0)}
 SELECT key, 'ar_2' AS model, 'ARIMA(2,0,0)(0,0,0)[12]' AS orders, n, 4::INTEGER AS rank,
-  {R('phi', 5)} AS phi_1, {R('sse / (n - 3)', 4)} AS sigma2,
-  {R(likelihood('n', '4', 'sse'), 5)} AS aicc FROM e"""
+  {R('phi', 4)} AS phi_1, {R('sse / (n - 3)', 4)} AS sigma2,
+  {R(likelihood('n', '4', 'sse'), 5)} AS aicc FROM g"""
 )
 def arima_fixed_ar2(spark, folder):
     data = stage(train(spark, folder))
-    return _ar(fit_arima(data, KEYS, [AR_2], "month", refine=0))
+    return _ar(fit_arima(data, KEYS, [AR_2], "month"), digits=4)
 
 
 @query(
-    CENTRED
-    + f""",
-y AS (SELECT key, sum(u * u) AS c0, sum(u * u1) AS c1, sum(u * u2) AS c2 FROM l GROUP BY 1),
-f AS (SELECT key, c1 * (c0 - c2) / (c0 * c0 - c1 * c1) AS f1,
-    (c0 * c2 - c1 * c1) / (c0 * c0 - c1 * c1) AS f2 FROM y),
-s AS (SELECT l.key, l.i, l.u, l.n, l.u - f1 * u1 - f2 * u2 AS e FROM l JOIN f USING (key)),
-t AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY key ORDER BY i), 0) AS e1 FROM s),
-b AS (SELECT key, sum(u * e1) / sum(e1 * e1) AS theta FROM t GROUP BY 1),
-e AS (SELECT x.key, x.i, max(x.n) AS n, max(theta) AS theta,
-    sum(pow(-theta, x.i - z.i) * z.u) AS e
-  FROM u x JOIN u z ON z.key = x.key AND z.i <= x.i JOIN b ON b.key = x.key GROUP BY 1, 2),
-g AS (SELECT key, max(n) AS n, max(theta) AS theta, sum(e * e) AS sse FROM e GROUP BY 1)
-SELECT key, 'ma_1' AS model, 'ARIMA(0,0,1)(0,0,0)[12]' AS orders, n, {R('theta', 5)} AS theta_1,
-  {R('sse / (n - 2)', 4)} AS sigma2, {R(likelihood('n', '3', 'sse'), 5)} AS aicc FROM g"""
+    f"""WITH {SUPPLY_GROWTH}, {arma_sql('g', TRAIN_ROWS, 0, 1)}
+SELECT key, 'ma_1' AS model, 'ARIMA(0,0,1)(0,0,0)[12]' AS orders, n, inside AS converged, CASE WHEN inside THEN {R('theta', 4)} END AS theta_1,
+  CASE WHEN inside THEN {R('sse / (n - 2)', 3)} END AS sigma2, CASE WHEN inside THEN {R(likelihood('n', '3', 'sse'), 4)} END AS aicc
+FROM (SELECT *, abs(theta) < 0.985 AS inside FROM g)"""
 )
 def arima_fixed_ma1(spark, folder):
+    """Series whose error only falls towards the unit circle do not converge; their figures are left out."""
     data = stage(train(spark, folder))
-    fits = fit_arima(data, KEYS, [MA_1], "month", long_ar=2, refine=0)
-    out = fits.select(
-        "key", "model", "orders", "n", F.col("ma")[0].alias("theta_1"),
-        F.round("sigma2", 4).alias("sigma2"), "aicc",
-    )
-    return rounded(out, ["theta_1", "aicc"], 5)
+    fits = fit_arima(data, KEYS, [MA_1], "month")
+    known = [("theta_1", F.round(F.col("ma")[0], 4)), ("sigma2", F.round("sigma2", 3)), ("aicc", F.round("aicc", 4))]
+    return fits.select("key", "model", "orders", "n", "converged", *[F.when(F.col("converged"), c).alias(n) for n, c in known])
+
+
+CALENDAR_RESIDUALS = f"""WITH {LAGGED}, {CALENDAR}, {regression_sql('lm_1', rows='on_calendar')},
+res AS (SELECT r.key, r.period, r.y, r.y - s.level - b.b1 * r.x1 AS e
+  FROM lm_1_r r JOIN lm_1_b b USING (key) JOIN lm_1_s s ON s.key = r.key AND s.s = r.s),
+l AS (SELECT key, period, y, e AS u, lag(e) OVER w AS u1, datediff('month', lag(period) OVER w, period) AS g
+  FROM res WINDOW w AS (PARTITION BY key ORDER BY period)),
+b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE g = 1 GROUP BY 1)"""
 
 
 @query(
-    ONE_RESIDUALS
+    CALENDAR_RESIDUALS
     + f""",
-l AS (SELECT key, e AS u, lag(e) OVER (PARTITION BY key ORDER BY period) AS u1 FROM res),
-b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE u1 IS NOT NULL GROUP BY 1),
-g AS (SELECT l.key, count(*) AS n, max(phi) AS phi, sum(pow(u - phi * coalesce(u1, 0), 2)) AS sse
+g AS (SELECT l.key, count(*) AS n, max(phi) AS phi, sum(pow(u - coalesce(pow(phi, g) * u1, 0), 2)) AS sse
   FROM l JOIN b USING (key) GROUP BY 1),
 h AS (SELECT g.*, m.b1, (m.rank + 2)::INTEGER AS k FROM g JOIN lm_1 m USING (key))
 SELECT key, 'lm_ar_1' AS model, 'tslm_arima' AS family, n, k AS rank, {R('b1', 5)} AS b1,
@@ -407,27 +424,27 @@ def orders_table(spark, folder):
 
 
 @query(
-    f"""WITH {LAGGED}, {regression_sql('lm_1')}
+    f"""WITH {LAGGED}, {regression_sql('lm_1')}, terms AS ({every_term('lm_1')}),
+tested AS (SELECT t.term, t.estimate, sqrt(sigma2 * v) AS se, (n - rank)::BIGINT AS df,
+    atan(abs(t.estimate / sqrt(sigma2 * v)) / sqrt(n - rank)) AS w, lm_1.* FROM terms t JOIN lm_1 ON lm_1.key = t.key)
 SELECT key, model, 'tslm' AS family, n, rank::INTEGER AS rank, {R('sigma2', 4)} AS sigma2,
   {R('-n / 2.0 * (ln(2 * pi() * sse / n) + 1)', 4)} AS loglik, {R('aic', 4)} AS aic,
   {R('aicc', 4)} AS aicc, {R('aic + (rank + 1) * (ln(n) - 2)', 4)} AS bic,
-  'quantity_lag1' AS term, {R('b1', 4)} AS estimate, {R('sqrt(sigma2 * v1)', 4)} AS std_error,
-  {R('b1 / sqrt(sigma2 * v1)', 4)} AS statistic FROM lm_1"""
+  term, {R('estimate', 4)} AS estimate, {R('se', 4)} AS std_error, {R('estimate / se', 4)} AS statistic,
+  CASE WHEN w IS NOT NULL THEN {R(P_VALUE, 4)} END AS p_value FROM tested"""
 )
 def model_report(spark, folder):
+    """Fit statistics and all coefficients."""
     fits = stage(fit_regressions(train(spark, folder), KEYS, [LM_1], "month"))
-    out = report(fits, KEYS).filter("term = 'quantity_lag1'").drop("p_value")
-    numbers = ["sigma2", "loglik", "aic", "aicc", "bic", "estimate", "std_error", "statistic"]
-    return rounded(out, numbers, 4)
+    numbers = ["sigma2", "loglik", "aic", "aicc", "bic", "estimate", "std_error", "statistic", "p_value"]
+    return rounded(report(fits, KEYS), numbers, 4)
 
 
 @query(
-    ONE_RESIDUALS
-    + f""",
-l AS (SELECT key, period, y, e AS u, lag(e) OVER (PARTITION BY key ORDER BY period) AS u1 FROM res),
-b AS (SELECT key, sum(u * u1) / sum(u1 * u1) AS phi FROM l WHERE u1 IS NOT NULL GROUP BY 1)
+    CALENDAR_RESIDUALS
+    + f"""
 SELECT key, 'lm_ar_1' AS model, period, {R('y', 4)} AS actual,
-  {R('y - u + phi * coalesce(u1, 0)', 4)} AS fitted, {R('u - phi * coalesce(u1, 0)', 4)} AS residual
+  {R('y - u + coalesce(pow(phi, g) * u1, 0)', 4)} AS fitted, {R('u - coalesce(pow(phi, g) * u1, 0)', 4)} AS residual
 FROM l JOIN b USING (key)"""
 )
 def arima_residual_table(spark, folder):
@@ -436,3 +453,132 @@ def arima_residual_table(spark, folder):
     fits = fit_arima(data, KEYS, [LM_AR_1], "month", refine=0)
     out = arima_residuals(data, fits, KEYS, [LM_AR_1], "month")
     return rounded(out, ["actual", "fitted", "residual"], 4)
+
+
+# -- monthly orders by priority: seasonal products, gaps, searches --------------------------
+
+
+def orders_monthly(spark, folder):
+    """Five keys: order priority, per month; the number of orders."""
+    orders = table(spark, folder, "orders").withColumnRenamed("o_orderpriority", "key")
+    return resample(orders, ["key"], "o_orderdate", "month", {"y": F.count(F.lit(1)).cast("double")})
+
+
+def gappy(df):
+    """Every thirteenth month of the calendar is taken out."""
+    return df.filter((F.year("period") * 12 + F.month("period")) % 13 != 5)
+
+
+ORDERS_MONTHLY = """
+monthly AS (SELECT o_orderpriority AS key, date_trunc('month', o_orderdate)::DATE AS period, count(*)::DOUBLE AS y
+  FROM orders GROUP BY 1, 2),
+gappy AS (SELECT * FROM monthly WHERE (year(period) * 12 + month(period)) % 13 <> 5)"""
+SEASONAL_AR = Arima("seasonal_ar", "y", 1, 0, 0, 1, 0, 0)
+
+
+@query(
+    f"""WITH {ORDERS_MONTHLY}, {seasonal_ar_sql('g', 'SELECT * FROM monthly')}
+SELECT key, 'ARIMA(1,0,0)(1,0,0)[12]' AS orders, n, 4::INTEGER AS rank, {R('mu', 3)} AS intercept, {R('phi', 4)} AS ar1,
+  {R('sphi', 4)} AS sar1, {R('- phi * sphi', 4)} AS ar13, {R('sse', 2)} AS sse, {R(likelihood('n', '4', 'sse'), 5)} AS aicc FROM g"""
+)
+def arima_seasonal(spark, folder):
+    """Ordinary and seasonal autoregression multiplied: lag 13 carries minus the product of both."""
+    fits = fit_arima(stage(orders_monthly(spark, folder)), KEYS, [SEASONAL_AR], "month")
+    coef = F.col("coef")
+    return fits.select(
+        "key", "orders", "n", "rank", F.round(coef["intercept"], 3).alias("intercept"), F.round(coef["ar1"], 4).alias("ar1"),
+        F.round(coef["sar1"], 4).alias("sar1"), F.round(F.col("ar")[12], 4).alias("ar13"), F.round("sse", 2).alias("sse"),
+        F.round("aicc", 5).alias("aicc"),
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {ORDERS_MONTHLY}, {seasonal_ar_sql('g', 'SELECT * FROM monthly')},
+past AS (SELECT key, list(y - mu ORDER BY period) AS u, max(period) AS hi FROM monthly JOIN g USING (key) GROUP BY key),
+ahead AS (
+  SELECT key, 0 AS h, u, [1.0::DOUBLE] AS psi FROM past
+  UNION ALL
+  SELECT a.key, h + 1, list_append(u, phi * u[-1] + sphi * u[-12] - phi * sphi * u[-13]),
+    list_append(psi, phi * psi[-1] + sphi * coalesce(CASE WHEN len(psi) >= 12 THEN psi[-12] END, 0)
+      - phi * sphi * coalesce(CASE WHEN len(psi) >= 13 THEN psi[-13] END, 0))
+  FROM ahead a JOIN g ON g.key = a.key WHERE h < 15)
+SELECT a.key, (hi + to_months(h))::DATE AS period, h::INTEGER AS h, {R('mu + a.u[-1]', 3)} AS mean,
+  {R('sqrt(sse / (n - 3) * list_sum(list_transform(psi[1:h], lambda w: w * w)))', 3)} AS sigma
+FROM ahead a JOIN g ON g.key = a.key JOIN past ON past.key = a.key WHERE h > 0"""
+)
+def forecast_seasonal(spark, folder):
+    """Fifteen months ahead with the multiplied polynomial."""
+    data = stage(orders_monthly(spark, folder))
+    fits = fit_arima(data, KEYS, [SEASONAL_AR], "month")
+    out = forecast_arima(data, future_frame(data, KEYS, "month", 15), fits, KEYS, [SEASONAL_AR], "month")
+    return rounded(out.select("key", "period", "h", "mean", "sigma"), ["mean", "sigma"], 3)
+
+
+@query(
+    f"""WITH {ORDERS_MONTHLY}, {ar1_sql('g', 'SELECT * FROM gappy')},
+last AS (SELECT key, max(period) AS hi FROM gappy GROUP BY 1)
+SELECT key, n, {R('mu', 3)} AS intercept, {R('phi', 4)} AS ar1, {R('sse', 2)} AS sse,
+  (hi + to_months(h::INTEGER))::DATE AS period, h::INTEGER AS h, {R('mu + pow(phi, h) * u_last', 3)} AS mean,
+  {R('sqrt(sse / (n - 2) * (1 - pow(phi, 2 * h)) / (1 - phi * phi))', 3)} AS sigma
+FROM g JOIN last USING (key), generate_series(1, 6) AS s(h)"""
+)
+def arima_missing(spark, folder):
+    """Months without a row are passed over on the calendar, in the fit and in the forecast."""
+    spec = Arima("ar_1", "y", 1, 0, 0, 0, 0, 0)
+    data = stage(gappy(orders_monthly(spark, folder)))
+    fits = fit_arima(data, KEYS, [spec], "month")
+    out = forecast_arima(data, future_frame(data, KEYS, "month", 6), fits, KEYS, [spec], "month")
+    parts = fits.select("key", "n", F.col("coef")["intercept"].alias("intercept"), F.col("coef")["ar1"].alias("ar1"), "sse")
+    out = out.select("key", "period", "h", "mean", "sigma").join(parts, "key")
+    return rounded(out.withColumns({"ar1": F.round("ar1", 4), "sse": F.round("sse", 2)}), ["intercept", "mean", "sigma"], 3)
+
+
+@query(
+    f"""WITH {ORDERS_MONTHLY}, {arma_sql('m10', 'SELECT * FROM gappy', 1, 0)}, {arma_sql('m01', 'SELECT * FROM gappy', 0, 1)},
+{arma_sql('m11', 'SELECT * FROM gappy', 1, 1)},
+m00 AS (SELECT key, count(*) AS n, sum(pow(y - mid, 2)) AS sse FROM (SELECT key, y, avg(y) OVER (PARTITION BY key) AS mid FROM gappy) GROUP BY 1),
+every AS (SELECT key, 0 AS p, 0 AS q, n, sse, {likelihood('n', '2', 'sse')} AS aicc FROM m00
+  UNION ALL SELECT key, 1, 0, n, sse, {likelihood('n', '3', 'sse')} FROM m10
+  UNION ALL SELECT key, 0, 1, n, sse, {likelihood('n', '3', 'sse')} FROM m01 WHERE abs(theta) < 0.985
+  UNION ALL SELECT key, 1, 1, n, sse, {likelihood('n', '4', 'sse')} FROM m11 WHERE greatest(abs(phi), abs(theta)) < 0.985)
+SELECT key, p::INTEGER AS p, q::INTEGER AS q, n, {R('sse', 1)} AS sse, {R('aicc', 4)} AS aicc FROM every
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY aicc, p + q) = 1"""
+)
+def arima_full_search(spark, folder):
+    """The order of least AICc when every candidate that could win is estimated jointly."""
+    spec = Arima("full", "y", (0, 1), 0, (0, 1), 0, 0, 0)
+    fits = fit_arima(stage(gappy(orders_monthly(spark, folder))), KEYS, [spec], "month", approximation=False)
+    return fits.select("key", "p", "q", "n", F.round("sse", 1).alias("sse"), F.round("aicc", 4).alias("aicc"))
+
+
+@query(
+    f"""WITH {SUPPLY_GROWTH}, {ar1_sql('w', TRAIN_ROWS)}, {ar1_sql('o', TRAIN_ROWS, constant=False)},
+two AS (SELECT key, true AS constant, phi, mu, n, sse, {likelihood('n', '3', 'sse')} AS aicc FROM w
+  UNION ALL SELECT key, false, phi, NULL, n, sse, {likelihood('n', '2', 'sse')} FROM o)
+SELECT key, constant, {R('phi', 4)} AS ar1, {R('mu', 3)} AS intercept, {R('aicc', 4)} AS aicc, {R('other', 4)} AS aicc_other FROM (
+  SELECT *, coalesce(lead(aicc) OVER k, lag(aicc) OVER k) AS other, row_number() OVER k AS place FROM two
+  WINDOW k AS (PARTITION BY key ORDER BY aicc))
+WHERE place = 1"""
+)
+def arima_constant(spark, folder):
+    """A first-order autoregression with or without a constant, whichever has the lower AICc."""
+    specs = [Arima(n, "revenue", 1, 0, 0, 0, 0, 0, intercept=c) for n, c in (("free", None), ("with", True), ("without", False))]
+    fits = stage(fit_arima(stage(train(spark, folder)), KEYS, specs, "month"))
+    most = fits.filter("model <> 'free'").groupBy("key").agg(F.max("aicc").alias("aicc_other"))
+    out = fits.filter("model = 'free'").join(most, "key").select(
+        "key", "constant", F.round(F.col("coef")["ar1"], 4).alias("ar1"), F.round(F.col("coef")["intercept"], 3).alias("intercept"),
+        "aicc", "aicc_other",
+    )
+    return rounded(out, ["aicc", "aicc_other"], 4)
+
+
+@query(
+    f"""WITH {LAGGED}, {CALENDAR}, {regression_sql('lm_1', rows='on_calendar')}
+SELECT key, 'ARIMA(0,0,0)(0,0,0)[12]' AS orders, n, (rank + 1)::INTEGER AS rank, {R('b1', 5)} AS b1, {R('sigma2', 4)} AS sigma2,
+  {R(likelihood('n', '(rank + 1)', 'sse'), 5)} AS aicc FROM lm_1"""
+)
+def arima_zero_orders(spark, folder):
+    """A regression as an ARIMA model without orders: the same coefficients, the likelihood's AICc."""
+    fits = fit_arima(stage(train(spark, folder)), KEYS, [as_arima(LM_1)], "month")
+    out = fits.select("key", "orders", "n", "rank", F.col("coef")["quantity_lag1"].alias("b1"), F.round("sigma2", 4).alias("sigma2"), "aicc")
+    return rounded(out, ["b1", "aicc"], 5)

@@ -76,7 +76,7 @@ def simulated(spark):
         ("ar1", fixed("m", p=1), {"ar1": 0.6}),
         ("ma1", fixed("m", q=1), {"ma1": 0.5}),
         ("arma", fixed("m", p=1, q=1), {"ar1": 0.6, "ma1": 0.4}),
-        ("seasonal", fixed("m", p=1, P=1), {"ar1": 0.3, "ar4": 0.5}),
+        ("seasonal", fixed("m", p=1, P=1, multiplicative=False), {"ar1": 0.3, "ar4": 0.5}),
     ],
 )
 def test_parameters_are_recovered_on_average(simulated, name, spec, want):
@@ -249,10 +249,192 @@ def test_short_series_are_fitted_too(spark):
 
 
 def test_coinciding_lags_count_once(spark):
-    """Quarterly, lag 4 of p = 4 and lag 4 of P = 1 are one coefficient."""
+    """Quarterly and without products, lag 4 of p = 4 and lag 4 of P = 1 are one coefficient."""
     values = np.random.default_rng(4).normal(size=80)
     data = frame(spark, table(80, {"y": values}))
-    specs = [Arima("plain", "y", 4, 0, 0, 0, 0, 0), Arima("both", "y", 4, 0, 0, 1, 0, 0)]
+    specs = [Arima("plain", "y", 4, 0, 0, 0, 0, 0), Arima("both", "y", 4, 0, 0, 1, 0, 0, multiplicative=False)]
     plain, both = fit_arima(data, ["key"], specs, "quarter").orderBy(F.desc("model")).collect()
     assert plain["rank"] == both["rank"] == 6
     assert plain["aicc"] == pytest.approx(both["aicc"]) and plain["sigma2"] == pytest.approx(both["sigma2"])
+
+
+# -- products of polynomials, missing periods, searches -----------------------------------
+
+
+def brute_errors(y, mean, phi, sphi, theta, stheta, m):
+    """One-step errors by the products written out; missing values are stood in for by their forecasts."""
+    ar = -np.convolve([1, *(-np.asarray(phi))], np.ravel([[1.0] + [0.0] * (m - 1)] + [[-c] + [0.0] * (m - 1) for c in sphi])[: m * len(sphi) + 1])[1:]
+    ma = np.convolve([1, *theta], np.ravel([[1.0] + [0.0] * (m - 1)] + [[c] + [0.0] * (m - 1) for c in stheta])[: m * len(stheta) + 1])[1:]
+    u, e = np.zeros(len(y)), np.zeros(len(y))
+    for t in range(len(y)):
+        guess = sum(c * u[t - i - 1] for i, c in enumerate(ar) if t > i) + sum(c * e[t - j - 1] for j, c in enumerate(ma) if t > j)
+        u[t] = guess if np.isnan(y[t]) else y[t] - mean
+        e[t] = 0.0 if np.isnan(y[t]) else u[t] - guess
+    return u, e
+
+
+def with_holes(values, r, share=0.1):
+    out = np.array(values, float)
+    out[1 + r.choice(len(out) - 2, int(share * len(out)), replace=False)] = np.nan
+    return out
+
+
+@pytest.mark.parametrize("orders", [(1, 0, 1, 0), (0, 1, 0, 1), (2, 1, 1, 1), (1, 1, 2, 0)])
+def test_recursion_and_derivatives_with_missing_values(orders):
+    p, q, P, Q = orders
+    r = np.random.default_rng(sum(orders))
+    shape, m = arma.Shape(orders, 4, True), 4
+    y = np.stack([with_holes(r.normal(size=50), r) for _ in range(3)])
+    seen, x = ~np.isnan(y), r.normal(size=(3, 50, 2))
+    coef, beta = r.uniform(-0.5, 0.5, (3, shape.size)), r.normal(size=(3, 2))
+
+    def errors(beta, coef, dv=None):
+        v = np.where(seen, np.nan_to_num(y) - np.einsum("btk,bk->bt", x, beta), 0.0)
+        return arma.recursion(v, seen, *shape.polynomials(coef), dv, shape, coef)
+
+    _, e, slope = errors(beta, coef, -x)
+    for i in range(3):
+        parts = [c[i] for c in shape.split(coef)]
+        want = brute_errors(y[i] - x[i] @ beta[i], 0.0, parts[0], parts[1], parts[2], parts[3], m)[1]
+        assert np.allclose(e[i], want)
+    for j in range(2 + shape.size):
+        step = np.zeros(2 + shape.size)
+        step[j] = 1e-6
+        near = [errors(beta + s * step[:2], coef + s * step[2:])[1] for s in (1, -1)]
+        assert np.allclose((near[0] - near[1]) / 2e-6, slope[:, :, j], atol=1e-6)
+
+
+def test_multiplied_polynomials_are_recovered(spark):
+    data = frame(spark, simulate({1: 0.5, 4: 0.6, 5: -0.3}, {}, 500, 30, 21, "p"))
+    fits = fit_arima(data, KEYS, [fixed("m", p=1, P=1)], "quarter").toPandas()
+    assert fits["converged"].all() and (fits["rank"] == 4).all()
+    for term, value in (("ar1", 0.5), ("sar1", 0.6)):
+        assert np.mean([dict(c)[term] for c in fits["coef"]]) == pytest.approx(value, abs=0.03)
+    for row in fits.itertuples():
+        assert row.ar[4] == pytest.approx(-row.ar[0] * row.ar[3])
+    shocks = frame(spark, simulate({}, {1: 0.4, 4: 0.5, 5: 0.2}, 500, 30, 22, "q"))
+    fits = fit_arima(shocks, KEYS, [fixed("m", q=1, Q=1)], "quarter").toPandas()
+    for term, value in (("ma1", 0.4), ("sma1", 0.5)):
+        assert np.mean([dict(c)[term] for c in fits["coef"]]) == pytest.approx(value, abs=0.03)
+
+
+def test_estimates_are_least_squares_with_regressors_and_gaps(spark):
+    """No small step from the estimate lowers the sum of squares written out by hand."""
+    r = np.random.default_rng(23)
+    x = r.normal(size=90).cumsum() * 0.2
+    y = with_holes(2 + 1.5 * x + simulate({1: 0.5, 4: 0.4, 5: -0.2}, {1: 0.3}, 90, 1, 24, "s")["y"].to_numpy(), r)
+    df = frame(spark, table(90, {"y": y, "x": x})).filter("y IS NOT NULL")
+    fit = fit_arima(df, KEYS, [fixed("m", p=1, P=1, q=1, lags=(Lag("x", 0),))], "quarter").first()
+    assert fit.converged and fit.n == np.isfinite(y).sum()
+    start = np.array([fit.coef[t] for t in ("intercept", "x_lag0", "ar1", "sar1", "ma1")])
+
+    def total(c):
+        return (brute_errors(y - c[1] * x, c[0], c[2:3], c[3:4], c[4:], [], 4)[1] ** 2).sum()
+
+    assert total(start) == pytest.approx(fit.sse)
+    for i in range(5):
+        for step in (1e-3, -1e-3):
+            moved = start.copy()
+            moved[i] += step
+            assert total(moved) > fit.sse
+
+
+def test_six_gaps_change_a_seasonal_estimate_little(spark):
+    whole = simulate({4: 0.8}, {}, 160, 20, 25, "g")
+    dates = set(sorted(whole["period"].unique())[i] for i in (20, 41, 42, 77, 110, 139))
+    full = fit_arima(frame(spark, whole), KEYS, [fixed("m", P=1)], "quarter").toPandas()
+    parts = fit_arima(frame(spark, whole[~whole["period"].isin(dates)]), KEYS, [fixed("m", P=1)], "quarter").toPandas()
+    a, b = ({k: dict(c)["sar1"] for k, c in zip(t["key"], t["coef"])} for t in (full, parts))
+    assert np.mean([abs(a[k] - b[k]) for k in a]) < 0.03 and (parts["n"] == 154).all()
+
+
+@pytest.mark.parametrize("d,D", [(0, 0), (1, 0), (0, 1)])
+def test_missing_end_keeps_the_origin(spark, d, D):
+    """Null values at the end do not move the origin: forecasts go on from it and intervals widen."""
+    r = np.random.default_rng(26)
+    y = r.normal(size=60).cumsum() + np.arange(60) % 4
+    y[[20, 33]] = np.nan
+    late = y.copy()
+    late[-2:] = np.nan
+    spec = fixed("m", p=1, d=d, D=D)
+    df = frame(spark, table(60, {"y": y}))
+    fits = fit_arima(df, KEYS, [spec], "quarter")
+    ahead = {}
+    for name, values in (("late", late), ("early", y[:-2])):
+        past = frame(spark, table(len(values), {"y": values}))
+        out = forecast_arima(past, future_frame(past, KEYS, "quarter", 6), fits, KEYS, [spec], "quarter")
+        ahead[name] = {x.period: (x.mean, x.sigma) for x in out.collect()}
+    assert sorted(ahead["late"]) == periods(66)[60:]
+    for period in periods(64)[60:]:
+        assert ahead["late"][period][0] == pytest.approx(ahead["early"][period][0])
+    assert ahead["late"][periods(61)[60]][1] == pytest.approx(ahead["early"][periods(59)[58]][1])
+
+
+def test_gaps_equal_explicit_nulls_and_residuals_skip_them(spark):
+    r = np.random.default_rng(27)
+    data = table(80, {"y": with_holes(r.normal(size=80).cumsum(), r)})
+    spec = fixed("m", p=1, q=1, P=1)
+    fits = [fit_arima(frame(spark, t), KEYS, [spec], "quarter") for t in (data, data.dropna())]
+    a, b = (f.first() for f in fits)
+    assert a.params == pytest.approx(b.params) and a.n == b.n == data["y"].notna().sum()
+    left = arima_residuals(frame(spark, data.dropna()), fits[1], KEYS, [spec], "quarter")
+    assert left.count() == b.n and left.agg(F.sum(F.col("residual") ** 2)).first()[0] == pytest.approx(b.sse)
+
+
+def test_full_search_equals_every_fit(spark):
+    """The winner of the bounded search is the least AICc over separate joint fits of all orders."""
+    data = frame(spark, simulate({1: 0.5}, {1: 0.4, 4: 0.4}, 120, 6, 28, "f"))
+    grid = Arima("grid", "y", (0, 2), 0, (0, 1), 0, 0, (0, 1))
+    found = fit_arima(data, KEYS, [grid], "quarter", approximation=False).toPandas().set_index("key")
+    singles = [fixed(f"o{p}{q}{Q}", p=p, q=q, Q=Q) for p in range(3) for q in range(2) for Q in range(2)]
+    every = fit_arima(data, KEYS, singles, "quarter").toPandas()
+    every = every[every["converged"]]
+    best = every.sort_values("aicc").groupby("key").first()
+    for key, row in found.iterrows():
+        assert row.aicc <= best.loc[key, "aicc"] + 1e-6
+    assert (found["tried"] <= 12).all() and found["tried"].sum() < 12 * 6
+
+
+def test_search_memory_does_not_grow_with_the_orders():
+    """Per series the best order so far is kept: 139 orders take no more memory than a few."""
+    import tracemalloc
+
+    orders = Arima("a", "y").orders()
+    assert len(orders) == 139
+    r = np.random.default_rng(29)
+    y = r.normal(size=(10_000, 60))
+    seen, x, beta = np.ones(y.shape, bool), np.ones((10_000, 60, 1)), y.mean(axis=1)[:, None]
+    peak = []
+    longest = [o for o in orders if o in ((5, 1, 0, 0), (1, 5, 0, 0), (0, 0, 2, 2), (2, 2, 1, 1))]
+    for some in (longest, orders):
+        tracemalloc.start()
+        at, coef, _ = arma.search(y, x, seen, beta, np.ones(10_000), some, 4, True)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(at) == 10_000 and coef.shape[1] == max(sum(o) for o in some)
+    assert peak[1] < 1.3 * peak[0]
+
+
+def test_constant_is_left_to_the_search(spark):
+    r = np.random.default_rng(30)
+    data = pd.concat([table(120, {"y": r.normal(size=120) + (8 if i % 2 else 0)}, key=str(i)) for i in range(8)])
+    df = frame(spark, data)
+    specs = [fixed("free", p=1, intercept=None), fixed("yes", p=1), fixed("no", p=1, intercept=False)]
+    fits = fit_arima(df, KEYS, specs, "quarter").toPandas().set_index(["key", "model"])
+    for key in data["key"].unique():
+        pair = {True: fits.loc[(key, "yes")], False: fits.loc[(key, "no")]}
+        free = fits.loc[(key, "free")]
+        assert free.aicc == pytest.approx(min(p.aicc for p in pair.values()))
+        assert ("intercept" in dict(free.coef)) == free.constant == (pair[True].aicc < pair[False].aicc)
+        assert free.constant or int(key) % 2 == 0
+    ahead = forecast_arima(df, future_frame(df, KEYS, "quarter", 3), fit_arima(df, KEYS, specs[:1], "quarter"), KEYS, specs[:1], "quarter")
+    assert ahead.count() == 24 and ahead.filter("mean IS NULL").count() == 0
+
+
+def test_keys_without_complete_rows_have_no_fit(spark):
+    data = pd.concat([table(30, {"y": np.random.default_rng(31).normal(size=30)}), table(30, {"y": np.full(30, np.nan)}, key="none")])
+    df = frame(spark, data)
+    fits = fit_arima(df, KEYS, [fixed("m", p=1)], "quarter")
+    assert [r.key for r in fits.collect()] == ["a"]
+    empty = df.limit(0)
+    assert fit_arima(empty, KEYS, [fixed("m", p=1)], "quarter").count() == 0

@@ -6,7 +6,7 @@ import pytest
 from conftest import frame, periods, table
 from pyspark.sql import functions as F
 
-from tspanel.operators.algebra import student_two_sided
+from tspanel.functions.distributions import beta_cdf, t_two_sided
 from tspanel.operators.forecast import forecast_regressions
 from tspanel.operators.regression import (
     coefficient_table,
@@ -211,11 +211,27 @@ def test_boards_and_tables(df, fits):
     assert residual_acf(left, KEYS).filter("abs(acf) > 1").count() == 0
 
 
-def test_student_p_values():
+def test_student_p_values(spark):
     # two-sided tail areas of well-known quantiles
-    t = np.array([12.706204736, 2.228138852, 1.959963985, 0.0, 2.0])
-    df = np.array([1.0, 10.0, 1e7, 5.0, 60.0])
-    assert np.allclose(student_two_sided(t, df), [0.05, 0.05, 0.05, 1.0, 0.0500331], atol=1e-6)
+    t = [12.706204736, 2.228138852, 1.959963985, 0.0, 2.0, -2.0, None, 1.0]
+    df = [1.0, 10.0, 1e7, 5.0, 60.0, 60.0, 3.0, 0.0]
+    want = [0.05, 0.05, 0.05, 1.0, 0.0500331, 0.0500331, None, None]
+    rows = spark.createDataFrame(list(zip(t, df, want)), "t double, df double, want double")
+    for r in rows.withColumn("p", t_two_sided(F.col("t"), F.col("df"))).collect():
+        assert r.p == (None if r.want is None else pytest.approx(r.want, abs=1e-6))
+
+
+def test_beta_distribution_equals_binomial_sums(spark):
+    """For whole parameters the distribution is a sum of binomial probabilities."""
+    import math
+
+    cases = [(x, a, b) for x in (0.0, 0.003, 0.2, 0.5, 0.9, 1.0) for a in (1, 2, 7, 40) for b in (1, 3, 25, 90)]
+    rows = spark.createDataFrame([(x, float(a), float(b)) for x, a, b in cases], "x double, a double, b double")
+    got = rows.withColumn("p", beta_cdf(F.col("x"), F.col("a"), F.col("b"))).collect()
+    for r, (x, a, b) in zip(got, cases):
+        n = a + b - 1
+        want = sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1))
+        assert r.p == pytest.approx(want, abs=1e-12)
 
 
 def test_the_fit_needs_one_exchange_of_the_panel(spark, df):

@@ -42,32 +42,3 @@ def unpack(flat: np.ndarray, size: int) -> np.ndarray:
     out[:, i, j] = flat
     out[:, j, i] = flat
     return out
-
-
-def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided p-value of a t statistic, by the continued fraction of the beta integral."""
-    x = df / (df + t * t)
-    a, b = df / 2, np.full_like(df, 0.5)
-    # the fraction converges fast below the mean of the beta distribution
-    swap = x > (a + 1) / (a + b + 2)
-    x_, a_, b_ = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
-    tiny = 1e-300
-    c, d = np.ones_like(x_), 1 - (a_ + b_) * x_ / (a_ + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    fraction = d.copy()
-    for i in range(1, 200):
-        for step in (
-            i * (b_ - i) * x_ / ((a_ + 2 * i - 1) * (a_ + 2 * i)),
-            -(a_ + i) * (a_ + b_ + i) * x_ / ((a_ + 2 * i) * (a_ + 2 * i + 1)),
-        ):
-            d = 1 + step * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + step / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            fraction = fraction * d * c
-    lgamma = np.vectorize(__import__("math").lgamma, otypes=[float])
-    logs = lgamma(a_ + b_) - lgamma(a_) - lgamma(b_)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(logs + a_ * np.log(x_) + b_ * np.log1p(-x_)) / a_
-    p = np.where(x_ <= 0, 0.0, front * fraction)
-    return np.clip(np.where(swap, 1 - p, p), 0, 1)

@@ -1,18 +1,16 @@
 """Regressions with ARIMA errors for many keys and specifications in one job.
 
-Estimation is the regression method of Hannan and Rissanen (1982), followed by
-Gauss-Newton steps on the conditional sum of squares: not exact maximum likelihood,
-and seasonal lags add to the ordinary ones instead of multiplying.
-
-1. Regress on seasons, lagged columns and pulses (differenced if asked): residuals u.
-2. A long autoregression of u, from lagged products, gives shocks e.
-3. One set of products of lags of u and e serves every candidate order as a
-   sub-system; the best AICc per key and specification wins.
-4. The winner is estimated jointly with its regression over the whole series.
-
-All steps are clustered by key, and per-key results are joined back on the key. The
-residuals and each set of fits are stored once (``stage``), so no step recomputes the
-ones before it.
+Estimation starts from the regression method of Hannan and Rissanen (1982) and takes Gauss-Newton steps
+on the conditional sum of squares: not exact maximum likelihood.
+
+1. Gaps of the calendar become rows without values, so that every offset is a calendar offset.
+2. Regress on seasons, lagged columns and pulses (differenced if asked).
+3. Each series travels once, as one row, to a solver that works on slices of a batch. It compares the orders of
+   a specification, keeping only the best one so far, and estimates the winner jointly with its
+   regression. Unknown values are passed over by their one-step forecasts.
+
+All steps are clustered by key, and per-key results are joined back on the key. Each set of fits
+is stored once (``stage``), so no step recomputes the ones before it.
 """
 
 from __future__ import annotations
@@ -22,16 +20,15 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tspanel.functions import FREQUENCIES
+from tspanel.functions import FREQUENCIES, period_index
 from tspanel.functions.criteria import likelihood_criteria
 from tspanel.operators import arma
-from tspanel.operators.algebra import unpack
 from tspanel.operators.design import Design, check_names
 from tspanel.operators.describe import as_series, kpss, seasonal_strength, stl
 from tspanel.operators.forecast import extended, with_intervals
-from tspanel.operators.panel import by_period, melt
+from tspanel.operators.panel import fill_gaps, melt
 from tspanel.operators.regression import fit_regressions, nest_fits, predict, residuals
 from tspanel.operators.spec import Arima, Regression
 from tspanel.operators.transform import differenced
@@ -44,11 +41,12 @@ KPSS_LEVEL = 0.05
 # Column names are not case-sensitive: seasonal orders are called sp, sd, sq.
 ORDER_COLUMNS = ("p", "q", "sp", "sq")
 
+# The pairs of ordinary and seasonal differences that the tests can choose.
 AUTO_DIFFERENCES = ((0, 0), (1, 0), (2, 0), (0, 1), (1, 1))
 
 
-def _structure(spec: Arima, d: int, D: int, name: str = "") -> Regression:
-    return replace(spec.mean_model(d, D), name=name, family="")
+def _structure(spec: Arima, d: int, D: int, constant: bool | None = None) -> Regression:
+    return replace(spec.mean_model(d, D, constant), name="", family="")
 
 
 def _differences(spec: Arima) -> list[tuple[int, int]]:
@@ -68,16 +66,14 @@ class _Means:
 
     def __init__(self, specs: Sequence[Arima]):
         self.models: dict[Regression, Regression] = {}
-        self.users: dict[str, list[Arima]] = {}
-        self.names: dict[tuple[str, int, int], str] = {}
+        self.names: dict[tuple[str, int, int], list[tuple[bool, str]]] = {}
         for spec in specs:
             for d, D in _differences(spec):
-                shape = _structure(spec, d, D)
-                if shape not in self.models:
-                    self.models[shape] = replace(shape, name=f"mean{len(self.models)}")
-                name = self.models[shape].name
-                self.users.setdefault(name, []).append(spec)
-                self.names[(spec.name, d, D)] = name
+                for constant in spec.constants():
+                    shape = _structure(spec, d, D, constant)
+                    if shape not in self.models:
+                        self.models[shape] = replace(shape, name=f"mean{len(self.models)}")
+                    self.names.setdefault((spec.name, d, D), []).append((constant, self.models[shape].name))
 
 
 def choose_differences(
@@ -117,7 +113,7 @@ def choose_differences(
 def _chosen_means(
     frame: DataFrame, keys: Sequence[str], specs: Sequence[Arima], means: _Means, freq: str
 ) -> DataFrame:
-    """``(keys, spec, mean, d, sd)``: the mean structure of every specification and key."""
+    """``(keys, spec, constant, mean, d, sd)``: the mean structures of every specification and key."""
     bases = {}
     for s in specs:
         if s.d is None or s.D is None:
@@ -135,21 +131,20 @@ def _chosen_means(
             d = F.lit(s.d) if s.d is not None else F.coalesce(found, F.lit(0))
         else:
             D, d = F.lit(s.D), F.lit(s.d)
-        mean = F.lit(None).cast("string")
-        for (name, d_, D_), mean_name in means.names.items():
-            if name == s.name:
-                mean = F.when((d == d_) & (D == D_), mean_name).otherwise(mean)
-        entries.append(
-            F.struct(F.lit(s.name).alias("spec"), mean.alias("mean"), d.alias("d"), D.alias("sd"))
-        )
+        for constant in s.constants():
+            mean = F.lit(None).cast("string")
+            for (name, d_, D_), choices in means.names.items():
+                if name == s.name:
+                    mean = F.when((d == d_) & (D == D_), dict(choices)[constant]).otherwise(mean)
+            entries.append(
+                F.struct(
+                    F.lit(s.name).alias("spec"), F.lit(constant).alias("constant"), mean.alias("mean"),
+                    d.alias("d"), D.alias("sd"),
+                )
+            )
     return stage(nested.select(*keys, F.inline(F.array(*entries))).filter("mean is not null"))
 
 
-def _sums(values: list[Column]) -> Column:
-    """The upper triangle of products of the columns, summed, as one array."""
-    return F.array(*[F.sum(a * b) for i, a in enumerate(values) for b in values[i:]])
-
-
 def _grids(users: dict[str, Sequence[Arima]]) -> dict[str, list[tuple[int, int, int, int]]]:
     return {mean: sorted({o for s in specs for o in s.orders()}) for mean, specs in users.items()}
 
@@ -170,55 +165,30 @@ def candidates(
     freq: str,
     long_ar: int | None = None,
 ) -> DataFrame:
-    """Every order of every mean structure, solved from common products.
+    """Every order of every mean structure by two-step estimates, in the additive form.
 
     ``u`` is ``(keys, model, period, residual)`` with the mean structure in ``model``;
     ``users`` lists the specifications per structure. Returns one row per (key,
-    structure): ``n``, the array ``found`` of ``(p, q, sp, sq, sse, stable)`` and the
-    coefficients of all orders in one flat array ``coefs``, ``ar_size + ma_size`` values
-    each. All orders of a structure use all rows, so their criteria compare. ``seasons`` is
-    the number of periods in a year.
+    structure): ``n`` and the array ``found`` of ``(p, q, sp, sq, sse, stable)``. All orders of a
+    structure use all rows, so their criteria compare. ``seasons`` is the number of periods in a year.
     """
     m = FREQUENCIES[freq].seasons
     by = [*keys, "model"]
     grids = _grids(users)
-    every = [o for g in grids.values() for o in g]
-    ar_lags = sorted({i for p, _, P, _ in every for i in arma.lag_positions(p, P, m)})
-    ma_lags = sorted({i for _, q, _, Q in every for i in arma.lag_positions(q, Q, m)})
-    ar_size, ma_size = max(ar_lags, default=0), max(ma_lags, default=0)
-    w = by_period(by)
-    rows = u.select(*by, "period", F.col("residual").alias("u"))
-    if ma_lags:
-        # one season at least, and as far back as the longest candidate reaches
-        top = long_ar or m * max(1, *(max(o[2:]) for o in every)) + max(2, *(max(o[:2]) for o in every))
-        rows = _with_shocks(rows, keys, top, choose=long_ar is None)
-        rows = rows.withColumns({f"e{j}": _before("e", j, w) for j in ma_lags})
-    rows = rows.withColumns({f"u{i}": _before("u", i, w) for i in ar_lags})
-    names = [*(f"u{i}" for i in ar_lags), *(f"e{j}" for j in ma_lags), "u"]
-    grams = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), _sums([F.col(c) for c in names]).alias("gram")
-    )
 
-    @F.pandas_udf("struct<sse: array<double>, stable: array<boolean>, coefs: array<double>>")
+    @F.pandas_udf("struct<sse: array<double>, stable: array<boolean>>")
     def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for model, flat in batches:
-            sse, stable, coefs = ([None] * len(model) for _ in range(3))
-            for name, where in model.groupby(model).indices.items():
-                gram = unpack(np.stack(flat.iloc[where].to_numpy()), len(names))
-                sums, oks, values = [], [], []
-                for total, ar, ma in arma.solve_orders(
-                    gram, grids[name], ar_lags, ma_lags, m, ar_size, ma_size
-                ):
-                    sums.append(total)
-                    oks.append(arma.is_stable(ar) & arma.is_stable(-ma))
-                    values += [ar, ma]
-                for out, table in zip(
-                    (sse, stable, coefs),
-                    (np.stack(sums, 1), np.stack(oks, 1), np.concatenate(values, 1)),
-                ):
-                    for row, w in enumerate(where):
-                        out[w] = table[row]
-            yield pd.DataFrame({"sse": sse, "stable": stable, "coefs": coefs})
+        for model, series in batches:
+            sse, stable = ([None] * len(model) for _ in range(2))
+            for name, members in model.groupby(model).indices.items():
+                for where in _slices(members, series.str.len().to_numpy(), 16):
+                    values, live = _padded(series.iloc[where].to_numpy())
+                    found = list(arma.two_step(values, live, grids[name], m, long_ar))
+                    sums = np.stack([f[0] for f in found], 1)
+                    oks = np.stack([arma.is_stable(ar) & arma.is_stable(-ma) for _, ar, ma in found], 1)
+                    for i, w in enumerate(where):
+                        sse[w], stable[w] = sums[i], oks[i]
+            yield pd.DataFrame({"sse": sse, "stable": stable})
 
     orders = _listed(next(iter(grids.values())))
     for name, grid in list(grids.items())[1:]:
@@ -232,9 +202,9 @@ def candidates(
             x["ok"].alias("stable"),
         ),
     )
-    return grams.withColumn("s", solve("model", "gram")).select(
-        *by, "n", found.alias("found"), F.col("s.coefs").alias("coefs"),
-        F.lit(ar_size).alias("ar_size"), F.lit(ma_size).alias("ma_size"), F.lit(m).alias("seasons"),
+    series = as_series(u.select(*by, "period", "residual"), by, ["residual"])
+    return series.withColumn("s", solve("model", "residual")).select(
+        *by, F.size("residual").cast("long").alias("n"), found.alias("found"), F.lit(m).alias("seasons")
     )
 
 
@@ -259,72 +229,19 @@ def candidate_table(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("k", k).withColumn("aicc", aicc).drop("mean_rank", "seasons")
 
 
-def _best(spec: Arima, x: str = "found") -> Column:
-    """The candidate with the least AICc among the orders of one specification.
-
-    A struct whose leading fields are the ranking; unstable candidates come last.
-    """
-
-    def ranked(c: Column, i: Column) -> Column:
-        k = _n_lags(lambda o: c[o], F.col("seasons")) + F.col("mean_rank") + 1
-        aicc = likelihood_criteria(F.col("n"), k, c["sse"])["aicc"]
-        return F.struct(
-            (~c["stable"]).alias("unstable"),
-            aicc.isNull().alias("unknown"),
-            aicc.alias("score"),
-            k.alias("k"),
-            *[c[o].alias(o) for o in ORDER_COLUMNS],
-            i.alias("at"),
-        )
-
-    allowed = F.filter(F.transform(x, ranked), lambda c: _order_choice(spec, lambda o: c[o]))
-    return F.array_min(allowed)
-
-
-def _before(column: str, k: int, w) -> Column:
-    """The value ``k`` rows earlier; before the first row it is the mean, 0.
-
-    The final fit starts from zeros in the same way, so short series keep all rows.
-    """
-    return F.coalesce(F.lag(column, k).over(w), F.lit(0.0))
-
+FIT = (
+    "struct<n: bigint, sse: double, p: int, q: int, sp: int, sq: int, beta: array<double>, params: array<double>,"
+    " ar: array<double>, ma: array<double>, inverse: array<double>, stable: boolean, converged: boolean, tried: int>"
+)
+# Doubles that the derivatives of one slice of a batch may take, about 64 MB, twice.
+SLICE_VALUES = 8_000_000
 
-def _with_shocks(rows: DataFrame, keys: Sequence[str], top: int, choose: bool) -> DataFrame:
-    """Add ``e``: one-step errors of a long autoregression."""
-    by = [*keys, "model"]
-    w = by_period(by)
-    lagged = rows.withColumns({f"u{i}": _before("u", i, w) for i in range(1, top + 1)})
-    products = F.array(
-        F.sum(F.col("u") * F.col("u")), *[F.sum(F.col("u") * F.col(f"u{i}")) for i in range(1, top + 1)]
-    )
-    sums = lagged.groupBy(*by).agg(F.count("u").alias("n"), products.alias("cov"))
 
-    @F.pandas_udf("array<double>")
-    def autoregression(n: pd.Series, cov: pd.Series) -> pd.Series:
-        table = np.nan_to_num(np.stack(cov.to_numpy()).astype(float))
-        return pd.Series(list(arma.levinson(table, top, choose, n.to_numpy(float))))
-
-    long = nest_fits(sums.withColumn("pi", autoregression("n", "cov")), keys, ["pi"])
-    pi = F.col("_fits")[F.col("model")]["pi"]
-    joined = lagged.join(long, list(keys)).withColumn("pi", pi)
-    e = F.col("u")
-    for i in range(1, top + 1):
-        e = e - F.col("pi")[i - 1] * F.col(f"u{i}")
-    return joined.select(*by, "period", "u", e.alias("e"))
-
-
-def _order_choice(spec: Arima, column) -> Column:
-    """Does a candidate row belong to the ranges of the specification?"""
-    orders = spec.orders()
-    inside = F.lit(True)
-    for i, name in enumerate(ORDER_COLUMNS):
-        values = [o[i] for o in orders]
-        inside = inside & column(name).between(min(values), max(values))
-    if any(getattr(spec, o) is None for o in "pqPQ"):
-        inside = inside & (
-            sum(column(c) for c in ORDER_COLUMNS) <= max(map(sum, orders))
-        )
-    return inside
+def _slices(members: np.ndarray, lengths: np.ndarray, columns: int) -> Iterator[np.ndarray]:
+    """Parts of a batch whose tables stay within ``SLICE_VALUES``."""
+    step = max(1, SLICE_VALUES // (columns * max(1, int(lengths[members].max(initial=0)))))
+    for i in range(0, len(members), step):
+        yield members[i : i + step]
 
 
 def fit_arima(
@@ -335,31 +252,40 @@ def fit_arima(
     long_ar: int | None = None,
     refine: int = 50,
     only: DataFrame | None = None,
+    approximation: bool = True,
 ) -> DataFrame:
     """Fit every specification for every key; one row per (key, model).
 
-    Columns: ``family, mean, d, sd, p, q, sp, sq, orders, stable, converged, n, rank, sse, sigma2,
-    loglik, aic, aicc, bic, terms, beta, ar, ma``, and the coefficients with their normal
-    matrix in ``coef_terms, coef_values, inverse, coef``. Orders given as ranges are
-    searched exhaustively by AICc on a common sample. The winner is estimated by joint
-    Gauss-Newton steps until they gain nothing, ``refine`` at most; ``converged`` says whether
-    that was reached. With 0 the two-step estimates stay. ``only`` holds ``(keys, models)``:
-    per key, the specifications to fit.
+    Columns: ``family, mean, constant, d, sd, p, q, sp, sq, orders, stable, converged, tried, n, rank, sse, sigma2,
+    loglik, aic, aicc, bic, terms, beta, params, ar, ma``, and the coefficients with their normal
+    matrix in ``coef_terms, coef_values, inverse, coef``; ``ar`` and ``ma`` are whole polynomials by
+    lag, ``params`` the coefficients of their factors.
+
+    Orders given as ranges are compared by AICc on a common sample: by two-step estimates, or, with
+    ``approximation`` False, by joint estimates of all orders that could still win (``tried`` of them). The
+    winner is estimated by joint Gauss-Newton steps until they gain nothing, ``refine`` at most;
+    ``converged`` says whether that was reached. With 0 the two-step estimates stay.
+
+    Periods without a row, and rows with a missing value, are passed over: ``n`` counts the others. A
+    key without a complete row has no fit. ``only`` holds ``(keys, models)``: per key, the
+    specifications to fit.
     """
     check_names(specs)
     if any("|" in s.name for s in specs):
         raise ValueError("names of ARIMA models may not contain |")
     m = FREQUENCIES[freq].seasons
+    train = fill_gaps(train, keys, freq)
     means = _Means(specs)
     shapes = list(means.models.values())
     static = all(s.d is not None and s.D is not None for s in specs)
     if static:
         entries = [
             F.struct(
-                F.lit(s.name).alias("spec"), F.lit(means.names[(s.name, s.d, s.D)]).alias("mean"),
+                F.lit(s.name).alias("spec"), F.lit(constant).alias("constant"), F.lit(mean).alias("mean"),
                 F.lit(s.d).alias("d"), F.lit(s.D).alias("sd"),
             )
             for s in specs
+            for constant, mean in means.names[(s.name, s.d, s.D)]
         ]
         chosen = train.select(*keys).distinct() if only is None else only.select(*keys)
         chosen = chosen.select(*keys, F.inline(F.array(*entries)))
@@ -374,70 +300,34 @@ def fit_arima(
     needed = None
     if only is not None or not static:
         needed = chosen.groupBy(*keys).agg(F.collect_set("mean").alias("models"))
-    mean_fits = stage(fit_regressions(train, keys, shapes, freq, needed))
-    u = stage(
-        residuals(train, mean_fits, keys, shapes, freq).select(
-            *keys, "model", "period", "residual"
-        )
-    )
-    found = candidates(u, keys, means.users, freq, long_ar)
-    picks = nest_fits(
-        chosen.withColumnRenamed("spec", "model"), keys, ["mean", "d", "sd"], "_picks"
-    )
+    mean_fits = fit_regressions(train, keys, shapes, freq, needed)
     nested = nest_fits(mean_fits, keys, ["terms", "beta", "rank"], "_means")
-    found = found.join(picks, list(keys)).join(nested, list(keys))
-    found = found.withColumn("mean_rank", F.col("_means")[F.col("model")]["rank"])
-    families = F.create_map(*[F.lit(v) for s in specs for v in (s.name, s.family)])
-    wins = [
-        F.when(
-            F.col("_picks")[s.name]["mean"] == F.col("model"),
-            F.struct(F.lit(s.name).alias("spec"), _best(s).alias("best")),
-        )
-        for s in specs
-    ]
-    size = F.col("ar_size") + F.col("ma_size")
-    start = F.col("best.at") * size + 1
-    best = (
-        found.withColumn("win", F.explode(F.filter(F.array(*wins), lambda x: x.isNotNull())))
-        .select("*", "win.spec", "win.best")
-        .select(
-            *keys,
-            F.col("spec").alias("model"),
-            F.col("model").alias("mean"),
-            F.col("_picks")[F.col("spec")]["d"].alias("d"),
-            F.col("_picks")[F.col("spec")]["sd"].alias("sd"),
-            *[F.col("best")[c].alias(c) for c in ORDER_COLUMNS],
-            (~F.col("best.unstable")).alias("stable"),
-            "mean_rank",
-            F.col("_means")[F.col("model")]["terms"].alias("terms"),
-            F.col("_means")[F.col("model")]["beta"].alias("beta0"),
-            F.slice("coefs", start, F.col("ar_size")).alias("ar0"),
-            F.slice("coefs", start + F.col("ar_size"), F.col("ma_size")).alias("ma0"),
-        )
-    )
+    pick = F.struct("spec", "constant", "mean", "d", "sd")
+    picks = chosen.groupBy(*keys).agg(F.collect_list(pick).alias("_picks"))  # one per specification and constant
     design = Design(shapes, freq)
     dense = [f"v{i}" for i in range(design.width)]
-    series = as_series(
-        design.rows(train, keys, needed).filter(design.complete()), [*keys, "model"], ["cell", *dense]
-    ).withColumn("dense", F.flatten(F.array(*dense)))
+    known = design.rows(train, keys, needed).withColumns({v: F.coalesce(v, F.lit(float("nan"))) for v in dense})
+    series = as_series(known, [*keys, "model"], ["cell", *dense]).withColumn("dense", F.flatten(F.array(*dense)))
     series = nest_fits(series, keys, ["cell", "dense"], "_series")
-    final = best.join(series, list(keys)).withColumn("_s", F.col("_series")[F.col("mean")])
-    fitted = final.withColumn(
-        "s",
-        _final_fit(design, m, refine)(
-            "mean", "_s.cell", "_s.dense", "beta0", "ar0", "ma0", *ORDER_COLUMNS
-        ),
+    rows = series.join(nested, list(keys)).join(picks, list(keys))
+    rows = rows.withColumn("_p", F.explode("_picks")).withColumns(
+        {"_m": F.col("_means")[F.col("_p.mean")], "_s": F.col("_series")[F.col("_p.mean")]}
     )
-    k = _n_lags(F.col, F.lit(m)) + F.col("mean_rank") + 1
-    known = F.zip_with("beta0", "s.beta", lambda old, new: F.when(old.isNotNull(), new))
+    solver = _solver(design, specs, m, long_ar, refine, not approximation)
+    solved = rows.filter("_m is not null AND _s is not null").withColumn(
+        "s", solver("_p.spec", "_p.mean", "_m.rank", "_s.cell", "_s.dense", "_m.beta")
+    )
+    known_beta = F.zip_with("_m.beta", "s.beta", lambda old, new: F.when(old.isNotNull(), new))
     # ``rank`` counts the free parameters with the variance, as the criteria do
-    out = fitted.select(
-        *keys, "model", families[F.col("model")].alias("family"), "mean", "d", "sd",
-        *ORDER_COLUMNS, "stable", "s.converged", "s.n", k.cast("int").alias("rank"), "s.sse", "terms",
-        known.alias("beta"), "s.ar", "s.ma", F.col("s.inverse").alias("inverse"),
+    families = F.create_map(*[F.lit(v) for s in specs for v in (s.name, s.family)])
+    out = solved.select(
+        *keys, F.col("_p.spec").alias("model"), families[F.col("_p.spec")].alias("family"), "_p.mean", "_p.constant",
+        "_p.d", "_p.sd", *[f"s.{c}" for c in ORDER_COLUMNS], "s.stable", "s.converged", "s.tried", "s.n",
+        (F.size("s.params") + F.col("_m.rank") + 1).cast("int").alias("rank"), "s.sse", "_m.terms",
+        known_beta.alias("beta"), "s.params", "s.ar", "s.ma", "s.inverse",
     )
-    names = F.concat("terms", _lag_names("ar", "p", "sp", m), _lag_names("ma", "q", "sq", m))
-    values = F.concat("beta", _lag_values("ar", "p", "sp", m), _lag_values("ma", "q", "sq", m))
+    names = F.concat("terms", _coefficient_names(specs, m))
+    values = F.concat("beta", "params")
     criteria = likelihood_criteria(F.col("n"), F.col("rank"), F.col("sse"))
     out = out.withColumns(
         {
@@ -451,6 +341,10 @@ def fit_arima(
             **criteria,
         }
     )
+    if any(len(s.constants()) > 1 for s in specs):
+        out = stage(out)
+        first = Window.partitionBy(*keys, "model").orderBy(F.col("aicc").asc_nulls_last(), "rank", "constant")
+        out = out.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
     return stage(out)
 
 
@@ -469,8 +363,17 @@ def _lag_names(part: str, order: str, seasonal: str, m: int) -> Column:
     )
 
 
-def _lag_values(part: str, order: str, seasonal: str, m: int) -> Column:
-    return F.transform(_lags(order, seasonal, m), lambda i: F.element_at(F.col(part), i))
+def _coefficient_names(specs: Sequence[Arima], m: int) -> Column:
+    """ar1, sar1, ma1, sma1 and so on for products; names by lag where the lags add up."""
+
+    def numbered(name: str, order: str) -> Column:
+        counts = F.filter(F.sequence(F.lit(0), F.col(order)), lambda i: i > 0)
+        return F.transform(counts, lambda i: F.concat(F.lit(name), i.cast("string")))
+
+    factors = F.concat(numbered("ar", "p"), numbered("sar", "sp"), numbered("ma", "q"), numbered("sma", "sq"))
+    by_lag = F.concat(_lag_names("ar", "p", "sp", m), _lag_names("ma", "q", "sq", m))
+    added = [s.name for s in specs if not s.multiplicative]
+    return F.when(F.col("model").isin(added), by_lag).otherwise(factors) if added else factors
 
 
 def order_label(m: int) -> Column:
@@ -488,67 +391,69 @@ def _padded(arrays: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, live
 
 
-# Doubles a final fit may hold for one slice of a batch, about 64 MB.
-SLICE_VALUES = 8_000_000
-
-
-def _final_fit(design: Design, m: int, steps: int):
+def _solver(design: Design, specs: Sequence[Arima], m: int, long_ar: int | None, steps: int, full: bool):
+    """The order and the coefficients of one specification on one series, for batches of them."""
     terms, width = design.terms, design.width
-
-    @F.pandas_udf(
-        "struct<n: bigint, sse: double, beta: array<double>, ar: array<double>,"
-        " ma: array<double>, inverse: array<double>, converged: boolean>"
-    )
-    def final(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for mean, cell, dense, beta, ar, ma, p, q, P, Q in batches:
-            size = len(mean)
-            n = cell.str.len().to_numpy("int64")
-            sse, converged = np.zeros(size), np.zeros(size, dtype=bool)
-            parts = {c: [None] * size for c in ("beta", "ar", "ma", "inverse")}
-            shape = pd.Series(list(zip(mean, p, q, P, Q)))
-            for (name, p_, q_, P_, Q_), members in shape.groupby(shape).indices.items():
-                t = terms[name]
-                a, b = arma.lag_positions(p_, P_, m), arma.lag_positions(q_, Q_, m)
-                columns = len(t.all) + len(a) + len(b) + 1
-                step = max(1, SLICE_VALUES // (columns * int(n[members].max())))
-                for i in range(0, len(members), step):
-                    where = members[i : i + step]
-                    live = np.arange(n[where].max()) < n[where][:, None]
+    by_name = {s.name: s for s in specs}
+
+    @F.pandas_udf(FIT)
+    def solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for spec, mean, rank, cell, dense, beta in batches:
+            size = len(spec)
+            lengths = cell.str.len().to_numpy("int64")
+            out = {c.split(":")[0].strip(): [None] * size for c in FIT[7:-1].split(",")}
+            groups = pd.Series(list(zip(spec, mean)))
+            for (name, mean_), members in groups.groupby(groups).indices.items():
+                s, t = by_name[name], terms[mean_]
+                orders = s.orders()
+                shapes = [arma.Shape(o, m, s.multiplicative) for o in orders]
+                for where in _slices(members, lengths, len(t.all) + max(x.size for x in shapes) + 1):
+                    live = np.arange(lengths[where].max()) < lengths[where][:, None]
                     cells = np.zeros(live.shape, dtype=int)
                     cells[live] = np.concatenate(cell.iloc[where].to_numpy())
-                    table = [v.reshape(width, -1) for v in dense.iloc[where]]
-                    values = np.zeros((*live.shape, width))
-                    values[live] = np.concatenate([v.T for v in table])
-                    start = np.stack(beta.iloc[where].to_numpy()).astype(float)
-                    start = start.reshape(len(where), len(t.all))
-                    x = np.concatenate([t.matrix[cells], values[:, :, 1 : len(t.lags) + 1]], axis=2)
+                    values = np.full((*live.shape, width), np.nan)
+                    values[live] = np.concatenate([np.reshape(v, (width, -1)).T for v in dense.iloc[where]])
+                    used = values[:, :, : len(t.lags) + 1]
+                    seen = ~np.isnan(used).any(axis=2)
+                    start = np.stack(beta.iloc[where].to_numpy()).astype(float).reshape(len(where), len(t.all))
+                    x = np.concatenate([t.matrix[cells], used[:, :, 1:]], axis=2)
                     # aliased regressors stay out
-                    x = np.where(np.isnan(start)[:, None, :], 0.0, x * live[:, :, None])
-                    first = [np.stack(c.iloc[where].to_numpy()) for c in (ar, ma)]
-                    *coefs, total, inverse, done = arma.estimate(
-                        values[:, :, 0] * live, x, live, np.nan_to_num(start), *first, a, b, steps
+                    x = np.where(np.isnan(start)[:, None, :] | ~seen[:, :, None], 0.0, x)
+                    y, start = np.where(seen, used[:, :, 0], 0.0), np.nan_to_num(start)
+                    at, coef, tried = arma.search(
+                        y, x, seen, start, rank.iloc[where].to_numpy(float), orders, m, s.multiplicative, long_ar, full and steps > 0, steps
                     )
-                    sse[where], converged[where] = total, done
-                    flat = inverse.reshape(len(where), -1)
-                    for c, rows in zip(("beta", "ar", "ma", "inverse"), (*coefs, flat)):
-                        for row, w in zip(rows, where):
-                            parts[c][w] = row
-            yield pd.DataFrame({"n": n, "sse": sse, **parts, "converged": converged})
-
-    return final
+                    for k in np.unique(at):
+                        g, shape = np.flatnonzero(at == k), shapes[k]
+                        b, c, sse, inverse, done = arma.estimate(
+                            y[g], x[g], seen[g], start[g], coef[g, : shape.size], shape, steps
+                        )
+                        ar, ma = shape.polynomials(c)
+                        found = {
+                            "n": seen[g].sum(axis=1), "sse": sse, "beta": b, "params": c, "ar": ar, "ma": ma,
+                            "inverse": inverse.reshape(len(g), -1), "stable": shape.stable(c), "converged": done, "tried": tried[g],
+                            **{o: np.full(len(g), v) for o, v in zip(("p", "q", "sp", "sq"), orders[k])},
+                        }
+                        for column, rows in found.items():
+                            for row, w in zip(rows, where[g]):
+                                out[column][w] = row
+            yield pd.DataFrame(out)
+
+    return solve
 
 
 def _variants(specs: Sequence[Arima]) -> list[Regression]:
-    """One regression per specification and possible differences, ``<name>|<d>,<D>``."""
+    """One regression per specification, possible differences and constant, ``<name>|<d>,<D>,<constant>``."""
     return [
-        replace(s.mean_model(d, D), name=f"{s.name}|{d},{D}")
+        replace(s.mean_model(d, D, constant), name=f"{s.name}|{d},{D},{str(constant).lower()}")
         for s in specs
         for d, D in _differences(s)
+        for constant in s.constants()
     ]
 
 
 def _variant_fits(fits: DataFrame) -> DataFrame:
-    label = F.concat_ws("|", F.col("model"), F.concat_ws(",", "d", "sd"))
+    label = F.concat_ws("|", F.col("model"), F.concat_ws(",", "d", "sd", F.col("constant").cast("string")))
     return fits.withColumn("model", label)
 
 
@@ -563,29 +468,29 @@ def forecast_arima(
     """Forecast the rows of ``future``; same columns as ``forecast_regressions``.
 
     ``future`` carries the predictors of the regression part, or only (key, period)
-    where there are none. The error part starts from the history passed in.
+    where there are none. The error part starts from the history passed in: its last row is the
+    origin, also where values are missing, and steps are counted on the calendar.
     """
     m = FREQUENCIES[freq].seasons
     by = [*keys, "model"]
     models = _variants(specs)
     renamed = _variant_fits(fits)
-    frame = extended(history, future, keys)
+    # rows of missing periods have no h
+    frame = fill_gaps(extended(history, future, keys), keys, freq)
     level = predict(
         frame, renamed.withColumn("inverse", F.array().cast("array<double>")), keys, models, freq,
         level=True, carry=["h"],
     )
+    left = F.coalesce(F.col("actual") - F.col("mean"), F.lit(float("nan")))
     past = F.array_sort(
-        F.collect_list(
-            F.when(
-                (F.col("h") == 0) & F.col("actual").isNotNull() & F.col("mean").isNotNull(),
-                F.struct("period", (F.col("actual") - F.col("mean")).alias("v")),
-            )
-        )
+        F.collect_list(F.when(F.coalesce(F.col("h") == 0, F.lit(True)), F.struct("period", left.alias("v"))))
     )
+    end = F.max(F.when(F.col("h") == 0, F.col("period")))
     coming = F.array_sort(
         F.collect_list(F.when(F.col("h") > 0, F.struct("h", "period", "actual", "mean")))
     )
-    series = level.groupBy(*by).agg(past.alias("past"), coming.alias("coming"))
+    series = level.groupBy(*by).agg(past.alias("past"), coming.alias("coming"), end.alias("end"))
+    series = series.withColumn("past", F.filter("past", lambda x: x["period"] <= F.col("end")))
     nested = nest_fits(renamed, keys, ["d", "sd", "ar", "ma", "sigma2"])
     series = series.join(nested, list(keys)).withColumn("_fit", F.col("_fits")[F.col("model")])
 
@@ -593,22 +498,23 @@ def forecast_arima(
     def project(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for past, steps, d, D, ar, ma in batches:
             mean, weight = [None] * len(past), [None] * len(past)
-            groups = pd.Series(list(zip(d, D, past.str.len(), steps)))
-            for (d_, D_, size, h), where in groups.groupby(groups).indices.items():
+            last = steps.map(max)
+            groups = pd.Series(list(zip(d, D, past.str.len(), last, ar.str.len(), ma.str.len())))
+            for (d_, D_, size, h, _, _), where in groups.groupby(groups).indices.items():
                 level = np.stack(past.iloc[where].to_numpy()).reshape(len(where), size)
                 a, b = (np.stack(c.iloc[where].to_numpy()).reshape(len(where), -1) for c in (ar, ma))
-                w = level
-                for step in [1] * d_ + [m] * D_:
-                    w = w[:, step:] - w[:, :-step] if w.shape[1] > step else w[:, :0]
-                path, psi = arma.ahead(level, arma.shocks(w, a, b), a, b, d_, D_, m, h)
+                level, e = arma.filled(level, ~np.isnan(level), a, b, d_, D_, m)
+                path, psi = arma.ahead(level, e, a, b, d_, D_, m, h)
+                spread = np.sqrt(np.cumsum(psi**2, axis=1))
                 for i, row in enumerate(where):
-                    mean[row] = path[i]
-                    weight[row] = np.sqrt(np.cumsum(psi[i] ** 2))
+                    at = np.asarray(steps.iloc[row]) - 1
+                    mean[row], weight[row] = path[i][at], spread[i][at]
             yield pd.DataFrame({"mean": mean, "weight": weight})
 
-    projected = series.filter(F.size("coming") > 0).withColumn(
+    steps = F.transform("coming", lambda c: (period_index(c["period"], freq) - F.col("_origin")).cast("int"))
+    projected = series.filter("size(coming) > 0 AND size(past) > 0").withColumn("_origin", period_index(F.col("end"), freq)).withColumn(
         "ahead",
-        project("past.v", F.size("coming"), "_fit.d", "_fit.sd", "_fit.ar", "_fit.ma"),
+        project("past.v", steps, "_fit.d", "_fit.sd", "_fit.ar", "_fit.ma"),
     )
     rows = projected.select(
         *keys,
@@ -629,20 +535,28 @@ def forecast_arima(
 def arima_residuals(
     frame: DataFrame, fits: DataFrame, keys: Sequence[str], specs: Sequence[Arima], freq: str
 ) -> DataFrame:
-    """``(keys, model, period, actual, fitted, residual)`` of one-step errors."""
+    """``(keys, model, period, actual, fitted, residual)`` of one-step errors, where they are known."""
     by = [*keys, "model"]
     models = _variants(specs)
     renamed = _variant_fits(fits)
-    u = residuals(frame, renamed, keys, models, freq)
+    u = predict(fill_gaps(frame, keys, freq), renamed, keys, models, freq)
+    u = u.withColumn("residual", F.coalesce(F.col("actual") - F.col("mean"), F.lit(float("nan"))))
     series = as_series(u, by, ["actual", "residual"])
     nested = nest_fits(renamed, keys, ["d", "sd", "ar", "ma"])
     series = series.join(nested, list(keys)).withColumn("_fit", F.col("_fits")[F.col("model")])
 
     @F.pandas_udf("array<double>")
     def errors(u: pd.Series, ar: pd.Series, ma: pd.Series) -> pd.Series:
-        values, live = _padded(u.to_numpy())
-        e = arma.shocks(values, np.stack(ar.to_numpy()), np.stack(ma.to_numpy()))
-        return pd.Series([row[keep] for row, keep in zip(e, live)])
+        out = [None] * len(u)
+        sizes = pd.Series(list(zip(ar.str.len(), ma.str.len())))
+        for _, where in sizes.groupby(sizes).indices.items():
+            values, live = _padded(u.iloc[where].to_numpy())
+            a, b = (np.stack(c.iloc[where].to_numpy()).reshape(len(where), -1) for c in (ar, ma))
+            seen = live & ~np.isnan(values)
+            e = arma.recursion(np.where(seen, values, 0.0), seen, a, b)[1]
+            for w, row, keep, known in zip(where, e, live, seen):
+                out[w] = np.where(known, row, np.nan)[keep]
+        return pd.Series(out)
 
     return (
         series.withColumn("e", errors("residual", "_fit.ar", "_fit.ma"))
@@ -651,6 +565,7 @@ def arima_residuals(
             F.substring_index("model", "|", 1).alias("model"),
             F.inline(F.arrays_zip("period", "actual", F.col("e").alias("e"))),
         )
+        .filter("e IS NOT NULL AND NOT isnan(e)")
         .select(
             *by, "period", "actual", (F.col("actual") - F.col("e")).alias("fitted"),
             F.col("e").alias("residual"),

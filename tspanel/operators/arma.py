@@ -13,6 +13,8 @@ from tspanel.operators.algebra import sweep
 # Shares of the error sum that a further step promises to take off.
 TOLERANCE = 1e-12
 CONVERGED = 1e-8
+# Fixed value: a fully estimated candidate with a root within this radius is no candidate.
+ROOT_LIMIT = 1.01
 
 
 def levinson(cov: np.ndarray, top: int, choose: bool, n: np.ndarray) -> np.ndarray:
@@ -80,89 +82,300 @@ def solve_orders(gram, grid, ar_lags, ma_lags, m, ar_size, ma_size):
         ), spread(coef[:, len(a) :], b, ma_size)
 
 
-def shifted(x: np.ndarray, k: int) -> np.ndarray:
-    """Columns moved ``k`` steps later, zeros in front."""
-    out = np.zeros_like(x)
-    out[:, k:] = x[:, : x.shape[1] - k]
-    return out
-
+def factors(order: int, seasonal: int, m: int, multiplicative: bool) -> list[list[int]]:
+    """The lags of the polynomials whose product is one side of the model.
 
-def recurse(x: np.ndarray, ma: np.ndarray, lags: list[int]) -> np.ndarray:
-    """``y_t = x_t - sum theta_j y_{t-j}``, starting from zeros."""
-    if not lags:
-        return x
-    y = x.copy()
-    for t in range(x.shape[1]):
-        for j in lags:
-            if j <= t:
-                y[:, t] -= ma[:, j - 1] * y[:, t - j]
-    return y
-
-
-def shocks(u: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors of an ARMA process with mean 0 before the first value."""
-    v = u.copy()
-    for i in np.flatnonzero(ar.any(axis=0)) + 1:
-        v -= ar[:, i - 1 : i] * shifted(u, i)
-    return recurse(v, ma, list(np.flatnonzero(ma.any(axis=0)) + 1))
-
-
-def estimate(y, x, live, beta, ar, ma, ar_lags, ma_lags, steps):
-    """Gauss-Newton steps on the sum of squared one-step errors of a regression with
-    ARMA errors, jointly in all coefficients.
-
-    The derivatives are the regressors filtered like the series, and the series and
-    shocks filtered by the moving average, so each step is one regression of the
-    shocks. A step is kept where it lowers the error and the process stays stable.
-    A series is done when the next step promises less than ``TOLERANCE`` of its error, or when
-    no part of it is kept; ``steps`` bounds the steps of the others.
-    ``live`` masks the padding. Returns coefficients, error sum, the inverse
-    normal matrix in the order regressors, AR lags, MA lags, and whether the promise of a
-    further step is below ``CONVERGED``.
+    Seasonal lags multiply with the ordinary ones, or all are one polynomial, repeats counted once.
+    """
+    if multiplicative:
+        return [list(range(1, order + 1)), [m * i for i in range(1, seasonal + 1)]]
+    return [lag_positions(order, seasonal, m), []]
+
+
+class Shape:
+    """Where the coefficients of one order stand: AR lags, seasonal AR lags, MA lags, seasonal MA lags."""
+
+    def __init__(self, order: tuple[int, int, int, int], m: int, multiplicative: bool):
+        p, q, P, Q = order
+        self.ar, self.ma = factors(p, P, m, multiplicative), factors(q, Q, m, multiplicative)
+        self.parts = [*self.ar, *self.ma]
+        self.ends = np.cumsum([len(x) for x in self.parts])
+        self.size = int(self.ends[-1])
+
+    def split(self, coef: np.ndarray) -> list[np.ndarray]:
+        return np.split(coef, self.ends[:-1], axis=1)
+
+    def polynomials(self, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Dense coefficients of both sides: products of the factors, cross lags included."""
+        return self._product(coef, 0, -1.0), self._product(coef, 2, 1.0)
+
+    def _product(self, coef: np.ndarray, at: int, sign: float) -> np.ndarray:
+        """Of (1 + sign sum c_i z^i)(1 + sign sum d_j z^j), divided by the sign."""
+        one, two = self.parts[at : at + 2]
+        c, d = self.split(coef)[at : at + 2]
+        out = np.zeros((len(coef), max([0, *one]) + max([0, *two])))
+        for i, lag in enumerate(one):
+            out[:, lag - 1] += c[:, i]
+        for j, other in enumerate(two):
+            out[:, other - 1] += d[:, j]
+            for i, lag in enumerate(one):
+                out[:, lag + other - 1] += sign * c[:, i] * d[:, j]
+        return out
+
+    def stable(self, coef: np.ndarray, radius: float = 1.0) -> np.ndarray:
+        """Do all factors have their roots outside the circle of this radius?"""
+        ok = np.ones(len(coef), dtype=bool)
+        coef = coef * radius ** np.concatenate([np.asarray(x, float) for x in self.parts])
+        for i, (lags, c) in enumerate(zip(self.parts, self.split(coef))):
+            if lags:
+                # a seasonal factor is a polynomial in the power of its first lag
+                step = lags[0] if all(lag == lags[0] * (k + 1) for k, lag in enumerate(lags)) else 1
+                ok &= is_stable((1 if i < 2 else -1) * spread(c, [lag // step for lag in lags], lags[-1] // step))
+        return ok
+
+    def start(self, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
+        """Coefficients from dense ones of the additive form; a lag counts for the first factor that has it."""
+        out, taken = [], set()
+        for i, lags in enumerate(self.parts):
+            taken = set() if i in (0, 2) else taken
+            dense = ar if i < 2 else ma
+            out += [dense[:, lag - 1] if lag not in taken and lag <= dense.shape[1] else np.zeros(len(dense)) for lag in lags]
+            taken |= set(lags)
+        return np.stack(out, 1) if out else np.zeros((len(ar), 0))
+
+
+def recursion(v, seen, ar, ma, dv=None, shape: Shape | None = None, coef=None):
+    """One-step errors of an ARMA process with mean 0 before the first value.
+
+    ``v`` is (series, steps), ``seen`` tells known values. An unknown value is passed over: its error is
+    0 and its one-step forecast stands in for it. With ``dv``, the derivatives of v by the regression
+    coefficients, also the derivatives of the errors by all coefficients. Returns the values with
+    stand-ins, the errors and the derivatives (series, steps, coefficients) or None.
+    """
+    n, steps = v.shape
+    ar_lags, ma_lags = (np.flatnonzero(c.any(axis=0)) + 1 for c in (ar, ma))
+    a, b = ar[:, ar_lags - 1].T, ma[:, ma_lags - 1].T
+    back = max(ar.shape[1], ma.shape[1], 1)
+    u, e = np.zeros((back + steps, n)), np.zeros((back + steps, n))
+    v, seen = v.T, seen.T
+    if dv is not None:
+        k = dv.shape[2]
+        du, de = (np.zeros((back + steps, n, k + shape.size)) for _ in range(2))
+        dv = dv.transpose(1, 0, 2)
+        split = shape.split(coef)
+        # derivatives of the polynomials: a lag, and its products with the lags of the other factor
+        own, column = [], k
+        for i, lags in enumerate(shape.parts):
+            other, sign = (i ^ 1), (-1.0 if i < 2 else 1.0)
+            for lag in lags:
+                crossed = [(lag + o, sign * split[other][:, j]) for j, o in enumerate(shape.parts[other])]
+                own.append((column, u if i < 2 else e, lag, crossed))
+                column += 1
+    for t in range(steps):
+        s = t + back
+        ahead_ = (a * u[s - ar_lags]).sum(axis=0) + (b * e[s - ma_lags]).sum(axis=0)
+        known = seen[t]
+        u[s] = np.where(known, v[t], ahead_)
+        e[s] = np.where(known, v[t] - ahead_, 0.0)
+        if dv is None:
+            continue
+        slope = np.einsum("lb,lbk->bk", a, du[s - ar_lags]) + np.einsum("lb,lbk->bk", b, de[s - ma_lags])
+        for column, source, lag, crossed in own:
+            slope[:, column] += source[s - lag]
+            for far, weight in crossed:
+                slope[:, column] += weight * source[s - far]
+        du[s] = np.where(known[:, None], 0.0, slope)
+        du[s, :, :k] = np.where(known[:, None], dv[t], slope[:, :k])
+        de[s] = np.where(known[:, None], du[s] - slope, 0.0)
+    derivatives = None if dv is None else de[back:].transpose(1, 0, 2)
+    return u[back:].T, e[back:].T, derivatives
+
+
+def estimate(y, x, seen, beta, coef, shape: Shape, steps: int):
+    """Gauss-Newton steps on the sum of squared one-step errors of a regression with ARMA errors,
+    jointly in all coefficients.
+
+    A step is kept where it lowers the error and the process stays stable; starts that are not stable
+    begin at 0. A series is done when the next step promises less than ``TOLERANCE`` of its error, or
+    when no part of it is kept; ``steps`` bounds the steps of the others. ``seen`` tells the known
+    values. Returns coefficients, error sum, the inverse normal matrix in the order regressors and parts of the
+    shape, and whether the promise of a further step is below ``CONVERGED``.
     """
-    beta, ar, ma = beta.copy(), ar.copy(), ma.copy()
-    k, na, nb = x.shape[2], len(ar_lags), len(ma_lags)
-
-    def errors(i, beta, ar, ma):
-        u = (y[i] - np.einsum("btk,bk->bt", x[i], beta)) * live[i]
-        return u, shocks(u, ar, ma) * live[i]
-
-    def normal(i, u, e, ar, ma):
-        columns = [shocks(x[i, :, j], ar, ma) for j in range(k)]
-        v, z = recurse(u, ma, ma_lags), recurse(e, ma, ma_lags)
-        columns += [shifted(v, lag) for lag in ar_lags] + [shifted(z, lag) for lag in ma_lags]
-        design = np.stack([*(c * live[i] for c in columns), e], axis=2)
-        gram = np.einsum("bti,btj->bij", design, design, optimize=True)
-        swept, kept = sweep(gram, range(k + na + nb))
+    beta, coef = beta.copy(), coef.copy()
+    k = x.shape[2]
+    if steps:
+        coef[~shape.stable(coef)] = 0.0
+
+    def errors(i, beta, coef):
+        v = np.where(seen[i], y[i] - np.einsum("btk,bk->bt", x[i], beta), 0.0)
+        return (recursion(v, seen[i], *shape.polynomials(coef))[1] ** 2).sum(axis=1)
+
+    def normal(i):
+        v = np.where(seen[i], y[i] - np.einsum("btk,bk->bt", x[i], beta[i]), 0.0)
+        _, e, slope = recursion(v, seen[i], *shape.polynomials(coef[i]), -x[i], shape, coef[i])
+        design = np.concatenate([-slope, e[:, :, None]], axis=2)
+        gram = np.matmul(design.transpose(0, 2, 1), design)
+        swept, kept = sweep(gram, range(k + shape.size))
         kept = kept[:, :-1]
         move = np.where(kept, swept[:, :-1, -1], 0.0)
         inverse = np.where(kept[:, :, None] & kept[:, None, :], swept[:, :-1, :-1], 0.0)
         return move, inverse, gram[:, -1, -1] - swept[:, -1, -1]
 
     every = np.arange(len(y))
-    u, e = errors(every, beta, ar, ma)
-    sse = (e**2).sum(axis=1)
     with np.errstate(over="ignore", invalid="ignore"):
+        sse = errors(every, beta, coef)
         i = every
-        for _ in range(steps if na + nb else 0):
+        for _ in range(steps if shape.size else 0):
             if not len(i):
                 break
-            move, _, gain = normal(i, u[i], e[i], ar[i], ma[i])
-            kept = np.zeros(len(i), dtype=bool)
-            for scale in (1.0, 0.5, 0.1):
-                new_beta = beta[i] + scale * move[:, :k]
-                new_ar = ar[i] + scale * spread(move[:, k : k + na], ar_lags, ar.shape[1])
-                new_ma = ma[i] + scale * spread(move[:, k + na :], ma_lags, ma.shape[1])
-                new_u, new_e = errors(i, new_beta, new_ar, new_ma)
-                new_sse = (new_e**2).sum(axis=1)
-                good = (new_sse < sse[i]) & is_stable(new_ar) & is_stable(-new_ma)
-                g = i[good]
-                beta[g], ar[g], ma[g] = new_beta[good], new_ar[good], new_ma[good]
-                u[g], e[g], sse[g] = new_u[good], new_e[good], new_sse[good]
-                kept |= good
-            i = i[kept & (gain > TOLERANCE * sse[i])]
-        _, inverse, gain = normal(every, u, e, ar, ma)
-    return beta, ar, ma, sse, inverse, gain <= CONVERGED * sse
+            move, _, gain = normal(i)
+            left = np.ones(len(i), dtype=bool)
+            for scale in (1.0, 0.5, 0.1, 0.01):
+                g = np.flatnonzero(left)
+                if not len(g):
+                    break
+                new_beta = beta[i[g]] + scale * move[g, :k]
+                new_coef = coef[i[g]] + scale * move[g, k:]
+                total = errors(i[g], new_beta, new_coef)
+                good = (total < sse[i[g]]) & shape.stable(new_coef)
+                w = i[g[good]]
+                beta[w], coef[w], sse[w] = new_beta[good], new_coef[good], total[good]
+                left[g[good]] = False
+            i = i[~left & (gain > TOLERANCE * sse[i])]
+        move, inverse, gain = normal(every)
+        for _ in range(2 if steps and shape.size else 0):
+            # sums of squares fix the coefficients to half the digits only; full steps from there give the rest
+            i = np.flatnonzero((gain <= CONVERGED * sse) & shape.stable(coef + move[:, k:]))
+            beta[i], coef[i] = beta[i] + move[i, :k], coef[i] + move[i, k:]
+            sse[i] = errors(i, beta[i], coef[i])
+            move, inverse, gain = normal(every)
+    return beta, coef, sse, inverse, gain <= CONVERGED * sse
+
+
+def aicc(n: np.ndarray, k, sse: np.ndarray) -> np.ndarray:
+    """The corrected criterion of a Gaussian likelihood; not a number where it is not defined."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = n * (np.log(2 * np.pi * sse / n) + 1) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+        return np.where((n - k - 1 > 0) & (sse > 0), value, np.nan)
+
+
+def two_step(u: np.ndarray, seen: np.ndarray, orders, m: int, long_ar: int | None):
+    """Least squares of every order on common lag products: yields (sse, dense AR, dense MA).
+
+    Shocks come from a long autoregression that looks back one season at least, and as far as the
+    longest order reaches. Lags before the first value, and unknown values, count as the mean, 0.
+    """
+    size, steps = u.shape
+    ar_lags = sorted({i for p, _, P, _ in orders for i in lag_positions(p, P, m)})
+    ma_lags = sorted({i for _, q, _, Q in orders for i in lag_positions(q, Q, m)})
+
+    def back(x: np.ndarray, lag: int) -> np.ndarray:
+        out = np.zeros_like(x)
+        out[:, lag:] = x[:, : max(steps - lag, 0)]
+        return out
+
+    columns = [back(u, i) for i in ar_lags]
+    if ma_lags:
+        top = long_ar or m * max(1, *(max(o[2:]) for o in orders)) + max(2, *(max(o[:2]) for o in orders))
+        cov = np.stack([(u * back(u, i)).sum(axis=1) for i in range(top + 1)], axis=1)
+        pi = levinson(cov, top, long_ar is None, seen.sum(axis=1).astype(float))
+        e = u.copy()
+        for i in range(1, top + 1):
+            e -= pi[:, i - 1 : i] * back(u, i)
+        e = np.where(seen, e, 0.0)
+        columns += [back(e, j) for j in ma_lags]
+    table = np.stack([*columns, u], axis=2) * seen[:, :, None]
+    gram = np.matmul(table.transpose(0, 2, 1), table)
+    yield from solve_orders(gram, orders, ar_lags, ma_lags, m, max(ar_lags, default=0), max(ma_lags, default=0))
+
+
+def search(y, x, seen, beta, rank, orders, m, multiplicative, long_ar=None, full=False, steps=50):
+    """The order with the least AICc per series: (index of the order, start coefficients in a flat row).
+
+    Only the best order so far is kept per series, whatever the number of orders. By default orders are
+    compared by two-step estimates, unstable ones last. With ``full`` all orders are estimated jointly,
+    from the two-step estimates and from 0, largest first; only converged ones without a root near the unit
+    circle can win, and a series skips an order whose AICc could not win even with the error of a
+    converged order that contains it.
+    """
+    n = seen.sum(axis=1)
+    u = np.where(seen, y - np.einsum("btk,bk->bt", x, beta), 0.0)
+    width = max(Shape(o, m, multiplicative).size for o in orders)
+    best, kept = np.zeros(len(y), int), np.zeros((len(y), width))
+    score, params = np.full((len(y), 2), np.inf), np.full(len(y), np.inf)
+    starts = {} if full else None
+    for at, (sse, ar, ma) in enumerate(two_step(u, seen, orders, m, long_ar)):
+        shape = Shape(orders[at], m, multiplicative)
+        start = shape.start(ar, ma)
+        if full:
+            starts[at] = start
+        k = shape.size + rank + 1
+        value = aicc(n, k, sse)
+        rated = np.stack([~(is_stable(ar) & is_stable(-ma)), np.nan_to_num(value, nan=1e300)], axis=1)
+        better = (rated[:, 0] < score[:, 0]) | ((rated[:, 0] == score[:, 0]) & ((rated[:, 1] < score[:, 1]) | ((rated[:, 1] == score[:, 1]) & (k < params))))
+        best[better], score[better], params[better] = at, rated[better], k[better]
+        kept[better] = 0.0
+        kept[better, : shape.size] = start[better]
+    if not full:
+        return best, kept, np.full(len(y), len(orders))
+    tried = np.zeros(len(y), int)
+    least = np.full(len(y), np.inf)
+    floor = {}
+    # the two-step winner first: it bounds the others
+    passes = [(at, best == at) for at in np.unique(best)]
+    passes += [(at, best != at) for at in sorted(range(len(orders)), key=lambda i: (-sum(orders[i]), orders[i]))]
+    winner = best.copy()
+    for at, mine in passes:
+        shape = Shape(orders[at], m, multiplicative)
+        k = shape.size + rank + 1
+        bound = np.full(len(y), -np.inf)
+        for other, total in floor.items():
+            if all(a >= b for a, b in zip(orders[other], orders[at])):
+                bound = np.fmax(bound, aicc(n, k, total))
+        i = np.flatnonzero(mine & ~(bound >= least))
+        if not len(i):
+            continue
+        tried[i] += 1
+        total, coef, done = np.full(len(i), np.inf), np.zeros((len(i), shape.size)), np.zeros(len(i), dtype=bool)
+        for start in (starts[at][i], np.zeros((len(i), shape.size))) if shape.size else (starts[at][i],):
+            _, c, sse, _, reached = estimate(y[i], x[i], seen[i], beta[i], start, shape, steps)
+            ok = np.nan_to_num(sse, nan=np.inf) < total
+            total[ok], coef[ok], done[ok] = sse[ok], c[ok], reached[ok]
+        floor.setdefault(at, np.full(len(y), np.nan))[i] = np.where(done, total, np.nan)
+        allowed = done & shape.stable(coef, ROOT_LIMIT)
+        value = np.where(allowed, np.nan_to_num(aicc(n[i], k[i], total), nan=1e300), 1e301)
+        w = (value < least[i]) | ((value == least[i]) & (k[i] < params[i]))
+        g = i[w]
+        least[g], winner[g], params[g] = value[w], at, k[g]
+        kept[g] = 0.0
+        kept[g, : shape.size] = coef[w]
+    return winner, kept, tried
+
+
+def filled(level, seen, ar, ma, d, D, m):
+    """Level values with one-step forecasts in place of unknown ones, and the errors of the differences.
+
+    Unknown values among the first ones, which the differences need, take the next known value.
+    """
+    weights = -expand(np.zeros((1, 0)), d, D, m)[0]  # of 1, 2, ... steps back in the difference
+    first = d + D * m
+    size, steps = level.shape
+    back = max(ar.shape[1], ma.shape[1], 1)
+    out = np.where(seen, level, 0.0)
+    if first:
+        following = np.where(seen, np.arange(steps), steps)
+        following = np.minimum(np.minimum.accumulate(following[:, ::-1], axis=1)[:, ::-1], steps - 1)
+        head = np.take_along_axis(out, following, axis=1)[:, :first]
+        out[:, :first] = np.where(seen[:, :first], out[:, :first], head)
+    w, e = np.zeros((size, back + steps)), np.zeros((size, back + steps))
+    for t in range(first, steps):
+        s = t + back
+        step = (ar * w[:, s - ar.shape[1] : s][:, ::-1]).sum(axis=1) + (ma * e[:, s - ma.shape[1] : s][:, ::-1]).sum(axis=1)
+        past = (weights * out[:, t - first : t][:, ::-1]).sum(axis=1) if first else 0.0
+        out[:, t] = np.where(seen[:, t], out[:, t], step - past)
+        w[:, s] = out[:, t] + past
+        e[:, s] = np.where(seen[:, t], w[:, s] - step, 0.0)
+    return out, e[:, back:]
 
 
 def expand(ar: np.ndarray, d: int, D: int, m: int) -> np.ndarray:

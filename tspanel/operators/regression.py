@@ -13,10 +13,11 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tspanel.functions.criteria import regression_criteria
-from tspanel.operators.algebra import student_two_sided, sweep, unpack
+from tspanel.functions.distributions import t_two_sided
+from tspanel.operators.algebra import sweep, unpack
 from tspanel.operators.design import Design, Terms, check_names
 from tspanel.operators.spec import Regression
 
@@ -197,14 +198,6 @@ def glance(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fits.select(*keys, "model", "family", *[c for c in wanted if c in fits.columns])
 
 
-@F.pandas_udf(T.DoubleType())
-def t_test(t: pd.Series, df: pd.Series) -> pd.Series:
-    known = t.notna() & (df > 0)
-    p = pd.Series(np.nan, index=t.index)
-    p[known] = student_two_sided(t[known].to_numpy(float), df[known].to_numpy(float))
-    return p.astype(object).where(known, None)
-
-
 def coefficient_table(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys, model, term, estimate, std_error, statistic, p_value)``."""
     with_errors = "coef_terms" in fits.columns
@@ -233,7 +226,7 @@ def coefficient_table(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.col("beta").alias("estimate"), se.alias("std_error"),
         )
         .withColumn("statistic", F.try_divide(F.col("estimate"), F.col("std_error")))
-        .withColumn("p_value", t_test(F.col("statistic"), F.col("df")))
+        .withColumn("p_value", t_two_sided(F.col("statistic"), F.col("df")))
         .drop("df")
     )
 

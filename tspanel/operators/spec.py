@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 Range = int | tuple[int, int]
 
-# Default search ranges of the automatic ARIMA orders.
+# Default search ranges of the automatic ARIMA orders, and the limit on their sum.
 DEFAULT_RANGES = {"p": (0, 5), "q": (0, 5), "P": (0, 2), "Q": (0, 2)}
 MAX_TOTAL_ORDER = 6
 
@@ -56,7 +56,10 @@ class Arima:
     """A regression whose errors follow an ARIMA process.
 
     Orders are a number, an inclusive range, or None for the default range. ``d``
-    and ``D`` are a number, or None to choose them per key by tests.
+    and ``D`` are a number, or None to choose them per key by tests. ``intercept`` None tries the
+    model with and without a constant (a drift after one difference). Seasonal polynomials multiply
+    with the ordinary ones; with ``multiplicative`` False their lags add up. ``max_total`` bounds the
+    sum of the orders where one of them is left to the default range.
     """
 
     name: str
@@ -68,21 +71,23 @@ class Arima:
     D: int | None = None
     Q: Range | None = None
     season: bool = False
-    intercept: bool = True
+    intercept: bool | None = True
     lags: tuple[Lag, ...] = ()
     pulses: tuple[Pulse, ...] = ()
     family: str = "arima"
+    multiplicative: bool = True
+    max_total: int = MAX_TOTAL_ORDER
+
+    def constants(self) -> list[bool]:
+        """The choices for the constant, the one with it first."""
+        return [True, False] if self.intercept is None else [self.intercept]
 
-    def mean_model(self, d: int, D: int) -> Regression:
+    def mean_model(self, d: int, D: int, constant: bool | None = None) -> Regression:
+        constant = self.constants()[0] if constant is None else constant
         return Regression(
-            self.name, self.target, self.season, self.intercept, self.lags, self.pulses,
-            self.family, d, D,
+            self.name, self.target, self.season, constant, self.lags, self.pulses, self.family, d, D
         )
 
-    @property
-    def fixed_orders(self) -> bool:
-        return all(isinstance(getattr(self, o), int) for o in "pqPQ")
-
     def orders(self) -> list[tuple[int, int, int, int]]:
         """All (p, q, P, Q) of the ranges. The limit on their sum holds where at least
         one range is the default, as those define the automatic search."""
@@ -95,7 +100,7 @@ class Arima:
         automatic = any(getattr(self, o) is None for o in "pqPQ")
         spans = [range(lo, hi + 1) for lo, hi in map(bounds, "pqPQ")]
         grid = [(p, q, P, Q) for p in spans[0] for q in spans[1] for P in spans[2] for Q in spans[3]]
-        return [o for o in grid if not automatic or sum(o) <= MAX_TOTAL_ORDER]
+        return [o for o in grid if not automatic or sum(o) <= self.max_total]
 
 
 def as_arima(model: Regression) -> Arima:
@@ -105,6 +110,3 @@ def as_arima(model: Regression) -> Arima:
         model.intercept, model.lags, model.pulses, model.family,
     )
 
-
-def renamed(model, name: str, **changes):
-    return replace(model, name=name, **changes)
