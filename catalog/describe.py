@@ -183,7 +183,7 @@ def subseries(spark, folder):
 
 
 def loess_sql(name: str, points: str, at: str, group: str, window: int, degree: int) -> str:
-    """CTE ``<name>``: the local fit of ``points`` (group, x from 0, y) at ``at`` (group, x)."""
+    """CTE ``<name>``: the local fit of ``points`` (group, x from 0, y, weight k) at ``at`` (group, x)."""
     by = ", ".join(f"a.{g}" for g in group.split(", "))
     slope = (
         "+ CASE WHEN sqrt(greatest(sxx, 0)) > 0.001 * greatest(n - 1, 1) THEN (x - c) * sxy / sxx ELSE 0 END"
@@ -195,10 +195,10 @@ def loess_sql(name: str, points: str, at: str, group: str, window: int, degree:
 {name}_a AS (SELECT {by}, a.x, n, least({window}, n) AS q,
     greatest(0, least(ceil(a.x - least({window}, n) / 2.0), n - least({window}, n))) AS l
   FROM {at} a JOIN {name}_n USING ({group})),
-{name}_d AS (SELECT {by}, a.x, n, p.x - a.x AS off, y, abs(p.x - a.x) / greatest(
+{name}_d AS (SELECT {by}, a.x, n, p.x - a.x AS off, y, k, abs(p.x - a.x) / greatest(
     greatest(a.x - l, l + q - 1 - a.x) + greatest(0, floor(({window} - n) / 2.0)), 1e-12) AS r
   FROM {name}_a a JOIN {points} p USING ({group}) WHERE p.x BETWEEN l AND l + q - 1),
-{name}_w AS (SELECT *, CASE WHEN r <= 0.001 THEN 1.0 WHEN r < 0.999 THEN pow(1 - pow(r, 3), 3)
+{name}_w AS (SELECT *, k * CASE WHEN r <= 0.001 THEN 1.0 WHEN r < 0.999 THEN pow(1 - pow(r, 3), 3)
     ELSE 0.0 END AS w FROM {name}_d),
 {name}_m AS (SELECT {group}, x, max(n) AS n, x + sum(w * off) / sum(w) AS c, sum(w * y) / sum(w) AS mean,
     sum(w * off * off) / sum(w) - pow(sum(w * off) / sum(w), 2) AS sxx,
@@ -208,11 +208,11 @@ def loess_sql(name: str, points: str, at: str, group: str, window: int, degree:
 
 
 def pass_sql(k: int, m: int, trend_window: int) -> str:
-    """CTEs ``season<k>`` and ``trend<k>`` from ``trend<k - 1>`` and ``base`` (key, x, y)."""
+    """CTEs ``season<k>`` and ``trend<k>`` from ``trend<k - 1>`` and ``base`` (key, x, y, k)."""
     low_window = m + 1 - m % 2
     mean = "avg({}) OVER (PARTITION BY key ORDER BY x ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
     return f"""
-part{k} AS (SELECT key, b.x % {m} AS phase, b.x // {m} AS x, b.y - t.y AS y
+part{k} AS (SELECT key, b.x % {m} AS phase, b.x // {m} AS x, b.y - t.y AS y, b.k
   FROM base b JOIN trend{k - 1} t USING (key, x)),
 ends{k} AS (SELECT key, phase, unnest(range(-1, max(x) + 2)) AS x FROM part{k} GROUP BY 1, 2),
 {loess_sql(f"cycle{k}", f"part{k}", f"ends{k}", "key, phase", 11, 0)},
@@ -220,15 +220,15 @@ line{k} AS (SELECT key, (x + 1) * {m} + phase AS x, y FROM cycle{k}),
 once{k} AS (SELECT key, x, {mean.format("y", m - 1)} AS y FROM line{k}),
 twice{k} AS (SELECT key, x, {mean.format("y", m - 1)} AS y FROM once{k}),
 thrice{k} AS (SELECT key, x, {mean.format("y", 2)} AS y FROM twice{k}),
-low{k} AS (SELECT t.key, t.x, t.y FROM thrice{k} t JOIN base b ON b.key = t.key AND b.x = t.x),
+low{k} AS (SELECT t.key, t.x, t.y, 1 AS k FROM thrice{k} t JOIN base b ON b.key = t.key AND b.x = t.x),
 {loess_sql(f"pass{k}", f"low{k}", "base", "key", low_window, 1)},
 season{k} AS (SELECT p.key, p.x, l.y - p.y AS y FROM pass{k} p JOIN line{k} l ON l.key = p.key AND l.x = p.x + {m}),
-rest{k} AS (SELECT b.key, b.x, b.y - s.y AS y FROM base b JOIN season{k} s ON s.key = b.key AND s.x = b.x),
+rest{k} AS (SELECT b.key, b.x, b.y - s.y AS y, b.k FROM base b JOIN season{k} s ON s.key = b.key AND s.x = b.x),
 {loess_sql(f"trend{k}", f"rest{k}", "base", "key", trend_window, 1)}"""
 
 
 def stl_sql(m: int, trend_window: int) -> str:
-    """CTE ``parts`` from ``base`` (key, period, x, y)."""
+    """CTE ``parts`` from ``base`` (key, period, x, y, k): k is 1 for known values, 0 for others, whose y is 0."""
     return f"""
 trend0 AS (SELECT key, x, 0.0::DOUBLE AS y FROM base),
 {pass_sql(1, m, trend_window)},
@@ -238,20 +238,15 @@ parts AS (SELECT b.key, period, b.y AS value, t.y AS trend, s.y AS season, b.y -
 
 
 QUARTERLY_PARTS = f"""WITH {ORDERS_GROWTH},
-base AS (SELECT key, period, row_number() OVER (PARTITION BY key ORDER BY period) - 1 AS x, price AS y
+base AS (SELECT key, period, row_number() OVER (PARTITION BY key ORDER BY period) - 1 AS x, price AS y, 1 AS k
   FROM growth), {stl_sql(4, 7)}"""
 
 MONTHLY_PARTS = f"""WITH {SUPPLY_GROWTH},
-o AS (SELECT key, period, revenue, datediff('month', DATE '1970-01-01', period) AS t FROM growth),
-b AS (SELECT *, CASE WHEN t - lag(t) OVER w > 1 THEN 1 ELSE 0 END AS gap FROM o
-  WINDOW w AS (PARTITION BY key ORDER BY period)),
-runs AS (SELECT *, sum(gap) OVER (PARTITION BY key ORDER BY period) AS run FROM b),
-len AS (SELECT key, run, count(*) AS n,
-    row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, run) AS place
-  FROM runs GROUP BY 1, 2),
-base AS (SELECT r.key, r.period, revenue AS y,
-    row_number() OVER (PARTITION BY r.key ORDER BY r.period) - 1 AS x
-  FROM runs r JOIN len l ON l.key = r.key AND l.run = r.run AND l.place = 1 AND l.n >= 24),
+months AS (SELECT key, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH))::DATE AS period
+  FROM growth GROUP BY key HAVING count(*) >= 24),
+base AS (SELECT m.key, m.period, coalesce(revenue, 0) AS y, (revenue IS NOT NULL)::INT AS k,
+    row_number() OVER (PARTITION BY m.key ORDER BY m.period) - 1 AS x
+  FROM months m LEFT JOIN growth g ON g.key = m.key AND g.period = m.period),
 {stl_sql(12, 21)}"""
 
 
@@ -264,26 +259,56 @@ SELECT key, period, {R('value')} AS value, {R('trend')} AS trend, {R('season')}
 )
 def decomposition(spark, folder):
     """Trend, season and remainder of quarterly growth."""
-    parts = stl(orders_growth(spark, folder), ["key"], "quarter", "price").drop("season_adjust")
+    parts = stl(orders_growth(spark, folder), ["key"], "quarter", "price").drop("season_adjust", "status")
     return rounded(parts, ["value", "trend", "season", "remainder"])
 
 
 @query(
     MONTHLY_PARTS
     + f"""
-SELECT key, period, {R('value')} AS value, {R('trend')} AS trend, {R('season')} AS season,
-  {R('remainder')} AS remainder, {R('value - season')} AS season_adjust FROM parts"""
+SELECT g.key, g.period, {R('g.revenue')} AS value, {R('trend')} AS trend, {R('season')} AS season,
+  {R('remainder')} AS remainder, {R('value - season')} AS season_adjust, CASE WHEN p.key IS NULL THEN 'short' ELSE 'ok' END AS status
+FROM growth g LEFT JOIN parts p ON p.key = g.key AND p.period = g.period"""
 )
 def stl_components(spark, folder):
+    """A row for every month of growth; months without one have no weight."""
     parts = stl(supply_growth(spark, folder), ["key"], "month", "revenue")
     return rounded(parts, ["value", "trend", "season", "remainder", "season_adjust"])
 
 
+def sometimes_missing(df):
+    """About every eleventh value is taken out: some as rows, some as values only."""
+    turn = (F.col("key") * 7 + F.year("period") * 12 + F.month("period")) % 23
+    return df.withColumn("revenue", F.when(turn != 4, F.col("revenue"))).filter(turn != 15)
+
+
+@query(
+    f"""WITH {SUPPLY_GROWTH},
+holes AS (SELECT key, period, CASE WHEN (key * 7 + year(period) * 12 + month(period)) % 23 <> 4 THEN revenue END AS revenue
+  FROM growth WHERE (key * 7 + year(period) * 12 + month(period)) % 23 <> 15),
+months AS (SELECT key, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH))::DATE AS period
+  FROM holes GROUP BY key HAVING count(revenue) >= 24),
+base AS (SELECT m.key, m.period, coalesce(revenue, 0) AS y, (revenue IS NOT NULL)::INT AS k,
+    row_number() OVER (PARTITION BY m.key ORDER BY m.period) - 1 AS x
+  FROM months m LEFT JOIN holes g ON g.key = m.key AND g.period = m.period),
+{stl_sql(12, 21)}
+SELECT g.key, g.period, {R('g.revenue')} AS value, {R('trend')} AS trend, {R('season')} AS season,
+  CASE WHEN g.revenue IS NOT NULL THEN {R('remainder')} END AS remainder,
+  CASE WHEN p.key IS NULL THEN 'short' WHEN g.revenue IS NULL THEN 'missing' ELSE 'ok' END AS status
+FROM holes g LEFT JOIN parts p ON p.key = g.key AND p.period = g.period"""
+)
+def stl_missing(spark, folder):
+    """Trend and season of series with missing months and missing values."""
+    holes = sometimes_missing(supply_growth(spark, folder).select("key", "period", "revenue"))
+    parts = stl(holes, ["key"], "month", "revenue").drop("season_adjust")
+    return rounded(parts, ["value", "trend", "season", "remainder"])
+
+
 @query(
     MONTHLY_PARTS
     + f"""
-SELECT key, {R('greatest(0.0, 1 - coalesce(var_pop(remainder) / var_pop(season + remainder), 1))')}
-  AS strength FROM parts GROUP BY key"""
+SELECT g.key, {R('greatest(0.0, 1 - coalesce(var_pop(remainder) / var_pop(season + remainder), 1))')}
+  AS strength FROM growth g LEFT JOIN parts p ON p.key = g.key AND p.period = g.period GROUP BY g.key"""
 )
 def stl_strength(spark, folder):
     parts = stl(supply_growth(spark, folder), ["key"], "month", "revenue")

@@ -68,7 +68,7 @@ def test_constant_short_and_null_series(spark):
     df = frame(spark, data)
     assert {r.key: r.kpss_stat for r in kpss(df, ["key"]).collect()} == {"constant": None, "one": None}
     assert all(r.acf is None for r in autocorrelation(df, ["key"]).collect())
-    assert stl(df, ["key"], "quarter").filter("key <> 'constant'").count() == 0
+    assert stl(df, ["key"], "quarter").filter("key <> 'constant' AND status <> 'short'").count() == 0
 
 
 def test_longest_run_breaks_at_nulls_and_gaps(spark):
@@ -123,3 +123,26 @@ def test_stl_adds_up_and_finds_the_season(spark, freq, m):
     assert np.abs(got["season"] - season).max() < 0.5
     strength = {r.key: r.strength for r in seasonal_strength(parts, ["key"]).collect()}
     assert strength["s"] > 0.9 and strength["n"] < 0.64
+
+
+def test_stl_has_a_row_for_every_row(spark):
+    """Missing months and values have no weight: the parts are near those of the whole series."""
+    rng = np.random.default_rng(4)
+    t = np.arange(120)
+    value = 0.05 * t + 3 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 0.1, 120)
+    whole = table(120, {"value": value}, freq="month")
+    holes = whole.copy()
+    holes.loc[[5, 40, 41, 90], "value"] = np.nan
+    holes = holes.drop(index=[17, 60, 61, 62, 100])
+    few = table(30, {"value": np.where(np.arange(30) < 20, 1.0, np.nan)}, key="few", freq="month")
+    apart = table(400, {"value": np.where((t := np.arange(400)) % 399 < 30, 1.0, np.nan)}, key="apart", freq="month")
+    df = frame(spark, pd.concat([holes, few, apart]))
+    got = stl(df, ["key"], "month").toPandas()
+    assert got.groupby("key").size().to_dict() == {"a": 115, "few": 30, "apart": 400}
+    assert set(got[got["key"] == "few"]["status"]) == {"short"} and set(got[got["key"] == "apart"]["status"]) == {"sparse"}
+    assert got[got["key"] != "a"]["trend"].isna().all()
+    mine = got[got["key"] == "a"].set_index("period")
+    assert (mine["status"] == "missing").sum() == 4 and mine["trend"].notna().all() and mine["season"].notna().all()
+    assert mine["remainder"].isna().sum() == 4
+    full = stl(frame(spark, whole), ["key"], "month").toPandas().set_index("period").loc[mine.index]
+    assert (mine["season"] - full["season"]).abs().max() < 0.4 and (mine["trend"] - full["trend"]).abs().max() < 0.2

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tspanel.functions import FREQUENCIES, period_index, season_of
-from tspanel.operators.panel import by_period, widen
+from tspanel.operators.panel import by_period, fill_gaps, widen
 from tspanel.operators.stl import Plan
 
 # Critical values of the level-stationarity test and their p-values.
@@ -209,38 +209,57 @@ def as_series(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     )
 
 
+# Weights a decomposition may hold for one slice of a batch, about 32 MB.
+STL_VALUES = 4_000_000
+
+
 def stl(df: DataFrame, keys: Sequence[str], freq: str, value: str = "value") -> DataFrame:
-    """Seasonal-trend decomposition by loess.
+    """Seasonal-trend decomposition by loess, on the calendar.
 
-    Returns ``(keys, period, value, trend, season, remainder, season_adjust)`` over the
-    longest stretch without nulls or gaps; keys shorter than two years are left out.
+    Returns one row per row of ``df``: ``(keys, period, value, trend, season, remainder, season_adjust,
+    status)``. Missing periods and values have no weight in the local fits. ``status`` is ``ok``;
+    ``missing`` where the value is (trend and season are there, the rest is null); ``short`` for
+    keys with known values of less than two years, and ``sparse`` for keys with a stretch that no fit
+    reaches: these have no parts.
     """
     m = FREQUENCIES[freq].seasons
 
     @F.pandas_udf("struct<trend: array<double>, season: array<double>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        plans = {}
         for values in batches:
             trend, season = ([None] * len(values) for _ in range(2))
-            for n, where in values.groupby(values.str.len()).indices.items():
-                if n not in plans:
-                    plans[n] = Plan(n, m)
-                parts = plans[n].decompose(np.stack(values.iloc[where].to_numpy()))
-                for out, part in zip((trend, season), parts):
-                    for w, row in zip(where, part):
-                        out[w] = row
+            for n, members in values.groupby(values.str.len()).indices.items():
+                if n < 2 * m:
+                    continue
+                plan = Plan(n, m)
+                step = max(1, STL_VALUES // (n * plan.trend[0].shape[1]))
+                for i in range(0, len(members), step):
+                    where = members[i : i + step]
+                    y = np.stack(values.iloc[where].to_numpy())
+                    known = ~np.isnan(y)
+                    parts = plan.decompose(np.where(known, y, 0.0), known)
+                    for out, part in zip((trend, season), parts):
+                        for w, row in zip(where, part):
+                            out[w] = row
             yield pd.DataFrame({"trend": trend, "season": season})
 
-    run = longest_run(
-        df.select(*keys, "period", F.col(value).alias("value")), keys, ["value"], freq
+    rows = df.select(*keys, "period", F.col(value).cast("double").alias("value"), F.lit(True).alias("own"))
+    filled = fill_gaps(rows, keys, freq).withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+    series = as_series(filled, keys, ["value", "own"])
+    enough = F.size(F.filter("value", lambda v: ~F.isnan(v))) >= 2 * m
+    parts = series.withColumn("enough", enough).withColumn("parts", F.when(F.col("enough"), split("value")))
+    parts = parts.withColumn("whole", F.forall(F.concat("parts.trend", "parts.season"), lambda v: v.isNotNull() & ~F.isnan(v)))
+    none = F.transform("value", lambda v: F.lit(None).cast("double"))
+    shown = [F.when(F.col("whole"), F.col(f"parts.{c}")).otherwise(none).alias(c) for c in ("trend", "season")]
+    out = parts.select(*keys, "period", "value", "own", "enough", "whole", *shown)
+    out = out.select(*keys, "enough", "whole", F.inline(F.arrays_zip("period", "value", "own", "trend", "season"))).filter("own")
+    known = F.when(~F.isnan("value"), F.col("value"))
+    status = (
+        F.when(~F.col("enough"), "short").when(~F.coalesce("whole", F.lit(False)), "sparse").when(F.isnan("value"), "missing").otherwise("ok")
     )
-    series = as_series(run, keys, ["value"]).filter(F.size("value") >= 2 * m)
-    parts = series.withColumn("parts", split("value"))
-    return (
-        parts.select(*keys, "period", "value", "parts.trend", "parts.season")
-        .select(*keys, F.inline(F.arrays_zip("period", "value", "trend", "season")))
-        .withColumn("remainder", F.col("value") - F.col("trend") - F.col("season"))
-        .withColumn("season_adjust", F.col("value") - F.col("season"))
+    return out.select(
+        *keys, "period", known.alias("value"), "trend", "season", (known - F.col("trend") - F.col("season")).alias("remainder"),
+        (known - F.col("season")).alias("season_adjust"), status.alias("status"),
     )
 
 
