@@ -171,6 +171,42 @@ def test_contaminated(spark, docs, empty):
     assert contaminated(empty, benchmark).count() == 0 and contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("changed,least", [(0, 1.0), (3, 0.99), (6, 0.95)])
+def test_contaminated_finds_substituted_items(spark, changed, least):
+    """Recall of 30-word items with up to 20 % of the words replaced, and of brute force over all alignments."""
+    r = random.Random(41 + changed)
+    items = [prose(30, r) for _ in range(200)]
+    texts = []
+    for item in items:
+        w = item.split(" ")
+        for i in r.sample(range(30), changed):
+            w[i] = f"other{i}"
+        texts.append(prose(r.randint(0, 40), r) + " " + " ".join(w) + " " + prose(r.randint(0, 40), r))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.start, x.matched) for x in contaminated(docs, bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, item in enumerate(items):
+            q = item.split()
+            best = max((sum(w[s + j] == q[j] for j in range(30) if 0 <= s + j < len(w)), -s) for s in range(-18, len(w) - 11))
+            if best[0] >= 15:
+                want[(d, i)] = (-best[1], best[0])
+    assert {k: v for k, v in got.items() if k in want} == {k: want[k] for k in got if k in want}
+    assert len(got.keys() & want.keys()) >= least * len(want) and len(want) >= 200
+
+
+def test_contaminated_finds_short_items_whole(spark):
+    items = ["One two three", "a b c d e", "one two", "x y z x y z x y", "ties ties ties"]
+    texts = ["zero one TWO three four one two three", "a b c d f e a b c d", "x y z x y z x y z x y", "one two", None, "ties ties ties ties", "b a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert rows(got, "doc_id", "item_id", "start", "matched", "n_places") == sorted(
+        [(0, 0, 1, 3, 2), (2, 3, 0, 8, 2), (5, 4, 0, 3, 2), (6, 1, 1, 5, 1)], key=repr
+    )
+
+
 def test_mix_spends_the_budget(docs, empty):
     weights = {"domain": {"a": 3, "b": 1}, "lang": {"en": 2}, "source": {"s1": 0}}
     domain = F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")

@@ -130,3 +130,15 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
             assert len(ids) == lengths.sum()
     ids, lengths = code.ids(*next(byte_slices(pa.array(TEXTS)))[2:])
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected(TEXTS, False)
+
+
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    from tspanel.llm.token_counts import write_flat
+
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="does not fit"):
+        write_flat(docs, PATH, str(tmp_path), separator=70000)
+    ordinary = int(CODE.ids(*next(byte_slices(pa.array(["some"])))[2:])[0][0])
+    for separator, width, what in ((ordinary, 2, "is an id of a text"), (255, 1, "does not fit 1 bytes")):
+        with pytest.raises(Exception, match=what):
+            write_flat(docs, PATH, str(tmp_path), separator=separator, width=width)

@@ -3,7 +3,12 @@
 A seed hashes eight of twelve consecutive words; each of three fixed masks ignores other
 positions, so a substituted word spoils only the seeds that look at it. Documents and benchmark
 items meet on equal seeds. A hit fixes how the item lies on the document; the words around
-it are then compared one by one, substitutions allowed.
+it are then compared one by one, substitutions allowed. Items shorter than a seed meet documents as
+whole phrases.
+
+What is found: every pair that shares a seed or a short item as a whole, in particular every pair with 12
+consecutive equal words. Of 30-word items with random substitutions the seeds find about 0.99 at 20 %, 0.7 at 30 %,
+0.3 at 40 % and 0.05 at 50 %; ``share`` says what is reported, not what is looked for.
 """
 
 from __future__ import annotations
@@ -37,25 +42,48 @@ def placed(table: DataFrame, keys: list[str], hashes: str, place: str) -> DataFr
     return rows.select(*keys, place, F.explode(F.array(*each)).alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, local: int = 13) -> DataFrame:
+def phrase(columns: list[Column], size: int) -> Column:
+    """The seed of a whole item of ``size`` words."""
+    return F.xxhash64(F.lit(-size), *columns[:size])
+
+
+def phrases(table: DataFrame, keys: list[str], hashes: str, place: str, sizes: list[int]) -> DataFrame:
+    """One row per place and size: keys, seed, place; the seeds of all runs of so many words."""
+    shifted = [F.slice(hashes, o + 1, F.greatest(F.size(hashes), F.lit(1))).alias(f"c{o}") for o in range(max(sizes))]
+    rows = table.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias(place, "z"))
+    columns = [F.col(f"z.c{o}") for o in range(max(sizes))]
+    each = [F.when(columns[n - 1].isNotNull(), phrase(columns, n)) for n in sizes]
+    return rows.select(*keys, place, F.explode(F.array(*each)).alias("seed")).filter("seed IS NOT NULL")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, local: int = 13, shortest: int = 3) -> DataFrame:
     """One row per document and item that overlap: where, how many words agree, of how many.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text. Words are lower-case (A-Z) runs between
     ASCII white space. Reported are pairs in which, with the item laid on the document at one
     place, at least ``share`` of the item's words agree, or ``local`` of 16 consecutive ones.
     ``start`` is the word of the document on which the item's first word lies (negative if
-    it lies before), at the best place, the first of equals. Items or texts under 12 words,
-    missing or empty ones have no seeds and no rows. Rows that agree in doc_id and text, or items
-    that agree in item_id and text, give one row.
+    it lies before), at the best place, the first of equals. Items of ``shortest`` to 11 words are found
+    where they stand as a whole; shorter ones say nothing and have no rows, like missing or empty ones. Rows
+    that agree in doc_id and text, or items that agree in item_id and text, give one row.
     """
     items = store(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("t"))
         .select("item_id", F.xxhash64("t").alias("item_key"), word_hashes(F.col("t")).alias("item"))
         .dropDuplicates(["item_id", "item_key"])
     )
-    theirs = store(placed(items, ["item_id", "item_key"], "item", "at").distinct())
+    seeds = placed(items, ["item_id", "item_key"], "item", "at").distinct()
     table = keyed(docs).select("doc_id", "text_key", word_hashes(F.col("text")).alias("h"))
     probes = placed(table, ["doc_id", "text_key"], "h", "place")
+    size = F.size("item")
+    short = items.filter(size.between(shortest, SPAN - 1))
+    # eleven lengths at most
+    sizes = sorted(r.n for r in short.select(size.alias("n")).distinct().collect())
+    if sizes:
+        whole = F.coalesce(*[F.when(size == n, phrase([F.col("item")[i] for i in range(n)], n)) for n in sizes])
+        seeds = seeds.unionByName(short.select("item_id", "item_key", F.lit(0).alias("at"), whole.alias("seed")))
+        probes = probes.unionByName(phrases(table, ["doc_id", "text_key"], "h", "place", sizes))
+    theirs = store(seeds)
     seen = F.broadcast(theirs) if theirs.count() <= MOST_SENT else theirs
     hits = (
         probes.join(seen, "seed")

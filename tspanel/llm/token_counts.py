@@ -29,8 +29,11 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, separator: int, wid
 
     Names of special tokens in a text are ordinary text, so no text holds the separator.
     Returns the stored list (file, ordinal, doc_id): which document is the how manieth of a
-    file. A missing or empty text is a separator alone. Only listed files count.
+    file. A missing or empty text is a separator alone. Only listed files count. Ids that do not
+    fit ``width``, and a separator that a text holds, are errors.
     """
+    if not 0 <= separator < 1 << (8 * width):
+        raise ValueError(f"the separator {separator} does not fit {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, out, name, n = encoder(tokenizer, True), None, "", 0
@@ -42,6 +45,10 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, separator: int, wid
                 out = files.open_output_stream(f"{path}/{name}")
             for a, b, data, offsets in byte_slices(batch.column(1), ENCODE_BYTES):
                 tokens, lengths = code.ids(data, offsets)
+                if len(tokens) and int(tokens.max()) >> (8 * width):
+                    raise ValueError(f"id {tokens.max()} does not fit {width} bytes")
+                if (tokens == separator).any():
+                    raise ValueError(f"the separator {separator} is an id of a text")
                 ids = np.full(len(tokens) + b - a, separator, f"<u{width}")
                 keep = np.ones(len(ids), bool)
                 keep[np.cumsum(lengths + 1) - 1] = False
