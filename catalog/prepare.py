@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from tspanel.operators.transform import (
     difference,
     pct_change,
 )
+from tspanel.session import shared_folder, stage
+from tspanel.sources import read_archive
 
 from .registry import (
     ORDERS_GROWTH,
@@ -361,3 +364,45 @@ def fill_future_predictors(spark, folder):
 )
 def season_design(spark, folder):
     return add_seasons(orders_quarterly(spark, folder), "quarter").drop("price", "orders")
+
+
+# -- raw files with bad lines ---------------------------------------------------------------
+
+
+def raw_lines(spark, folder):
+    """Lines of raw files from monthly orders per priority, some of them spoilt: (key, line)."""
+    monthly = orders_by_month(spark, folder)
+    day, month = F.date_format("period", "yyyy-MM-dd"), F.month("period")
+    value = F.when(month == 3, "n/a").when(month == 5, ".").otherwise(F.col("n").cast("string"))
+    line = F.concat_ws(",", F.when(month == 9, F.concat(day, F.lit("-x"))).otherwise(day), value, F.when(month == 7, "more"))
+    twice = F.when(month == 11, F.array(line, F.concat_ws(",", day, (F.col("n") + 1).cast("string")))).otherwise(F.array(line))
+    body = monthly.select("key", F.explode(twice).alias("line"))
+    return monthly.select("key", F.concat(F.lit("DATE,"), "key").alias("line")).distinct().unionByName(body)
+
+
+def orders_by_month(spark, folder):
+    orders = table(spark, folder, "orders").withColumnRenamed("o_orderpriority", "key")
+    return orders.groupBy("key", F.trunc("o_orderdate", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH monthly AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate)::DATE AS period, count(*) AS n
+  FROM orders GROUP BY 1, 2),
+lines AS (SELECT series, n, CASE month(period) WHEN 3 THEN 'value' WHEN 7 THEN 'columns' WHEN 9 THEN 'date' ELSE 'kept' END AS outcome,
+    month(period) AS m FROM monthly
+  UNION ALL SELECT series, NULL, 'repeated', 11 FROM monthly WHERE month(period) = 11)
+SELECT series, outcome, count(*) AS n_lines, CASE WHEN outcome = 'kept' THEN {R('sum(CASE WHEN m <> 5 THEN n::DOUBLE END)')} END AS total
+FROM lines GROUP BY series, outcome"""
+)
+def archive_lines(spark, folder):
+    """Files written with bad lines, read back: what every line became."""
+    path = f"{shared_folder(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    lines = stage(raw_lines(spark, folder))
+    # five priorities, one file each
+    for i, row in enumerate(sorted(lines.select("key").distinct().collect())):
+        lines.filter(F.col("key") == row.key).select("line").coalesce(1).write.text(f"{path}/{i}")
+    names = spark.read.text(f"{path}/*").filter("value LIKE 'DATE,%'").select(F.col("_metadata.file_name").alias("file"), "value").collect()
+    archive = read_archive(spark, f"{path}/*", {r.file: r.value.removeprefix("DATE,") for r in names})
+    kept = archive.values.groupBy("series").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("value").alias("total")).withColumn("outcome", F.lit("kept"))
+    lost = archive.rejected.groupBy("series", F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return rounded(kept.unionByName(lost.withColumn("total", F.lit(None).cast("double"))), ["total"])

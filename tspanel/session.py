@@ -27,19 +27,26 @@ def build_session(app: str = "tspanel", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Store a reduced table once so that later steps do not rescan the raw data.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the session's checkpoint folder.
 
-    Uses a reliable checkpoint, which survives the loss of executors, in the folder
-    the session names. A local session without a folder gets a scratch one; on a
-    cluster the folder has to be set.
+    A local session without one gets a scratch folder; on a cluster it has to be set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and sc.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="tspanel-")
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Store a reduced table once so that later steps do not rescan the raw data.
+
+    Uses a reliable checkpoint, which survives the loss of executors, in the shared folder.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,7 +1,9 @@
 """Readers and writers for series files and prepared tables."""
 
 from .series import (
+    Archive,
     SeriesFile,
+    read_archive,
     read_coded_folder,
     read_panel,
     read_series,
@@ -10,6 +12,8 @@ from .series import (
 from .tables import read_table, write_long, write_wide
 
 __all__ = [
+    "Archive",
+    "read_archive",
     "SeriesFile",
     "read_coded_folder",
     "read_panel",
