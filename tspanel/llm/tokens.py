@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from .text import _SPACE, ragged
 
-#: Distinct pieces of text whose ids a worker keeps: about 150 bytes each, so 45 MB.
-KEPT_PIECES = 300_000
+#: Distinct pieces of text whose ids a worker keeps: about 150 bytes each, so 110 MB.
+KEPT_PIECES = 750_000
 #: Bytes of text that are encoded at a time; a slice takes about twenty times as much for a moment.
 ENCODE_BYTES = 2 << 20
 #: Pieces that go through the library as one text.
