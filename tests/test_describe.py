@@ -99,6 +99,59 @@ def test_ccf_sign_and_scale(spark):
     assert sorted(r.lag for r in wide.collect()) == [-4, -3, -2, -1, 0]
 
 
+def brute_ccf(y, x, present, k):
+    """Over the longest run of True in ``present``, the first of equal ones."""
+    best, start = (0, 0), None
+    for i, ok in enumerate([*present, False]):
+        if ok and start is None:
+            start = i
+        elif not ok and start is not None:
+            if i - start > best[0]:
+                best = (i - start, start)
+            start = None
+    n, i = best
+    ey, ex = y[i : i + n] - y[i : i + n].mean(), x[i : i + n] - x[i : i + n].mean()
+    scale = np.sqrt((ey**2).sum() * (ex**2).sum())
+    if abs(k) >= n or scale == 0:
+        return n, None
+    return n, ((ey[-k:] * ex[: n + k]).sum() if k < 0 else (ey[: n - k] * ex[k:]).sum()) / scale
+
+
+def test_ccf_of_predictors_with_stretches_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    tables, cases = [], {}
+    for key in "abcd":
+        data = {c: rng.normal(size=30) for c in ("y", "p", "q", "none")}
+        for c in ("y", "p", "q"):
+            data[c][rng.integers(0, 30, 2)] = np.nan
+        data["none"][:] = np.nan
+        if key == "d":
+            data["p"][:] = np.nan
+            data["p"][4] = 1.0
+            data["y"][4] = 2.0
+        tables.append(table(30, data, key=key))
+        for c in ("p", "q"):
+            cases[key, c] = (data["y"], data[c], ~np.isnan(data["y"]) & ~np.isnan(data[c]))
+    df = frame(spark, pd.concat(tables))
+    got = {(r.key, r.predictor, r.lag): (r.n, r.ccf) for r in cross_correlation(df, ["key"], "y", ["p", "q", "none"], 5).collect()}
+    assert len(got) == 4 * 2 * 11
+    for (key, c), (y, x, present) in cases.items():
+        for k in range(-5, 6):
+            n, value = brute_ccf(y, x, present, k)
+            assert got[key, c, k][0] == n
+            assert got[key, c, k][1] == (None if value is None else pytest.approx(value, abs=1e-12))
+
+
+def test_correlation_of_many_predictors_shuffles_the_panel_once(spark):
+    rng = np.random.default_rng(8)
+    names = [f"p{i}" for i in range(6)]
+    df = frame(spark, table(40, {c: rng.normal(size=40) for c in ("y", *names)})).repartition(3)
+    long = cross_correlation(df, ["key"], "y", names, 4, "quarter")
+    plan = correlation_table(long, ["key"], names, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Expand") == 0
+
+
 def test_subseries_means(spark):
     df = frame(spark, table(9, {"value": np.arange(9.0)}))
     got = {r.season: r.season_mean for r in seasonal_subseries(df, ["key"], "quarter").collect()}

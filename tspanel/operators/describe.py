@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -73,36 +73,58 @@ def kpss(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     )
 
 
-def longest_run(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], freq: str | None = None
+def _runs(
+    df: DataFrame, keys: Sequence[str], complete: Mapping[str, Column], freq: str | None
 ) -> DataFrame:
-    """Keep, per key, the longest stretch of rows in which all values are present.
+    """Add, per name, ``<name>_at``: the place from 1 of a row in the key's longest complete stretch.
 
-    With ``freq``, a missing period ends a stretch as well. Ties go to the first.
+    Null outside that stretch. Ties go to the first stretch. All names share one
+    partitioning and sort by the key.
     """
-    complete = F.lit(True)
-    for v in values:
-        complete = complete & F.col(v).isNotNull()
     order = by_period(keys)
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
     gap = F.lit(False)
     if freq:
         index = period_index(F.col("period"), freq)
         gap = F.coalesce(index - F.lag(index, 1).over(order) > 1, F.lit(False))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = (
-        df.withColumns({"complete": complete, "gap": gap})
-        .withColumn("breaks", (~F.col("complete") | F.col("gap")).cast("int"))
-        .withColumn("run", F.sum("breaks").over(running))
-        .filter("complete")
+    df = df.withColumns({"_gap": gap, **{f"{c}_ok": ok for c, ok in complete.items()}})
+    broken = {c: ~F.col(f"{c}_ok") | F.col("_gap") for c in complete}
+    df = df.withColumns(
+        {f"{c}_run": F.sum(broken[c].cast("int")).over(running) for c in complete}
+        | {f"{c}_n": F.sum(F.col(f"{c}_ok").cast("int")).over(running) for c in complete}
+    )
+    # complete rows before the stretch: the count at its first row, without that row itself
+    before = {c: F.col(f"{c}_n") - F.col(f"{c}_ok").cast("int") for c in complete}
+    df = df.withColumns(
+        {f"{c}_before": F.max(F.when(broken[c], before[c])).over(running) for c in complete}
     )
-    length = F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))
-    best = F.max(F.struct("length", (-F.col("run")).alias("r"))).over(Window.partitionBy(*keys))
-    return (
-        marked.withColumn("length", length)
-        .withColumn("best", best)
-        .filter(-F.col("run") == F.col("best.r"))
-        .select(*df.columns)
+    place = {
+        c: F.when(F.col(f"{c}_ok"), F.col(f"{c}_n") - F.coalesce(F.col(f"{c}_before"), F.lit(0)))
+        for c in complete
+    }
+    last = {
+        c: F.max(F.when(F.col(f"{c}_ok"), F.struct(place[c].alias("n"), (-F.col(f"{c}_run")).alias("r")))).over(whole)
+        for c in complete
+    }
+    df = df.withColumns({f"{c}_best": last[c] for c in complete})
+    df = df.withColumns(
+        {f"{c}_at": F.when(F.col(f"{c}_best")["r"] == -F.col(f"{c}_run"), place[c]) for c in complete}
     )
+    return df.drop("_gap", *[f"{c}{end}" for c in complete for end in ("_ok", "_run", "_n", "_before", "_best")])
+
+
+def longest_run(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], freq: str | None = None
+) -> DataFrame:
+    """Keep, per key, the longest stretch of rows in which all values are present.
+
+    With ``freq``, a missing period ends a stretch as well. Ties go to the first.
+    """
+    complete = F.lit(True)
+    for v in values:
+        complete = complete & F.col(v).isNotNull()
+    return _runs(df, keys, {"_all": complete}, freq).filter("_all_at IS NOT NULL").select(*df.columns)
 
 
 def cross_correlation(
@@ -118,41 +140,51 @@ def cross_correlation(
 
     At lag ``-k`` the target at t meets the predictor at t - k. Means and
     denominators span the whole common stretch of both series. With
-    ``both_sides=False`` only lags ``-lag_max .. 0`` are returned.
+    ``both_sides=False`` only lags ``-lag_max .. 0`` are returned. A predictor without
+    a common row has no rows for that key. All predictors are served by windows and one
+    aggregation over the key: rows are neither copied per predictor nor shuffled again.
     """
-    by = [*keys, "predictor"]
-    pairs = df.select(*keys, "period", target, *predictors).unpivot(
-        [*keys, "period", target], list(predictors), "predictor", "x"
+    ids = [f"_x{i}" for i in range(len(predictors))]
+    rows = df.select(
+        *keys, "period", F.col(target).cast("double").alias("_y"),
+        *[F.col(p).cast("double").alias(x) for p, x in zip(predictors, ids)],
     )
-    pairs = longest_run(pairs.withColumnRenamed(target, "y"), by, ["y", "x"], freq)
-    whole = Window.partitionBy(*by)
-    order = by_period(by)
-    rows = pairs.withColumns(
-        {"ey": F.col("y") - F.avg("y").over(whole), "ex": F.col("x") - F.avg("x").over(whole)}
-    )
-    lags = range(0, lag_max + 1)
+    rows = _runs(rows, keys, {x: F.col("_y").isNotNull() & F.col(x).isNotNull() for x in ids}, freq)
+    whole, order = Window.partitionBy(*keys), by_period(keys)
+    lags = range(1, lag_max + 1)
+    inside = {x: F.col(f"{x}_at").isNotNull() for x in ids}
     rows = rows.withColumns(
-        {
-            **{f"x{k}": F.lag("ex", k).over(order) for k in lags if k},
-            **{f"y{k}": F.lag("ey", k).over(order) for k in lags if k and both_sides},
-        }
+        {f"{x}_my": F.avg(F.when(inside[x], F.col("_y"))).over(whole) for x in ids}
+        | {f"{x}_mx": F.avg(F.when(inside[x], F.col(x))).over(whole) for x in ids}
+        | {f"{x}_{k}": F.lag(x, k).over(order) for x in ids for k in lags}
+        | ({f"_y_{k}": F.lag("_y", k).over(order) for k in lags} if both_sides else {})
     )
-    products = {0: F.sum(F.col("ey") * F.col("ex"))}
-    for k in lags:
-        if k:
-            products[-k] = F.sum(F.col("ey") * F.col(f"x{k}"))
-            if both_sides:
-                products[k] = F.sum(F.col(f"y{k}") * F.col("ex"))
-    sums = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sqrt(F.sum(F.col("ey") * F.col("ey")) * F.sum(F.col("ex") * F.col("ex"))).alias("scale"),
-        *[c.alias(f"p{k}") for k, c in products.items()],
-    )
-    entries = [
-        F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"p{k}"), F.col("scale")).alias("ccf"))
-        for k in sorted(products)
-    ]
-    return sums.select(*by, "n", F.inline(F.array(*entries)))
+    steps = [*range(-lag_max, lag_max + 1)] if both_sides else [*range(-lag_max, 1)]
+    sums, entries = [], []
+    for name, x in zip(predictors, ids):
+        my, mx, at = F.col(f"{x}_my"), F.col(f"{x}_mx"), F.col(f"{x}_at")
+        ey, ex = F.col("_y") - my, F.col(x) - mx
+        sums.append(F.count(at).alias(f"{x}_n"))
+        scale = F.sqrt(F.sum(F.when(inside[x], ey * ey)) * F.sum(F.when(inside[x], ex * ex)))
+        products = []
+        for k in steps:
+            # the row k places before lies in the same stretch
+            if k < 0:
+                product = ey * (F.col(f"{x}_{-k}") - mx)
+            else:
+                product = (F.col(f"_y_{k}") - my if k else ey) * ex
+            products.append(F.sum(F.when(at > abs(k), product)))
+        sums += [scale.alias(f"{x}_scale"), F.array(*products).alias(f"{x}_sums")]
+        entries += [
+            F.struct(
+                F.lit(name).alias("predictor"), F.lit(k).alias("lag"), F.col(f"{x}_n").alias("n"),
+                F.try_divide(F.col(f"{x}_sums")[i], F.col(f"{x}_scale")).alias("ccf"),
+            )
+            for i, k in enumerate(steps)
+        ]
+    found = rows.groupBy(*keys).agg(*sums)
+    long = found.select(*keys, F.inline(F.array(*entries))).filter("n > 0")
+    return long.select(*keys, "predictor", "n", "lag", "ccf")
 
 
 def autocorrelation(
