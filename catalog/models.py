@@ -96,6 +96,42 @@ season AS (SELECT 'lm_1' AS model, * FROM lm_1_s UNION ALL SELECT 'lm_2', * FROM
   UNION ALL SELECT 'lm_3', * FROM lm_3_s)"""
 
 
+LEVEL = 1_000_000_000
+
+# the same model in (x, z - x) and y - x: exact differences, so that plain normal equations keep their digits
+_ORIGIN = f"""WITH m AS (SELECT l_suppkey AS key, date_trunc('month', l_shipdate)::DATE AS period,
+    sum(l_quantity)::DOUBLE AS q, count(*)::DOUBLE AS u, sum(l_linenumber)::DOUBLE AS v
+  FROM lineitem GROUP BY 1, 2),
+d AS (SELECT key, 1 + u / {LEVEL} AS x, v - u AS d, q - u AS y FROM m),
+s AS (SELECT key, count(*) AS n, sum(x * x) AS xx, sum(x * d) AS xd, sum(d * d) AS dd,
+    sum(x * y) AS xy, sum(d * y) AS dy FROM d GROUP BY 1),
+b AS (SELECT key, n, (xy * dd - xd * dy) / (xx * dd - xd * xd) AS c,
+    (xx * dy - xd * xy) / (xx * dd - xd * xd) AS b2 FROM s WHERE xx * dd - xd * xd > 1e-6 * xx * dd)
+SELECT b.key, b.n, 2::INTEGER AS rank, {R('any_value(1 + b.c / ' + str(LEVEL) + ' - b.b2)')} AS b1, {R('any_value(b.b2)')} AS b2,
+  {R('sum((d.y - b.c * d.x - b.b2 * d.d) * (d.y - b.c * d.x - b.b2 * d.d))', 4)} AS sse
+FROM b JOIN d USING (key) GROUP BY 1, 2 HAVING b.n > 2"""
+
+
+@query(_ORIGIN)
+def tslm_origin_levels(spark, folder):
+    """No constant, and columns that differ by units at a level of 1e9."""
+    monthly = resample(
+        table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "key"),
+        KEYS,
+        "l_shipdate",
+        "month",
+        {
+            "y": LEVEL + F.sum("l_quantity").cast("double"),
+            "x": LEVEL + F.count(F.lit(1)).cast("double"),
+            "z": LEVEL + F.sum("l_linenumber").cast("double"),
+        },
+    )
+    model = Regression("origin", "y", intercept=False, lags=(Lag("x", 0), Lag("z", 0)))
+    fits = fit_regressions(monthly, KEYS, [model], "month").filter("n > 2 AND rank = 2")
+    coef = [F.col("coef")[g.name].alias(f"b{i + 1}") for i, g in enumerate(model.lags)]
+    return rounded(rounded(fits.select("key", "n", "rank", *coef, "sse"), ["b1", "b2"]), ["sse"], 4)
+
+
 @query(
     THREE
     + f"""

@@ -42,3 +42,72 @@ def unpack(flat: np.ndarray, size: int) -> np.ndarray:
     out[:, i, j] = flat
     out[:, j, i] = flat
     return out
+
+
+# Shares of a column's length that are its own, below which the orthogonal solver calls it aliased.
+ORTHOGONAL_TOLERANCE = 1e-12
+EXACT_TOLERANCE = 1e-14
+
+
+def triangles(scatter: np.ndarray, exact_last: float = 1e-14) -> np.ndarray:
+    """Upper triangles ``f`` with ``f' f = scatter``, columns in order; rows of dependent columns are 0."""
+    a, d = scatter.copy(), scatter.shape[1]
+    out = np.zeros_like(a)
+    size = np.diagonal(scatter, axis1=1, axis2=2)
+    for j in range(d):
+        pivot = a[:, j, j]
+        share = exact_last if j == d - 1 else ALIAS_TOLERANCE
+        ok = pivot > share * np.maximum(size[:, j], 0)
+        root = np.sqrt(np.where(ok, pivot, 1.0))
+        row = np.where(ok[:, None], a[:, j, :] / root[:, None], 0.0)
+        row[:, :j] = 0.0
+        out[:, j, :] = row
+        a -= row[:, :, None] * row[:, None, :]
+    return out
+
+
+def orthogonal(stacked: np.ndarray, order) -> dict[str, np.ndarray]:
+    """Least squares of the last column on the others without forming their products.
+
+    Columns are made orthogonal in ``order``, each twice against those before, which keeps the digits
+    that a common level of the columns takes from a matrix of products. Dependent
+    columns are skipped: their coefficient is NaN, their rows of the inverse are 0.
+    """
+    batch, _, width = stacked.shape
+    p = width - 1
+    a = stacked.copy()
+    length = np.sqrt((stacked**2).sum(axis=1))
+    upper = np.zeros((batch, p, width))
+    kept = np.zeros((batch, p), dtype=bool)
+    done: list[int] = []
+    for j in [*order, p]:
+        v = a[:, :, j]
+        for _ in range(2):
+            for i in done:
+                part = np.einsum("br,br->b", a[:, :, i], v)
+                upper[:, i, j] += part
+                v = v - part[:, None] * a[:, :, i]
+        norm = np.sqrt((v**2).sum(axis=1))
+        if j == p:
+            sse = np.where(norm <= EXACT_TOLERANCE * length[:, p], 0.0, norm**2)
+            break
+        ok = (length[:, j] > 0) & (norm > ORTHOGONAL_TOLERANCE * length[:, j])
+        kept[:, j] = ok
+        # a skipped column is 0 and 1 on the diagonal, so that it takes part in nothing
+        a[:, :, j] = np.where(ok[:, None], v / np.where(ok, norm, 1.0)[:, None], 0.0)
+        upper[:, j, j] = np.where(ok, norm, 1.0)
+        upper[:, done, j] = np.where(ok[:, None], upper[:, done, j], 0.0)
+        done.append(j)
+    turn = list(order)
+    triangle = upper[:, turn][:, :, turn]
+    beta, root = np.empty((batch, p)), np.zeros((batch, p, p))
+    if p:
+        beta[:, turn] = np.linalg.solve(triangle, upper[:, turn, p][:, :, None])[:, :, 0]
+        root[:, turn] = np.linalg.inv(triangle)
+    both = kept[:, :, None] & kept[:, None, :]
+    return {
+        "beta": np.where(kept, beta, np.nan),
+        "inverse": np.where(both, root @ root.transpose(0, 2, 1), 0.0),
+        "sse": sse,
+        "kept": kept,
+    }

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tspanel.functions import FREQUENCIES, period_index, season_of
 from tspanel.operators.spec import Lag, Regression
@@ -60,6 +60,11 @@ class Design:
         self.terms = {s.name: self._terms(s) for s in models}
         self.width = max((len(s.lags) for s in models), default=0) + 1
 
+    @property
+    def referred(self) -> bool:
+        """Whether a model has no constant, so that its statistics need a reference value."""
+        return any(not t.constant for t in self.terms.values())
+
     @property
     def n_cells(self) -> int:
         return self.freq.seasons + len(self.special)
@@ -126,12 +131,14 @@ class Design:
         only: DataFrame | None = None,
         level: bool = False,
         carry: Sequence[str] = (),
+        refer: bool = False,
     ) -> DataFrame:
         """``(keys, period, carry, cell, model, v0 .. v<width-1>)``; v0 is the target.
 
         ``only`` holds ``(keys, models)``: per key, the model names to keep. Unused
         columns are 0. One window pass serves all models; rows are copied per model
-        inside the same stage. ``level`` ignores the differencing of the models.
+        inside the same stage. ``level`` ignores the differencing of the models. ``refer``
+        adds ``r0 .. r<width-1>``, the least value of each column per key.
         """
 
         def columns_of(s: Regression) -> list[tuple[str, int, int, int]]:
@@ -149,14 +156,22 @@ class Design:
             self.cell(F.col("period")).alias("cell"),
             *[expr.alias(ids[c]) for c, expr in dense.items()],
         )
+        if refer:
+            whole = Window.partitionBy(*keys)
+            wide = wide.withColumns({f"{x}_least": F.min(x).over(whole).cast("double") for x in ids.values()})
         structs = []
         for s in self.models:
             values = [F.col(ids[c]) for c in columns_of(s)]
             values += [F.lit(0.0)] * (self.width - len(values))
+            least = []
+            if refer:
+                least = [F.col(f"{ids[c]}_least") for c in columns_of(s)]
+                least += [F.lit(0.0)] * (self.width - len(least))
             structs.append(
                 F.struct(
                     F.lit(s.name).alias("model"),
                     *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)],
+                    *[v.alias(f"r{i}") for i, v in enumerate(least)],
                 )
             )
         if only is not None:

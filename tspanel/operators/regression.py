@@ -3,7 +3,9 @@
 Catalyst reduces the panel to sufficient statistics: per (key, model, calendar cell)
 a count, the means and the covariances of the dense columns. One small row per
 (key, model) then goes to a vectorised solver. Means and covariances are merged in a
-stable form, so large levels do not lose digits.
+stable form, so large levels do not lose digits. Models without a constant cannot be
+centred: their statistics are taken from a reference value of the key and solved by
+an orthogonal factor of (mean row, cell rows, within-cell factor), not by products.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tspanel.functions.criteria import regression_criteria
 from tspanel.functions.distributions import t_two_sided
-from tspanel.operators.algebra import sweep, unpack
+from tspanel.operators.algebra import orthogonal, sweep, triangles, unpack
 from tspanel.operators.design import Design, Terms, check_names
 from tspanel.operators.spec import Regression
 
@@ -32,35 +34,84 @@ def statistics(design: Design, rows: DataFrame, keys: Sequence[str]) -> DataFram
     """
     v = [f"v{i}" for i in range(design.width)]
     pairs = [(a, b) for i, a in enumerate(v) for b in v[i:]]
+    rows = rows.filter(design.complete())
+    reference = []
+    if design.referred:
+        # the difference to a close value is exact, a mean at a large level is not
+        rows = rows.withColumns({c: F.col(c) - F.col(f"r{i}") for i, c in enumerate(v)})
+        reference = [F.first(f"r{i}").alias(f"r{i}") for i in range(design.width)]
     cells = (
-        rows.filter(design.complete())
-        .groupBy(*keys, "model", "cell")
+        rows.groupBy(*keys, "model", "cell")
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.avg(c).alias(f"m_{c}") for c in v],
             *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
+            *reference,
         )
     )
+    base = [F.first(f"r{i}") if design.referred else F.lit(0.0) for i in range(design.width)]
     cell = F.struct("cell", "n", F.array(*[f"m_{c}" for c in v]).alias("means"))
     return cells.groupBy(*keys, "model").agg(
         F.array_sort(F.collect_list(cell)).alias("cells"),
         F.array(*[F.sum(F.col("n") * F.col(f"c_{a}_{b}")) for a, b in pairs]).alias("scatter"),
+        F.array(*base).alias("reference"),
     )
 
 
+def solve_uncentred(
+    terms: Terms, n: np.ndarray, means: np.ndarray, scatter: np.ndarray, reference: np.ndarray
+) -> dict[str, np.ndarray]:
+    """``solve_batch`` for terms without a constant; ``means`` are distances from ``reference``.
+
+    The products of all rows are those of the stacked rows built here: one of the
+    overall means, one per cell for its distance from them, and a triangular factor
+    of the scatter within the cells. Only the first holds the level of the data.
+    """
+    batch, ind, used = len(n), terms.matrix.shape[1], means.shape[2]
+    total = n.sum(axis=1)
+    turn = [*range(1, used), 0]
+    tall = np.broadcast_to(terms.matrix, (batch, *terms.matrix.shape))
+    z = np.concatenate([tall, means[:, :, turn]], axis=2)
+    centre = np.einsum("bc,bcd->bd", n, z) / total[:, None]
+    within = np.zeros((batch, used, ind + used))
+    inner = scatter[:, turn][:, :, turn]
+    # scatter within and between the cells of the dense columns, as one triangle where nothing else varies
+    spread = z - centre[:, None, :]
+    if not ind:
+        inner = inner + np.einsum("bc,bci,bcj->bij", n, spread, spread, optimize=True)
+        spread = spread[:, :0]
+    within[:, :, ind:] = triangles(inner)
+    level = centre.copy()
+    level[:, ind:] += reference[:, turn]
+    weights = np.sqrt(n)[:, : spread.shape[1], None]
+    stacked = np.concatenate([np.sqrt(total)[:, None, None] * level[:, None, :], weights * spread, within], axis=1)
+    fit = orthogonal(stacked, terms.order)
+    target = means[:, :, 0] - centre[:, -1:]
+    return {
+        "n": total,
+        "rank": fit["kept"].sum(axis=1),
+        "sse": fit["sse"],
+        "tss": scatter[:, 0, 0] + np.einsum("bc,bc->b", n, target**2),
+        "beta": fit["beta"],
+        "inverse": fit["inverse"],
+    }
+
+
 def solve_batch(
-    terms: Terms, n: np.ndarray, means: np.ndarray, scatter: np.ndarray, used: int
+    terms: Terms, n: np.ndarray, means: np.ndarray, scatter: np.ndarray, used: int, reference: np.ndarray
 ) -> dict[str, np.ndarray]:
     """Least squares for systems with common terms.
 
-    ``n``: (systems, cells); ``means``: (systems, cells, used) with the target first;
-    ``scatter``: pooled within-cell scatter of the same columns.
+    ``n``: (systems, cells); ``means``: (systems, cells, used) with the target first,
+    counted from ``reference``; ``scatter``: pooled within-cell scatter of the same columns.
     """
+    if not terms.constant:
+        return solve_uncentred(terms, n, means, scatter, reference)
     batch, ind = len(n), terms.matrix.shape[1]
     total = n.sum(axis=1)
     centre = np.einsum("bc,bcd->bd", n, means) / total[:, None]
-    shift = centre if terms.constant else np.zeros_like(centre)
-    off = means - shift[:, None, :]
+    off = means - centre[:, None, :]
+    shift = centre + reference
     # columns: indicators, lags, target
     dense = np.concatenate([off[:, :, 1:], off[:, :, :1]], axis=2)
     turn = [*range(1, used), 0]
@@ -72,14 +123,13 @@ def solve_batch(
     kept = kept[:, :p]
     beta = np.where(kept, swept[:, :p, p], np.nan)
     inverse = np.where(kept[:, :, None] & kept[:, None, :], swept[:, :p, :p], 0.0)
-    if terms.constant:
-        back = np.broadcast_to(np.eye(p), (batch, p, p)).copy()
-        for j in terms.constant:
-            moved = shift[:, 1:] / terms.constant_value
-            back[:, j, ind:] -= np.where(kept[:, ind:], moved, 0.0)
-            level = np.nansum(np.where(kept[:, ind:], beta[:, ind:], 0) * moved, axis=1)
-            beta[:, j] += shift[:, 0] / terms.constant_value - level
-        inverse = back @ inverse @ back.transpose(0, 2, 1)
+    back = np.broadcast_to(np.eye(p), (batch, p, p)).copy()
+    for j in terms.constant:
+        moved = shift[:, 1:] / terms.constant_value
+        back[:, j, ind:] -= np.where(kept[:, ind:], moved, 0.0)
+        level = np.nansum(np.where(kept[:, ind:], beta[:, ind:], 0) * moved, axis=1)
+        beta[:, j] += shift[:, 0] / terms.constant_value - level
+    inverse = back @ inverse @ back.transpose(0, 2, 1)
     sse = np.maximum(swept[:, p, p], 0.0)
     # an exact fit leaves only rounding noise
     noise = 1e-14 * np.maximum(gram[:, p, p], 0.0)
@@ -98,9 +148,9 @@ def solver(design: Design):
 
     @F.pandas_udf(SOLUTION)
     def solve(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
+        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.DataFrame]:
-        for model, cell, n, means, scatter in batches:
+        for model, cell, n, means, scatter, reference in batches:
             out = {k: np.empty(len(model), dtype=object) for k in ("n", "rank", "sse", "tss", "beta", "inverse")}
             for name, where in model.groupby(model).indices.items():
                 used = len(terms[name].lags) + 1
@@ -111,8 +161,9 @@ def solver(design: Design):
                 centres = np.zeros((len(where), n_cells, width))
                 centres[at] = np.concatenate(means.iloc[where].to_numpy()).reshape(-1, width)
                 pooled = unpack(np.stack(scatter.iloc[where].to_numpy()), width)
+                base = np.stack(reference.iloc[where].to_numpy())[:, :used]
                 fit = solve_batch(
-                    terms[name], counts, centres[:, :, :used], pooled[:, :used, :used], used
+                    terms[name], counts, centres[:, :, :used], pooled[:, :used, :used], used, base
                 )
                 for k, value in fit.items():
                     flat = value.reshape(len(where), -1) if k in ("beta", "inverse") else value
@@ -135,6 +186,7 @@ def solve_statistics(design: Design, stats: DataFrame, keys: Sequence[str]) -> D
             F.col("cells.n"),
             F.flatten(F.col("cells.means")),
             F.col("scatter"),
+            F.col("reference"),
         ).alias("s"),
     )
     names = {
@@ -174,7 +226,7 @@ def fit_regressions(
         design = Design([replace(s, name=names[0]) for s, names in same.items()], freq)
     else:
         design, same = Design(models, freq), {}
-    rows = design.rows(train, keys, only)
+    rows = design.rows(train, keys, only, refer=design.referred)
     fits = solve_statistics(design, statistics(design, rows, keys), keys)
     if same:
         copies = {n[0]: F.array(*[F.lit(v) for v in n]) for n in same.values()}
