@@ -11,7 +11,7 @@ from tspanel.llm import anchors
 from tspanel.llm.components import components
 from tspanel.llm.decontaminate import contaminated
 from tspanel.llm.fm_index import drop_repeated_words
-from tspanel.llm.licenses import PHRASES, license_scan
+from tspanel.llm.licenses import PHRASES, TEMPLATES, license_scan
 from tspanel.llm.lines import drop_boilerplate
 from tspanel.llm.minhash import near_duplicates
 from tspanel.llm.mixing import mix, spread
@@ -271,6 +271,43 @@ def test_license_scan(spark, docs, empty):
     assert license_scan(empty).count() == 0
 
 
+def wrapped(notice, mark, every):
+    w = notice.split()
+    return "\n".join(mark + " ".join(w[i : i + every]) for i in range(0, len(w), every))
+
+
+def test_license_blocks_equal_brute_force(spark):
+    """Notices over lines, comment marks and empty lines, cut, mixed and damaged, against all blocks."""
+    r = random.Random(21)
+    notices = list(TEMPLATES) + [" ".join(f"t{r.randrange(60)}" for _ in range(150))]
+    templates = dict(TEMPLATES) | {notices[-1]: "long", "mit short form": "mit"}
+    texts = [wrapped(n, mark, every) for n in notices for mark, every in (("", 10), ("# ", 7), (" * ", 3), ("// \n", 1))]
+    for _ in range(120):
+        w = prose(r.randint(0, 90)).split() + [x for x in r.choice(notices).split() if r.random() > r.choice([0, 0.15, 0.3])]
+        for _ in range(r.choice([0, 0, 3, 20])):
+            w.insert(r.randrange(len(w) + 1), r.choice(["the", "of", "license", "\n#", "x"]))
+        texts.append(r.choice([" ", "\n"]).join(w + prose(r.randint(0, 40)).split()))
+    texts += ["", None, "the", "word " * 300_000 + notices[0], prose(30) * 3 + "\n".join(notices)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan(docs, templates=templates).collect()}
+    word, found = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0
+    for i, t in enumerate([*texts, texts[0]]):
+        w = word.findall(small(t))
+        labels, best = {label for p, label in PHRASES.items() if f" {p} " in f" {' '.join(w)} "}, 0.0
+        base = bool(labels)
+        for notice, label in templates.items():
+            want, step = set(notice.split()), 1
+            while step < len(notice.split()):
+                step *= 2
+            share = max((len(want & set(w[k : k + 2 * step])) for k in range(0, len(w), step)), default=0)
+            if 100 * share >= 80 * len(want):
+                labels.add(label)
+                best, found = max(best, share / len(want)), found + 1
+        assert got[i] == (",".join(sorted(labels)), 1.0 if base else pytest.approx(best)), (i, t and t[:200])
+    assert found > 60
+    assert all(got[i][1] == 1.0 for i in range(4 * len(notices)))
+
+
 def js(p, q):
     """Jensen-Shannon distance, base 2, of two tables of counts."""
     import math

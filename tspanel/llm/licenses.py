@@ -1,10 +1,13 @@
 """License scan (operator 10): fixed phrases, and an exact set-similarity join with templates.
 
-Blocks are the lines of a text, as sets of words. A block meets a template when it holds at
-least ``threshold`` of the template's words. All words of the templates are put in order of
-their frequency over all blocks, rare ones first; a block that meets a template must hold one of the
+Blocks are windows of a text's words, over line breaks and comment marks, as sets. With c the number of
+words of a template, rounded up to a power of two, its blocks have 2c words and start at every
+c-th word, so that every stretch of c words lies in one. A block meets a template when it holds at
+least ``percent`` of the template's distinct words. All words of the templates are put in order of
+the number of texts that hold them, rare ones first; a block that meets a template must hold one of the
 template's first words (prefix filter), enough words (length filter), and enough words behind the
-first common one (positional filter). Candidates are verified. DataFrame functions only.
+first common one (positional filter). Candidates are verified. Texts without a first word are
+not cut into blocks. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -59,38 +62,50 @@ def places(may: Column, phrase: str) -> Column:
     return F.when(may, F.filter(F.sequence(F.lit(0), F.size("w")), at)).otherwise(F.array().cast("array<int>"))
 
 
+# The words of all templates together; they are broadcast, and their frequencies collected.
+MAX_TEMPLATE_WORDS = 20_000
+
+
 def template_labels(table: DataFrame, templates: Mapping[str, str], percent: int) -> DataFrame:
     """(doc_id, text_key, method_labels, containment) of the rows of (doc_id, text_key, low) with a block that meets a template."""
     spark = table.sparkSession
-    sets = {label: sorted(set(t.split())) for t, label in templates.items()}
-    vocabulary = sorted({w for s in sets.values() for w in s})
-    least = min(needed(len(s), percent) for s in sets.values())
-    lines = table.select("doc_id", "text_key", F.posexplode(F.split("low", "\n")).alias("line", "block"))
-    blocks = lines.select("doc_id", "text_key", "line", words(F.col("block"), SEPARATORS).alias("w")).filter(F.size("w") >= least)
+    if sum(len(t.split()) for t in templates) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words: scan them in parts")
+    sets = [(label, len(t.split()), sorted(set(t.split()))) for t, label in templates.items()]
+    vocabulary = sorted({w for _, _, s in sets for w in s})
     known = F.array(*map(F.lit, vocabulary))
-    # the words of the templates are few and fixed: their frequencies fit the driver
-    seen = blocks.select(F.explode(F.array_intersect("w", known)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    texts = table.select("doc_id", "text_key", words(F.col("low"), SEPARATORS).alias("w"))
+    seen = texts.select(F.explode(F.array_intersect("w", known)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     frequency = {r.word: r.n for r in seen.collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    rows, prefixes = [], set()
-    for label, s in sets.items():
+    rows, first, least = [], {}, {}
+    for number, (label, length, s) in enumerate(sets):
         ranked = sorted(s, key=order.get)
         must = needed(len(ranked), percent)
-        for i, w in enumerate(ranked):
-            rows.append((label, w, i, len(ranked), must, i <= len(ranked) - must))
-        prefixes |= set(ranked[: len(ranked) - must + 1])
-    wanted = F.broadcast(spark.createDataFrame(rows, "label string, word string, place int, size int, must int, prefix boolean"))
+        step = 1 << (length - 1).bit_length()
+        first.setdefault(step, set()).update(ranked[: len(ranked) - must + 1])
+        least[step] = min(least.get(step, must), must)
+        rows += [(number, label, step, w, i, len(ranked), must, i <= len(ranked) - must) for i, w in enumerate(ranked)]
+    wanted = F.broadcast(spark.createDataFrame(rows, "template int, label string, step int, word string, place int, size int, must int, prefix boolean"))
     ranks = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    some = blocks.filter(F.arrays_overlap("w", F.array(*map(F.lit, sorted(prefixes)))))
-    held = some.select("doc_id", "text_key", "line", F.array_sort(F.transform(F.array_intersect("w", known), lambda x: F.struct(ranks[x].alias("r"), x.alias("word")))).alias("held"))
-    held = held.filter(F.size("held") >= least)
-    each = held.select("doc_id", "text_key", "line", F.size("held").alias("n"), F.posexplode("held").alias("j", "x"))
-    joined = each.select("doc_id", "text_key", "line", "n", "j", F.col("x.word").alias("word")).join(wanted, "word")
+
+    def blocks(step: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))
+        cut = F.transform(starts, lambda i: F.struct(F.lit(step).alias("step"), i.alias("at"), F.array_intersect(F.slice("w", i + 1, 2 * step), known).alias("held")))
+        may = F.arrays_overlap("w", F.array(*map(F.lit, sorted(first[step]))))
+        return F.when(may, F.filter(cut, lambda x: F.size(x["held"]) >= least[step])).otherwise(F.slice(cut, 1, 0))
+
+    some = texts.filter(F.arrays_overlap("w", F.array(*map(F.lit, sorted(set().union(*first.values()))))))
+    cut = some.select("doc_id", "text_key", F.explode(F.concat(*map(blocks, sorted(first)))).alias("b"))
+    ranked = F.array_sort(F.transform("b.held", lambda x: F.struct(ranks[x].alias("r"), x.alias("word"))))
+    each = cut.select("doc_id", "text_key", "b.step", "b.at", F.size("b.held").alias("n"), F.posexplode(ranked).alias("j", "x"))
+    joined = each.select("doc_id", "text_key", "step", "at", "n", "j", F.col("x.word").alias("word")).join(wanted, ["word", "step"])
     # a row per common word; a candidate has one in the prefix, with enough room behind it
     room = F.col("prefix") & (1 + F.least(F.col("size") - F.col("place") - 1, F.col("n") - F.col("j") - 1) >= F.col("must"))
-    met = joined.groupBy("doc_id", "text_key", "line", "label").agg(
-        F.max(room).alias("candidate"), F.countDistinct("word").alias("common"), F.first("size").alias("size"), F.first("must").alias("must")
-    ).filter("candidate AND common >= must")
+    met = joined.groupBy("doc_id", "text_key", "at", "template").agg(
+        F.max(room).alias("candidate"), F.countDistinct("word").alias("common"),
+        F.first("label").alias("label"), F.first("size").alias("size"), F.first("must").alias("must"),
+    ).filter("candidate AND common >= must")
     return met.groupBy("doc_id", "text_key").agg(
         F.collect_set("label").alias("method_labels"), F.max(F.col("common") / F.col("size")).alias("containment")
     )
@@ -101,7 +116,7 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
 
     Words are runs of digits, letters a-z (after A-Z are made small) and characters beyond ASCII. ``n_base`` counts the
     places of all phrases, ``first_word`` and ``last_word`` are the smallest and largest of their
-    starts. ``labels`` adds the labels of templates of which a line holds ``percent`` or more. The
+    starts. ``labels`` adds the labels of templates of which a block holds ``percent`` or more. The
     score is 1 with a phrase, else the largest share of a template found, else 0. A missing or
     empty text has no words and no labels; label lists are then empty strings.
     """
