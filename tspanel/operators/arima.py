@@ -88,7 +88,7 @@ def choose_differences(
     by = [*keys, "model"]
     m = FREQUENCIES[freq].seasons
     fits = fit_regressions(frame, keys, bases, freq)
-    left = stage(residuals(frame, fits, keys, bases, freq).select(*by, "period", "residual"))
+    left = stage(residuals(frame, fits, keys, bases, freq).select(*by, "period", "residual"), keys)
     strength = seasonal_strength(stl(left, by, freq, "residual"), by)
     steps = [(0, 0), (1, 0), (0, 1), (1, 1)]
     tested = left.withColumns(
@@ -142,7 +142,7 @@ def _chosen_means(
                     d.alias("d"), D.alias("sd"),
                 )
             )
-    return stage(nested.select(*keys, F.inline(F.array(*entries))).filter("mean is not null"))
+    return stage(nested.select(*keys, F.inline(F.array(*entries))).filter("mean is not null"), keys)
 
 
 def _grids(users: dict[str, Sequence[Arima]]) -> dict[str, list[tuple[int, int, int, int]]]:
@@ -342,10 +342,10 @@ def fit_arima(
         }
     )
     if any(len(s.constants()) > 1 for s in specs):
-        out = stage(out)
+        out = stage(out, keys)
         first = Window.partitionBy(*keys, "model").orderBy(F.col("aicc").asc_nulls_last(), "rank", "constant")
         out = out.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
-    return stage(out)
+    return stage(out, keys)
 
 
 def _lags(order: str, seasonal: str, m: int) -> Column:

@@ -42,7 +42,7 @@ def fit_models(
     plain, errors = _split(models)
     fits = []
     if plain:
-        fits.append(stage(fit_regressions(train, keys, plain, freq, only)))
+        fits.append(stage(fit_regressions(train, keys, plain, freq, only), keys))
     if errors:
         fits.append(fit_arima(train, keys, errors, freq, only=only, **arima_options))
     return fits
@@ -96,7 +96,7 @@ def holdout_scores(
     train, test = until_year(frame, cutoff_year), after_year(frame, cutoff_year)
     fits = fit_models(train, keys, models, freq, **arima_options)
     if best_per_family:
-        best = stage(leaderboard(fits, keys).filter("rank = 1").select(*keys, "model"))
+        best = stage(leaderboard(fits, keys).filter("rank = 1").select(*keys, "model"), keys)
         fits = [f.join(best, [*keys, "model"], "left_semi") for f in fits]
     return accuracy(forecast_models(train, test, fits, keys, models, freq), keys)
 
@@ -111,11 +111,11 @@ def select_and_refit(
     **arima_options,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """The hold-out ranking, and the winner of each key fitted on all its data."""
-    frame = stage(frame)
+    frame = stage(frame, keys)
     scores = holdout_scores(
         frame, keys, models, freq, cutoff_year, best_per_family, **arima_options
     )
-    board = stage(rmse_leaderboard(scores, keys))
+    board = stage(rmse_leaderboard(scores, keys), keys)
     fits = fit_models(frame, keys, models, freq, winners(board, keys), **arima_options)
     return board, fits
 
@@ -137,7 +137,7 @@ def forecast_predictors(
     spec = spec or Arima("predictor", "value")
     by = [*keys, "series"]
     long = melt(history.select(*keys, "period", *names), [*keys, "period"], names)
-    long = stage(long.filter("value is not null"))
+    long = stage(long.filter("value is not null"), by)
     fits = fit_arima(long, by, [spec], freq, **arima_options)
     # a predictor that ends early is carried over its missing periods as well
     target_end = history.groupBy(*keys).agg(F.max("period").alias("end"))
@@ -171,4 +171,4 @@ def forecast_two_stage(
             history, keys, predictors, freq, h, predictor_spec, **arima_options
         )
         future = future_predictors(future, ahead, keys, predictors, zeros)
-    return forecast_models(history, stage(future), fits, keys, models, freq)
+    return forecast_models(history, stage(future, keys), fits, keys, models, freq)

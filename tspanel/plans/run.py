@@ -65,7 +65,7 @@ def forecast(wide: DataFrame, study: Study) -> DataFrame:
 
 def run_study(raw: DataFrame, study: Study) -> dict[str, DataFrame]:
     """All tables of a study from a raw panel ``(series, date, value)``."""
-    wide = stage(prepare(raw, study))
+    wide = stage(prepare(raw, study), KEYS)
     return {
         "wide": wide,
         "long": prepare_long(wide, study),
