@@ -2,7 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+
+# Rows of an Arrow batch that a function takes and returns at once.
+PIECE_ROWS = 1_000
+# Doubles that the largest table of one slice of a batch may take, about 4 MB; some ten such tables are held.
+SLICE_VALUES = 500_000
+
+
+def pieces(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.Series, ...]]:
+    """The rows of all batches in order, ``PIECE_ROWS`` at most at a time.
+
+    A worker then holds the results of a piece, not those of a batch of 10,000 series.
+    """
+    for batch in batches:
+        for i in range(0, len(batch[0]), PIECE_ROWS):
+            yield tuple(column.iloc[i : i + PIECE_ROWS] for column in batch)
+
+
+def slices(members: np.ndarray, each: int) -> Iterator[np.ndarray]:
+    """Parts of a batch whose tables, of ``each`` values a member, stay within ``SLICE_VALUES``; one member at least."""
+    step = max(1, SLICE_VALUES // max(1, int(each)))
+    for i in range(0, len(members), step):
+        yield members[i : i + step]
+
 
 # A column is aliased when less than this share of its squared length is its own.
 ALIAS_TOLERANCE = 1e-10

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tspanel.functions import FREQUENCIES, period_index
 from tspanel.functions.criteria import likelihood_criteria
 from tspanel.operators import arma
+from tspanel.operators.algebra import pieces, slices
 from tspanel.operators.design import Design, check_names
 from tspanel.operators.describe import as_series, kpss, seasonal_strength, stl
 from tspanel.operators.forecast import extended, with_intervals
@@ -178,10 +179,11 @@ def candidates(
 
     @F.pandas_udf("struct<sse: array<double>, stable: array<boolean>>")
     def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for model, series in batches:
+        for model, series in pieces(batches):
             sse, stable = ([None] * len(model) for _ in range(2))
             for name, members in model.groupby(model).indices.items():
-                for where in _slices(members, series.str.len().to_numpy(), 16):
+                longest = int(series.iloc[members].str.len().max())
+                for where in slices(members, 16 * longest):
                     values, live = _padded(series.iloc[where].to_numpy())
                     found = list(arma.two_step(values, live, grids[name], m, long_ar))
                     sums = np.stack([f[0] for f in found], 1)
@@ -233,15 +235,6 @@ FIT = (
     "struct<n: bigint, sse: double, p: int, q: int, sp: int, sq: int, beta: array<double>, params: array<double>,"
     " ar: array<double>, ma: array<double>, inverse: array<double>, stable: boolean, converged: boolean, tried: int>"
 )
-# Doubles that the derivatives of one slice of a batch may take, about 64 MB, twice.
-SLICE_VALUES = 8_000_000
-
-
-def _slices(members: np.ndarray, lengths: np.ndarray, columns: int) -> Iterator[np.ndarray]:
-    """Parts of a batch whose tables stay within ``SLICE_VALUES``."""
-    step = max(1, SLICE_VALUES // (columns * max(1, int(lengths[members].max(initial=0)))))
-    for i in range(0, len(members), step):
-        yield members[i : i + step]
 
 
 def fit_arima(
@@ -398,7 +391,7 @@ def _solver(design: Design, specs: Sequence[Arima], m: int, long_ar: int | None,
 
     @F.pandas_udf(FIT)
     def solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for spec, mean, rank, cell, dense, beta in batches:
+        for spec, mean, rank, cell, dense, beta in pieces(batches):
             size = len(spec)
             lengths = cell.str.len().to_numpy("int64")
             out = {c.split(":")[0].strip(): [None] * size for c in FIT[7:-1].split(",")}
@@ -407,7 +400,8 @@ def _solver(design: Design, specs: Sequence[Arima], m: int, long_ar: int | None,
                 s, t = by_name[name], terms[mean_]
                 orders = s.orders()
                 shapes = [arma.Shape(o, m, s.multiplicative) for o in orders]
-                for where in _slices(members, lengths, len(t.all) + max(x.size for x in shapes) + 1):
+                columns = len(t.all) + max(x.size for x in shapes) + 1
+                for where in slices(members, columns * lengths[members].max()):
                     live = np.arange(lengths[where].max()) < lengths[where][:, None]
                     cells = np.zeros(live.shape, dtype=int)
                     cells[live] = np.concatenate(cell.iloc[where].to_numpy())
@@ -496,19 +490,20 @@ def forecast_arima(
 
     @F.pandas_udf("struct<mean: array<double>, weight: array<double>>")
     def project(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for past, steps, d, D, ar, ma in batches:
+        for past, steps, d, D, ar, ma in pieces(batches):
             mean, weight = [None] * len(past), [None] * len(past)
             last = steps.map(max)
             groups = pd.Series(list(zip(d, D, past.str.len(), last, ar.str.len(), ma.str.len())))
-            for (d_, D_, size, h, _, _), where in groups.groupby(groups).indices.items():
-                level = np.stack(past.iloc[where].to_numpy()).reshape(len(where), size)
-                a, b = (np.stack(c.iloc[where].to_numpy()).reshape(len(where), -1) for c in (ar, ma))
-                level, e = arma.filled(level, ~np.isnan(level), a, b, d_, D_, m)
-                path, psi = arma.ahead(level, e, a, b, d_, D_, m, h)
-                spread = np.sqrt(np.cumsum(psi**2, axis=1))
-                for i, row in enumerate(where):
-                    at = np.asarray(steps.iloc[row]) - 1
-                    mean[row], weight[row] = path[i][at], spread[i][at]
+            for (d_, D_, size, h, _, _), members in groups.groupby(groups).indices.items():
+                for where in slices(members, size + h):
+                    level = np.stack(past.iloc[where].to_numpy()).reshape(len(where), size)
+                    a, b = (np.stack(c.iloc[where].to_numpy()).reshape(len(where), -1) for c in (ar, ma))
+                    level, e = arma.filled(level, ~np.isnan(level), a, b, d_, D_, m)
+                    path, psi = arma.ahead(level, e, a, b, d_, D_, m, h)
+                    spread = np.sqrt(np.cumsum(psi**2, axis=1))
+                    for i, row in enumerate(where):
+                        at = np.asarray(steps.iloc[row]) - 1
+                        mean[row], weight[row] = path[i][at], spread[i][at]
             yield pd.DataFrame({"mean": mean, "weight": weight})
 
     steps = F.transform("coming", lambda c: (period_index(c["period"], freq) - F.col("_origin")).cast("int"))
@@ -549,13 +544,14 @@ def arima_residuals(
     def errors(u: pd.Series, ar: pd.Series, ma: pd.Series) -> pd.Series:
         out = [None] * len(u)
         sizes = pd.Series(list(zip(ar.str.len(), ma.str.len())))
-        for _, where in sizes.groupby(sizes).indices.items():
-            values, live = _padded(u.iloc[where].to_numpy())
-            a, b = (np.stack(c.iloc[where].to_numpy()).reshape(len(where), -1) for c in (ar, ma))
-            seen = live & ~np.isnan(values)
-            e = arma.recursion(np.where(seen, values, 0.0), seen, a, b)[1]
-            for w, row, keep, known in zip(where, e, live, seen):
-                out[w] = np.where(known, row, np.nan)[keep]
+        for _, members in sizes.groupby(sizes).indices.items():
+            for where in slices(members, u.iloc[members].str.len().max()):
+                values, live = _padded(u.iloc[where].to_numpy())
+                a, b = (np.stack(c.iloc[where].to_numpy()).reshape(len(where), -1) for c in (ar, ma))
+                seen = live & ~np.isnan(values)
+                e = arma.recursion(np.where(seen, values, 0.0), seen, a, b)[1]
+                for w, row, keep, known in zip(where, e, live, seen):
+                    out[w] = np.where(known, row, np.nan)[keep]
         return pd.Series(out)
 
     return (

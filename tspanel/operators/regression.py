@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tspanel.functions.criteria import regression_criteria
 from tspanel.functions.distributions import t_two_sided
-from tspanel.operators.algebra import orthogonal, sweep, triangles, unpack
+from tspanel.operators.algebra import orthogonal, pieces, slices, sweep, triangles, unpack
 from tspanel.operators.design import Design, Terms, check_names
 from tspanel.operators.spec import Regression
 
@@ -150,25 +150,28 @@ def solver(design: Design):
     def solve(
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.DataFrame]:
-        for model, cell, n, means, scatter, reference in batches:
+        for model, cell, n, means, scatter, reference in pieces(batches):
             out = {k: np.empty(len(model), dtype=object) for k in ("n", "rank", "sse", "tss", "beta", "inverse")}
-            for name, where in model.groupby(model).indices.items():
+            for name, members in model.groupby(model).indices.items():
                 used = len(terms[name].lags) + 1
-                row = np.repeat(np.arange(len(where)), [len(c) for c in cell.iloc[where]])
-                at = (row, np.concatenate(cell.iloc[where].to_numpy()))
-                counts = np.zeros((len(where), n_cells))
-                counts[at] = np.concatenate(n.iloc[where].to_numpy())
-                centres = np.zeros((len(where), n_cells, width))
-                centres[at] = np.concatenate(means.iloc[where].to_numpy()).reshape(-1, width)
-                pooled = unpack(np.stack(scatter.iloc[where].to_numpy()), width)
-                base = np.stack(reference.iloc[where].to_numpy())[:, :used]
-                fit = solve_batch(
-                    terms[name], counts, centres[:, :, :used], pooled[:, :used, :used], used, base
-                )
-                for k, value in fit.items():
-                    flat = value.reshape(len(where), -1) if k in ("beta", "inverse") else value
-                    for i, w in enumerate(where):
-                        out[k][w] = flat[i]
+                # the design of the cells and the matrix of products
+                columns = terms[name].matrix.shape[1] + width
+                for where in slices(members, (n_cells + columns) * columns):
+                    row = np.repeat(np.arange(len(where)), [len(c) for c in cell.iloc[where]])
+                    at = (row, np.concatenate(cell.iloc[where].to_numpy()))
+                    counts = np.zeros((len(where), n_cells))
+                    counts[at] = np.concatenate(n.iloc[where].to_numpy())
+                    centres = np.zeros((len(where), n_cells, width))
+                    centres[at] = np.concatenate(means.iloc[where].to_numpy()).reshape(-1, width)
+                    pooled = unpack(np.stack(scatter.iloc[where].to_numpy()), width)
+                    base = np.stack(reference.iloc[where].to_numpy())[:, :used]
+                    fit = solve_batch(
+                        terms[name], counts, centres[:, :, :used], pooled[:, :used, :used], used, base
+                    )
+                    for k, value in fit.items():
+                        flat = value.reshape(len(where), -1) if k in ("beta", "inverse") else value
+                        for i, w in enumerate(where):
+                            out[k][w] = flat[i]
             kinds = {"n": "int64", "rank": "int32", "sse": "float64", "tss": "float64"}
             yield pd.DataFrame({k: v.astype(kinds.get(k, object)) for k, v in out.items()})
 
@@ -310,37 +313,38 @@ def profiles(design: Design, level: bool):
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PROFILE.split(",")]
-        for model, beta, inverse in batches:
+        for model, beta, inverse in pieces(batches):
             out = {c: [None] * len(model) for c in names}
-            for name, where in model.groupby(model).indices.items():
+            for name, members in model.groupby(model).indices.items():
                 t = terms[name]
                 ind, used = len(t.names), len(t.lags)
                 cells = (t.level if level else t.matrix).copy()
-                b = np.stack(beta.iloc[where].to_numpy()).astype(float).reshape(len(where), -1)
-                b = np.nan_to_num(b)
-                trend = np.zeros(len(where))
-                if level and "drift" in t.names:
-                    trend = b[:, 0]
+                drift = level and "drift" in t.names
+                if drift:
                     cells[:, 0] = 0.0
-                # an ARIMA fit passes no inverse: its forecasts have their own variance
-                v = np.zeros((len(where), ind + used, ind + used))
-                for i, w in enumerate(where):
-                    if len(inverse.iloc[w]) == v[i].size:
-                        v[i] = np.reshape(inverse.iloc[w], v[i].shape)
-                slope = np.zeros((len(where), k))
-                slope[:, :used] = b[:, ind:]
-                cross = np.zeros((len(where), len(cells), k))
-                cross[:, :, :used] = cells @ v[:, :ind, ind:]
-                spread = np.zeros((len(where), k, k))
-                spread[:, :used, :used] = v[:, ind:, ind:]
-                values = (
-                    b[:, :ind] @ cells.T, trend, slope,
-                    np.einsum("ci,bij,cj->bc", cells, v[:, :ind, :ind], cells, optimize=True),
-                    cross.reshape(len(where), -1), spread.reshape(len(where), -1),
-                )
-                for c, rows in zip(names, values):
-                    for row, w in zip(rows, where):
-                        out[c][w] = row
+                for where in slices(members, (len(cells) + ind + used) * (ind + k)):
+                    b = np.stack(beta.iloc[where].to_numpy()).astype(float).reshape(len(where), -1)
+                    b = np.nan_to_num(b)
+                    trend = b[:, 0] if drift else np.zeros(len(where))
+                    # an ARIMA fit passes no inverse: its forecasts have their own variance
+                    v = np.zeros((len(where), ind + used, ind + used))
+                    for i, w in enumerate(where):
+                        if len(inverse.iloc[w]) == v[i].size:
+                            v[i] = np.reshape(inverse.iloc[w], v[i].shape)
+                    slope = np.zeros((len(where), k))
+                    slope[:, :used] = b[:, ind:]
+                    cross = np.zeros((len(where), len(cells), k))
+                    cross[:, :, :used] = cells @ v[:, :ind, ind:]
+                    spread = np.zeros((len(where), k, k))
+                    spread[:, :used, :used] = v[:, ind:, ind:]
+                    values = (
+                        b[:, :ind] @ cells.T, trend, slope,
+                        np.einsum("ci,bij,cj->bc", cells, v[:, :ind, :ind], cells, optimize=True),
+                        cross.reshape(len(where), -1), spread.reshape(len(where), -1),
+                    )
+                    for c, rows in zip(names, values):
+                        for row, w in zip(rows, where):
+                            out[c][w] = row
             yield pd.DataFrame(out)
 
     return profile
