@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tspanel.functions import FREQUENCIES, period_index, season_of
+from tspanel.operators.algebra import pieces, slices
 from tspanel.operators.panel import by_period, fill_gaps, widen
 from tspanel.operators.stl import Plan
 
@@ -241,8 +242,8 @@ def as_series(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     )
 
 
-# Weights a decomposition may hold for one slice of a batch, about 32 MB.
-STL_VALUES = 4_000_000
+# Lengths of series whose weights a worker keeps.
+STL_PLANS = 50
 
 
 def stl(df: DataFrame, keys: Sequence[str], freq: str, value: str = "value") -> DataFrame:
@@ -258,15 +259,16 @@ def stl(df: DataFrame, keys: Sequence[str], freq: str, value: str = "value") ->
 
     @F.pandas_udf("struct<trend: array<double>, season: array<double>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for values in batches:
+        plans: dict[int, Plan] = {}
+        for (values,) in pieces((values,) for values in batches):
             trend, season = ([None] * len(values) for _ in range(2))
             for n, members in values.groupby(values.str.len()).indices.items():
                 if n < 2 * m:
                     continue
-                plan = Plan(n, m)
-                step = max(1, STL_VALUES // (n * plan.trend[0].shape[1]))
-                for i in range(0, len(members), step):
-                    where = members[i : i + step]
+                plan = plans[n] if n in plans else Plan(n, m)
+                if len(plans) < STL_PLANS:
+                    plans[n] = plan
+                for where in slices(members, n * plan.trend[0].shape[1]):
                     y = np.stack(values.iloc[where].to_numpy())
                     known = ~np.isnan(y)
                     parts = plan.decompose(np.where(known, y, 0.0), known)
