@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tspanel.llm import negatives
+from tspanel.llm import negatives, spelling
 from tspanel.llm.negatives import Bucket, hard_negatives
 from tspanel.llm.spelling import chosen_pivots, damaged_words, near_words, spelling_groups
 from tspanel.llm.urls import concentration, judge_urls, reputations
@@ -69,6 +69,23 @@ def test_many_words_share_a_rare_beginning(spark):
     assert {tuple(r) for r in pairs.collect()} == want
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark sizes the keys of words by the files of the words, some 20 times too low: small files must not lead to a broadcast."""
+    counts, kept = vocabulary(3), spelling.store
+    run = []
+
+    def seen(df):
+        df.collect()
+        run.append(df)
+        return kept(df)
+
+    monkeypatch.setattr(spelling, "store", seen)
+    out = spelling_groups(spark.createDataFrame([*counts.items()], "word string, n long"))
+    assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in out.collect()} == brute_groups(counts)
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df in [*run, out]]
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_pivots_are_disjoint_and_least(spark):
     r = random.Random(5)
     for _ in range(300):

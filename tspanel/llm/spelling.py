@@ -143,7 +143,8 @@ def near_words(words: DataFrame) -> DataFrame:
     left = gram_keys(words, frequency, True).select("key", F.col("word").alias("a"), F.col("last").alias("end_a"))
     right = gram_keys(words, frequency, False).select("key", F.col("word").alias("b"), F.col("last").alias("end_b"))
     close = (F.col("a") != F.col("b")) & (F.col("end_a") <= F.col("end_b")) & (F.levenshtein("a", "b", 1) == 1)
-    pairs = left.join(right, (left.key == right.key) & close)
+    # both sides hold tens of rows per word; Spark sizes them by the files of the words and would broadcast one
+    pairs = left.join(right.hint("merge"), (left.key == right.key) & close)
     pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return pairs.union(pairs.select("b", "a"))
 
@@ -156,13 +157,13 @@ def spelling_groups(words: DataFrame, factor: int = 2) -> DataFrame:
     columns play no part.
     """
     words = store(words.select("word", "n"))
-    linked = near_words(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
+    linked = near_words(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")).hint("merge"), "b")
     best = linked.groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("less"), "b")).alias("top")
     )
     strong = -F.col("top.less") >= factor * F.col("n")
     table = store(
-        words.join(best, "word", "left").select(
+        words.join(best.hint("merge"), "word", "left").select(
             "word", F.when(strong, F.col("top.b")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(strong, -F.col("top.less")).alias("form_n"),
         )
@@ -171,8 +172,8 @@ def spelling_groups(words: DataFrame, factor: int = 2) -> DataFrame:
     roots = table.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = store(roots.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        moved = store(roots.join(further.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         roots = moved.select("word", "root")
         if moved.filter("moved").isEmpty():
             break
-    return table.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return table.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
